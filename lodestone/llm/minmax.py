@@ -5,11 +5,14 @@ signature values as hash evaluations. BANDS bands of ROWS values propose links;
 
 Skew. Documents with equal sets are one node from the start. In a band's bucket all members propose a link to one hub only;
 only if the confirmed links leave a bucket in several components, pairs across components are proposed as well, and only
-those that size, a 128-bit sketch and the members' unique shingles don't rule out. So no bucket is expanded into all of its
+those that size, a 128-bit sketch and a parity map of the sets don't rule out. So no bucket is expanded into all of its
 pairs, and no link that joins two components is lost.
 
+Parity map: each shingle flips one of 1,024 bits. Two sets' maps differ in as many bits as their difference has elements at
+most, so that a pair whose maps differ in more bits than a linked pair's sets may differ in is no link, for certain.
+
 A pair at the threshold misses all bands with probability (1 - 0.85**5)**28 < 1e-7. The sketch drops a pair at the
-threshold with probability below 1e-8; size and unique shingles are exact bounds.
+threshold with probability below 1e-8; size and parity are exact bounds.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ SHINGLE, THRESHOLD = 5, 85
 PERMUTATIONS, BANDS, ROWS = 70, 28, 5
 #: Sketch bits (of 128) in which a linked pair may differ: a pair at the threshold differs in 9.6 on average, sigma 3.
 SKETCH_BITS = 28
+#: Longs of a parity map.
+PARITY = 16
 #: Buckets of more members choose their hub by unique shingles.
 BIG_BUCKET = 32
 
@@ -66,13 +71,14 @@ def signatures(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["did", "n", "h1", "h2", "bands", "s1", "s2"]
+    names = ["did", "n", "h1", "h2", "bands", "s1", "s2", "parity"]
     for batch in batches:
         for part in chunks(batch):
             hashes, first = shingles(part.column("text"))
             counts = np.diff(first)
             some = np.flatnonzero(counts)
             bands = np.zeros((part.num_rows, BANDS), U)
+            parity = np.zeros((part.num_rows, PARITY), U)
             sums, sketch = np.zeros((2, part.num_rows), U), np.zeros((2, part.num_rows), U)
             if len(some):
                 heads = first[:-1][some]
@@ -81,21 +87,30 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r in range(ROWS):
                     key = mix(key ^ values[:, r * BANDS : (r + 1) * BANDS])
                 bands[some] = key
-                bits = mix(values) >> U(63)
+                bits = mix(values[:, :128]) >> U(63)
+                place = mix(hashes ^ U(0x27BB2EE687B0B0FD))
+                flip, at = U(1) << (place & U(63)), (place >> U(6)) & U(PARITY - 1)
+                for i in range(PARITY):
+                    parity[some, i] = np.bitwise_xor.reduceat(np.where(at == i, flip, U(0)), heads)
                 for half in range(2):
                     sketch[half, some] = (bits[:, 64 * half : 64 * half + 64] << np.arange(64, dtype=U)).sum(axis=1, dtype=U)
                     sums[half, some] = np.add.reduceat(mix(hashes ^ U(0x5851F42D4C957F2D + half)), heads)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS), pa.array(signed(bands.ravel())))
-            columns = [part.column("did"), pa.array(counts.astype(np.int64)), pa.array(signed(sums[0])), pa.array(signed(sums[1])), lists, pa.array(signed(sketch[0])), pa.array(signed(sketch[1]))]
+            lists, maps = (pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * x.shape[1]), pa.array(signed(x.ravel()))) for x in (bands, parity))
+            columns = [part.column("did"), pa.array(counts.astype(np.int64)), pa.array(signed(sums[0])), pa.array(signed(sums[1])), lists, pa.array(signed(sketch[0])), pa.array(signed(sketch[1])), maps]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _possible(a: str, b: str) -> Column:
-    """Whether sizes, unique shingles and sketches leave room for a link between rows with prefixes a and b."""
+    """Whether sizes, sketches and parity maps leave room for a link between rows with prefixes a and b."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    shared = F.least(na - F.col(f"{a}u"), nb - F.col(f"{b}u"))
-    differ = F.bit_count(F.col(f"{a}s1").bitwiseXOR(F.col(f"{b}s1"))) + F.bit_count(F.col(f"{a}s2").bitwiseXOR(F.col(f"{b}s2")))
-    return (shared * 100 >= (na + nb - shared) * THRESHOLD) & (differ <= SKETCH_BITS)
+    bits = lambda c: F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c)))
+    apart = sum((F.bit_count(F.col(f"{a}parity")[i].bitwiseXOR(F.col(f"{b}parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col(f"{a}parity")[0].bitwiseXOR(F.col(f"{b}parity")[0])))
+    # linked sets of s elements together differ in at most s * (100 - THRESHOLD) / (100 + THRESHOLD)
+    return (
+        (F.least(na, nb) * 100 >= F.greatest(na, nb) * THRESHOLD)
+        & (bits("s1") + bits("s2") <= SKETCH_BITS)
+        & (apart * (100 + THRESHOLD) <= (na + nb) * (100 - THRESHOLD))
+    )
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,21 +157,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     texts = docs.select(doc_key().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = cut(texts.mapInArrow(_sign, "did long, n long, h1 long, h2 long, bands array<long>, s1 long, s2 long"), "sets")
-    first = [F.first(c).alias(c) for c in ("n", "bands", "s1", "s2")]
+    sets = cut(texts.mapInArrow(_sign, "did long, n long, h1 long, h2 long, bands array<long>, s1 long, s2 long, parity array<long>"), "sets")
+    first = [F.first(c).alias(c) for c in ("n", "bands", "s1", "s2", "parity")]
     classes = cut(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("did").alias("rep"), *first), "classes")
     entries = classes.select(F.explode("bands").alias("bucket"), "rep")
     buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).where("size > 1")
     members = cut(entries.join(buckets, "bucket"), "members")
-    about = classes.select("rep", "n", "s1", "s2")
+    about = classes.select("rep", "n", "s1", "s2", "parity")
 
-    def sided(side: str, unique: DataFrame | None = None) -> DataFrame:
-        table = about.withColumn("u", F.lit(0).cast("long")) if unique is None else about.join(unique, "rep", "left").fillna(0, ["u"])
-        return table.select(F.col("rep").alias(side), *[F.col(c).alias(side + c) for c in ("n", "s1", "s2", "u")])
+    def sided(side: str) -> DataFrame:
+        return about.select(F.col("rep").alias(side), *[F.col(c).alias(side + c) for c in ("n", "s1", "s2", "parity")])
 
-    def stars(hubs: DataFrame, unique: DataFrame | None = None) -> DataFrame:
+    def stars(hubs: DataFrame) -> DataFrame:
         pairs = hubs.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-        return pairs.join(sided("a", unique), "a").join(sided("b", unique), "b").where(_possible("a", "b")).select("a", "b")
+        return pairs.join(sided("a"), "a").join(sided("b"), "b").where(_possible("a", "b")).select("a", "b")
 
     # texts of the documents that any later step may compare
     pairs = stars(members)
@@ -179,7 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a unique shingle is so among members of big buckets only: elsewhere it rules nothing out
     inner = placed.join(mixed, "bucket").join(attributes, "rep").withColumn("u", F.when(F.col("size") > BIG_BUCKET, F.col("u")).otherwise(0))
     inner = inner.where(F.col("u") * 100 <= F.col("n") * (100 - THRESHOLD))
-    side = lambda s: inner.select("bucket", F.col("rep").alias(s), F.col("comp").alias(f"{s}_comp"), *[F.col(c).alias(s + c) for c in ("n", "s1", "s2", "u")])
+    side = lambda s: inner.select("bucket", F.col("rep").alias(s), F.col("comp").alias(f"{s}_comp"), *[F.col(c).alias(s + c) for c in ("n", "s1", "s2", "parity")])
     across = side("a").join(side("b"), "bucket").where((F.col("a_comp") < F.col("b_comp")) & _possible("a", "b"))
     further = across.select("a", "b").distinct()
     for a, b in (("a", "b"), ("b", "a")):
