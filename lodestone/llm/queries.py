@@ -6,6 +6,7 @@ from lodestone.llm.ann import op2_nearest_neighbours
 from lodestone.llm.bpe import op5_bpe
 from lodestone.llm.licenses import op1_license_scans, op1_sql
 from lodestone.llm.minmax import op10_minmax_near_dedup
+from lodestone.llm.phrases import op3_substring_dedup
 from lodestone.llm.quality import op8_quality
 from lodestone.llm.sharding import op9_sharding
 from lodestone.llm.toxicity import op7_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     for f in (
         op1_license_scans,
         op2_nearest_neighbours,
+        op3_substring_dedup,
         op5_bpe,
         op7_toxicity,
         op8_quality,
