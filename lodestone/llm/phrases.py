@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.session import doc_key, prepare
+from lodestone.llm.session import doc_id_of, doc_key, prepare
 from lodestone.llm.textkit import WHITESPACE, Sketch, Words, chunks, signed, sliding
 
 WINDOW, PHRASE = 20, 6
@@ -171,8 +171,8 @@ def _remove(window: int, k: int):
                     texts.append(b" ".join(w for w, f in zip(raw.split(), flags.tolist()) if not f).decode("utf-8", "replace"))
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
                     spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-                columns = [part.column("row"), pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "_n_words", "_n_removed", "_kept_text", "_removed"])
+                columns = [part.column("did"), part.column("text"), part.column("other"), pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays(columns, ["did", "text", "other", "_n_words", "_n_removed", "_kept_text", "_removed"])
 
     return run
 
@@ -186,33 +186,37 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = PHRASE) -> Da
     An empty table gives an empty result; other columns pass through.
     """
     prepare(docs.sparkSession)
-    # the hash keeps rows of equal ids apart where their texts differ
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), doc_key().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    # every branch below reads the same columns of one exchange by id, so that texts are shuffled once
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    keyed = docs.select(doc_key().alias("did"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.col("text").isNull().alias("_null"), *others).alias("other"))
     ids = docs.select(doc_key().alias("did"), *[F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))).alias(f"t{seed}") for seed in (1, 2)])
     least = ids.groupBy("t1", "t2").agg(F.min("did").alias("least"))
     copies = ids.join(least, ["t1", "t2"]).where("did > least").groupBy("did").agg(F.collect_set(F.struct("t1", "t2")).alias("copied"))
+    # the hash keeps rows of equal ids apart where their texts differ
     hashes = F.struct(*[F.xxhash64(F.lit(seed), "text").alias(f"t{seed}") for seed in (1, 2)])
-    base = keyed.join(copies, "did", "left").select("row", "did", "text", F.coalesce(F.array_contains("copied", hashes), F.lit(False)).alias("copy"))
+    base = keyed.join(copies, "did", "left").select("did", "text", "other", F.coalesce(F.array_contains("copied", hashes), F.lit(False)).alias("copy"))
 
-    long_enough = F.octet_length("text") >= 2 * window - 1
-    rows = base.where(~F.col("copy") & long_enough).select("did", "text").mapInArrow(_sketch_rows(window, k), "phrase long, did long")
+    originals = base.where(~F.col("copy"))
+    rows = originals.mapInArrow(_sketch_rows(window, k), "phrase long, did long")
     recurring = rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
     phrases = rows.join(recurring, "phrase", "left_semi").groupBy("did").agg(F.collect_set("phrase").alias("phrases"))
 
-    held = base.where(~F.col("copy") & long_enough).select("did", "text").join(phrases, "did")
-    classes = held.select("did", "text", "phrases").mapInArrow(_classes(window, k), "phrase long, around long, did long, start long, windows array<long>")
+    held = originals.join(phrases, "did")
+    classes = held.mapInArrow(_classes(window, k), "phrase long, around long, did long, start long, windows array<long>")
     members = classes.groupBy("phrase", "around").agg(F.min(F.struct("did", "start", "windows")).alias("m"))
     flat = members.select("phrase", "m.did", "m.start", F.posexplode("m.windows").alias("i", "window"))
     firsts = flat.groupBy("phrase", "window").agg(F.min(F.struct("did", (F.col("start") + F.col("i")).alias("start"))).alias("m"))
     by_doc = firsts.groupBy("m.did").agg(F.collect_list(F.struct(F.col("m.start").alias("start"), "window")).alias("f"))
     by_doc = by_doc.select("did", F.col("f.start").alias("starts"), F.col("f.window").alias("firsts"))
 
-    joined = base.join(phrases, "did", "left").join(by_doc, "did", "left").select("row", "did", "text", "copy", F.when(~F.col("copy"), F.col("phrases")).alias("phrases"), "starts", "firsts")
+    joined = base.join(phrases, "did", "left").join(by_doc, "did", "left").select("did", "text", "other", "copy", F.when(~F.col("copy"), F.col("phrases")).alias("phrases"), "starts", "firsts")
     schema = T.StructType([
-        joined.schema["row"], T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept_text", T.StringType()),
-        T.StructField("_removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+        joined.schema["did"], joined.schema["text"], joined.schema["other"], T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()),
+        T.StructField("_kept_text", T.StringType()), T.StructField("_removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     ])
-    return joined.mapInArrow(_remove(window, k), schema).select("row.*", "_n_words", "_n_removed", "_kept_text", "_removed")
+    out = joined.mapInArrow(_remove(window, k), schema)
+    source = {"doc_id": doc_id_of().alias("doc_id"), "text": F.when(~F.col("other._null"), F.col("text")).alias("text")}
+    return out.select(*[source.get(c, F.col("other").getField(c).alias(c)) for c in docs.columns], "_n_words", "_n_removed", "_kept_text", "_removed")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
