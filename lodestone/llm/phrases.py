@@ -138,6 +138,26 @@ def _classes(window: int, k: int):
     return run
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+REMOVED = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def kept(words: Words, drop: np.ndarray, removed: np.ndarray) -> tuple[list[str], list[list[dict]]]:
+    """Each text's words without the dropped ones, and the spans of words dropped."""
+    texts, spans = [], []
+    for d in range(words.n):
+        raw = words.data[words.places[d] : words.places[d + 1]].tobytes().split()
+        if not removed[d]:
+            texts.append(b" ".join(raw).decode("utf-8", "replace"))
+            spans.append([])
+            continue
+        flags = drop[words.first[d] : words.first[d + 1]]
+        texts.append(b" ".join(w for w, f in zip(raw, flags.tolist()) if not f).decode("utf-8", "replace"))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
+        spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
+    return texts, spans
+
+
 def _remove(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,33 +179,15 @@ def _remove(window: int, k: int):
                 drop = np.cumsum(covered)[: len(words)] > 0
                 drop |= (copy & (words.counts >= window))[owner]
                 removed = np.bincount(owner, drop, minlength=words.n).astype(np.int64)
-                texts, spans = [], []
-                for d in range(words.n):
-                    lo, hi = int(words.first[d]), int(words.first[d + 1])
-                    raw = words.data[words.places[d] : words.places[d + 1]].tobytes()
-                    if not removed[d]:
-                        texts.append(b" ".join(raw.split()).decode("utf-8", "replace"))
-                        spans.append([])
-                        continue
-                    flags = drop[lo:hi]
-                    texts.append(b" ".join(w for w, f in zip(raw.split(), flags.tolist()) if not f).decode("utf-8", "replace"))
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-                    spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-                columns = [part.column("did"), part.column("text"), part.column("other"), pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+                texts, spans = kept(words, drop, removed)
+                columns = [part.column("did"), part.column("text"), part.column("other"), pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(texts, pa.string()), pa.array(spans, SPANS)]
                 yield pa.RecordBatch.from_arrays(columns, ["did", "text", "other", "_n_words", "_n_removed", "_kept_text", "_removed"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = PHRASE) -> DataFrame:
-    """docs with _n_words, _n_removed, _kept_text (kept words joined by one space) and _removed (spans of words).
-
-    A word is removed if a window of `window` words covers it whose words also start earlier: in a document of smaller id, or
-    in the same document. Null and empty texts have no words. Documents without an id come last and count as one document,
-    as do rows that share an id: of equal windows at equal (id, start) neither is earlier, so equal rows are treated alike.
-    An empty table gives an empty result; other columns pass through.
-    """
-    prepare(docs.sparkSession)
+def with_copies(docs: DataFrame) -> DataFrame:
+    """(did, text, other, copy): `copy` if the same text has a smaller id elsewhere; `other` holds the remaining columns."""
     # every branch below reads the same columns of one exchange by id, so that texts are shuffled once
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     keyed = docs.select(doc_key().alias("did"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.col("text").isNull().alias("_null"), *others).alias("other"))
@@ -194,8 +196,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = PHRASE) -> Da
     copies = ids.join(least, ["t1", "t2"]).where("did > least").groupBy("did").agg(F.collect_set(F.struct("t1", "t2")).alias("copied"))
     # the hash keeps rows of equal ids apart where their texts differ
     hashes = F.struct(*[F.xxhash64(F.lit(seed), "text").alias(f"t{seed}") for seed in (1, 2)])
-    base = keyed.join(copies, "did", "left").select("did", "text", "other", F.coalesce(F.array_contains("copied", hashes), F.lit(False)).alias("copy"))
+    return keyed.join(copies, "did", "left").select("did", "text", "other", F.coalesce(F.array_contains("copied", hashes), F.lit(False)).alias("copy"))
+
 
+def restored(out: DataFrame, columns: list[str], *added: str) -> DataFrame:
+    """The columns that with_copies() was given, and the added ones."""
+    source = {"doc_id": doc_id_of().alias("doc_id"), "text": F.when(~F.col("other._null"), F.col("text")).alias("text")}
+    return out.select(*[source.get(c, F.col("other").getField(c).alias(c)) for c in columns], *added)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = PHRASE) -> DataFrame:
+    """docs with _n_words, _n_removed, _kept_text (kept words joined by one space) and _removed (spans of words).
+
+    A word is removed if a window of `window` words covers it whose words also start earlier: in a document of smaller id, or
+    in the same document. Null and empty texts have no words. Documents without an id come last and count as one document,
+    as do rows that share an id: of equal windows at equal (id, start) neither is earlier, so equal rows are treated alike.
+    An empty table gives an empty result; other columns pass through.
+    """
+    prepare(docs.sparkSession)
+    base = with_copies(docs)
     originals = base.where(~F.col("copy"))
     rows = originals.mapInArrow(_sketch_rows(window, k), "phrase long, did long")
     recurring = rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
@@ -212,11 +231,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = PHRASE) -> Da
     joined = base.join(phrases, "did", "left").join(by_doc, "did", "left").select("did", "text", "other", "copy", F.when(~F.col("copy"), F.col("phrases")).alias("phrases"), "starts", "firsts")
     schema = T.StructType([
         joined.schema["did"], joined.schema["text"], joined.schema["other"], T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()),
-        T.StructField("_kept_text", T.StringType()), T.StructField("_removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+        T.StructField("_kept_text", T.StringType()), T.StructField("_removed", REMOVED),
     ])
     out = joined.mapInArrow(_remove(window, k), schema)
-    source = {"doc_id": doc_id_of().alias("doc_id"), "text": F.when(~F.col("other._null"), F.col("text")).alias("text")}
-    return out.select(*[source.get(c, F.col("other").getField(c).alias(c)) for c in docs.columns], "_n_words", "_n_removed", "_kept_text", "_removed")
+    return restored(out, docs.columns, "_n_words", "_n_removed", "_kept_text", "_removed")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

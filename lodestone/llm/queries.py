@@ -9,6 +9,8 @@ from lodestone.llm.minmax import op10_minmax_near_dedup
 from lodestone.llm.phrases import op3_substring_dedup
 from lodestone.llm.quality import op8_quality
 from lodestone.llm.sharding import op9_sharding
+from lodestone.llm.suffixes import op6_suffix_dedup
+from lodestone.llm.tiling import op4_decontamination
 from lodestone.llm.toxicity import op7_toxicity
 
 QUERIES = {
@@ -17,7 +19,9 @@ QUERIES = {
         op1_license_scans,
         op2_nearest_neighbours,
         op3_substring_dedup,
+        op4_decontamination,
         op5_bpe,
+        op6_suffix_dedup,
         op7_toxicity,
         op8_quality,
         op9_sharding,
