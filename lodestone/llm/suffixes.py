@@ -29,7 +29,11 @@ RUN = PASSAGE - (SELECT - PHRASE)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Retained suffixes whose phrase recurs: the run's key, and the words before and after the place."""
+    """Retained suffixes whose phrase recurs: the run's key, and the words before the place and after the run.
+
+    Of places of a chunk that agree in all of these the earliest stands for all; `more` holds the others, as id and place in
+    turn, so that a line that stands everywhere is a row per chunk.
+    """
     for batch in batches:
         for part in chunks(batch):
             words = Words(part.column("text"), WHITESPACE)
@@ -46,14 +50,22 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, doc = at[keep], doc[keep]
             if not len(at):
                 continue
-            key = words.spans(at, RUN)
-            lo = np.maximum(words.first[doc], at - (PASSAGE - RUN))
-            hi = np.minimum(words.first[doc + 1], at + PASSAGE)
+            key = signed(words.spans(at, RUN)).tolist()
+            lo = np.maximum(words.first[doc], at - (PASSAGE - RUN)).tolist()
+            hi = np.minimum(words.first[doc + 1], at + PASSAGE).tolist()
             raw = words.data.tobytes()
-            left = [b" ".join(raw[words.starts[a] : words.ends[b - 1]].split()) if b > a else b"" for a, b in zip(lo.tolist(), at.tolist())]
-            right = [b" ".join(raw[words.starts[a] : words.ends[b - 1]].split()) for a, b in zip(at.tolist(), hi.tolist())]
-            columns = [pa.array(signed(key)), pa.array(part.column("did").to_numpy()[doc]), pa.array(at - words.first[doc]), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "did", "at", "before", "after"])
+            dids, places = part.column("did").to_numpy()[doc].tolist(), (at - words.first[doc]).tolist()
+            starts, ends = words.starts, words.ends
+            said = lambda a, b: b" ".join(raw[starts[a] : ends[b - 1]].split()) if b > a else b""
+            same: dict[tuple[int, bytes, bytes], list[tuple[int, int]]] = {}
+            for i, p in enumerate(at.tolist()):
+                same.setdefault((key[i], said(lo[i], p), said(p + RUN, hi[i])), []).append((dids[i], places[i]))
+            rows = []
+            for (run, before, after), where in same.items():
+                where.sort()
+                rows.append((run, *where[0], before, after, [x for place in where[1:] for x in place]))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["key", "did", "at", "before", "after", "more"])
 
 
 def common(a: list, b: list) -> int:
@@ -67,8 +79,8 @@ def common(a: list, b: list) -> int:
 
 
 def match(one: tuple[bytes, bytes], two: tuple[bytes, bytes]) -> tuple[int, int]:
-    """Words that two places (before, after) have in common to the left and to the right."""
-    right = len(one[1].split()) if one[1] == two[1] else common(one[1].split(), two[1].split())
+    """Words that two places of a run (words before, words after the run) have in common to the left and to the right."""
+    right = RUN + (len(one[1].split()) if one[1] == two[1] else common(one[1].split(), two[1].split()))
     left = len(one[0].split()) if one[0] == two[0] else common(one[0].split()[::-1], two[0].split()[::-1])
     return left, right
 
@@ -78,12 +90,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None
     for batch in batches:
         marks: list[tuple[int, int, int]] = []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("key", "did", "at", "before", "after", "head_did", "head_at", "head_before", "head_after")))
-        for key, did, at, before, after, head_did, head_at, head_before, head_after in rows:
-            if (did, at) != (head_did, head_at):
+        rows = zip(*(batch.column(c).to_pylist() for c in ("key", "did", "at", "before", "after", "more", "head_did", "head_at", "head_before", "head_after")))
+        for key, did, at, before, after, more, head_did, head_at, head_before, head_after in rows:
+            if more:
+                left, right = match((before, after), (before, after))
+                if left + right >= PASSAGE:
+                    marks += [(d, p - left, p + right) for d, p in zip(more[::2], more[1::2])]
+            if head_did is not None and (did, at) != (head_did, head_at):
                 left, right = match((before, after), (head_before, head_after))
                 if left + right >= PASSAGE:
-                    marks.append((did, at - left, at + right))
+                    marks += [(d, p - left, p + right) for d, p in [(did, at), *zip(more[::2], more[1::2])]]
             if last is not None and last[0] == key and last[1:3] != (did, at):
                 left, right = match((before, after), last[3:5])
                 if left + right >= PASSAGE:
@@ -126,11 +142,11 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     rows = originals.mapInArrow(_sketch_rows(SELECT, PHRASE), "phrase long, did long")
     recurring = rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
     phrases = rows.join(recurring, "phrase", "left_semi").groupBy("did").agg(F.collect_set("phrase").alias("phrases"))
-    suffixes = originals.join(phrases, "did").mapInArrow(_suffixes, "key long, did long, at long, before binary, after binary")
-    heads = suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "at", "before", "after")).alias("h")).where("n > 1")
+    suffixes = originals.join(phrases, "did").mapInArrow(_suffixes, "key long, did long, at long, before binary, after binary, more array<long>")
+    heads = suffixes.groupBy("key").agg((F.count(F.lit(1)) + F.sum(F.size("more"))).alias("n"), F.min(F.struct("did", "at", "before", "after")).alias("h")).where("n > 1")
     heads = heads.select("key", *[F.col(f"h.{c}").alias(f"head_{c}") for c in ("did", "at", "before", "after")])
     ordered = suffixes.join(heads, "key").sortWithinPartitions("key", "after", "before", "did", "at")
-    marks = ordered.select("key", "did", "at", "before", "after", "head_did", "head_at", "head_before", "head_after").mapInArrow(_compare, "did long, start long, end long")
+    marks = ordered.select("key", "did", "at", "before", "after", "more", "head_did", "head_at", "head_before", "head_after").mapInArrow(_compare, "did long, start long, end long")
     by_doc = marks.groupBy("did").agg(F.collect_set(F.struct("start", "end")).alias("m")).select("did", F.col("m.start").alias("starts"), F.col("m.end").alias("ends"))
     joined = base.join(by_doc, "did", "left").select("did", "text", "other", "copy", F.when(~F.col("copy"), F.col("starts")).alias("starts"), F.when(~F.col("copy"), F.col("ends")).alias("ends"))
     schema = T.StructType([
