@@ -26,7 +26,7 @@ from lodestone.llm.textkit import chunks
 NONE = np.int32(2**30)
 WIDE = 64
 #: Pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 class Vocabulary:

@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 #: Stands for a null id: after all others.
 LAST_ID = 2**63 - 1
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Python workers started from now on can import this package."""
+    """Python workers started from now on can import this package, and Arrow batches stay small.
+
+    Batches of BATCH_BYTES (where the session has Spark's default) keep executors' memory low when texts are long.
+    """
+    if spark.conf.get(BATCH, "64m") in ("64m", "67108864b", "67108864"):
+        spark.conf.set(BATCH, BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

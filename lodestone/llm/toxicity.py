@@ -28,7 +28,7 @@ from lodestone.llm.session import prepare
 from lodestone.llm.textkit import WHITESPACE, Words, chunks
 
 #: Bounds of the labelled sample.
-MAX_TOXIC, MAX_CLEAN = 3000, 5000
+MAX_TOXIC, MAX_CLEAN = 2500, 4000
 HELD_OUT_OF, HELD_OUT = 5, 0
 
 TARGET = set("you your yours he him his she her they them their we us our people du dich dir ihr euch sie tu toi vous te usted ustedes tú ellos ellas ils elles".split())
