@@ -13,6 +13,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
+#: Workers give freed memory back instead of keeping it for themselves.
+FRUGAL = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "524288", "MALLOC_ARENA_MAX": "2"}
+
 #: Stands for a null id: after all others.
 LAST_ID = 2**63 - 1
 
@@ -25,6 +28,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     if spark.conf.get(BATCH, "64m") in ("64m", "67108864b", "67108864"):
         spark.conf.set(BATCH, BATCH_BYTES)
     env = spark.sparkContext.environment
+    for name, value in FRUGAL.items():
+        env.setdefault(name, value)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
