@@ -1,4 +1,544 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as X
+from lodestone.operators import encoding, links, mining, quality, snapshots
+from lodestone.plans import search as S
+from lodestone.session import ship
+from lodestone.sources import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: The flagship's words and the stored vector that stands for its meaning.
+WORDS, VECTOR_ID = "that thing", 7
+TODAY = "1998-01-01"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(ship(spark), sf_dir)
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def values_sql(names: list[str], rows: list[tuple]) -> str:
+    def lit(x):
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return str(x).upper()
+        if isinstance(x, list):
+            return "[" + ", ".join(map(lit, x)) + "]"
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS t({', '.join(names)})"
+
+
+# -- items -----------------------------------------------------------------------------------------------------------
+D = """(SELECT d.doc_id AS id, d.doc_id AS ord, split_part(d.text, '.', 1) AS title, d.text AS summary, d.lang AS contentType, [d.source] AS topics,
+  coalesce(l.toxic = 1, false) AS expired FROM documents d LEFT JOIN labels l USING (doc_id))"""
+FOLDED = f"(SELECT *, strip_accents(lower(title)) AS t1, strip_accents(lower(concat_ws(chr(10), contentType, topics[1]))) AS t2, strip_accents(lower(summary)) AS t3 FROM {D})"
+
+
+def _tiers(words: str) -> tuple[str, str]:
+    terms = X.query_terms(words)
+    p = [X.term_pattern_sql(t).replace("'", "''") for t in terms]
+    cases = [f"(CASE WHEN regexp_matches(t1, '{x}') THEN 3 WHEN regexp_matches(t2, '{x}') THEN 2 WHEN regexp_matches(t3, '{x}') THEN 1 ELSE 0 END)" for x in p]
+    return " + ".join(cases), " AND ".join(f"{c} >= 1" for c in cases)
+
+
+SCORE, MATCH = _tiers(WORDS)
+SIMILAR = "(SELECT vec_id AS id, list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS similarity FROM embeddings)"
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """One row by its key: the filter reaches the scan."""
+    return [float(x) for x in V.vectors(spark, sf_dir).where(F.col("id") == VECTOR_ID).first()["vector"]]
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.keyword_index(V.documents(spark, sf_dir))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    request = S.SearchRequest(q=WORDS)
+    out = S.search(index(spark, sf_dir), request, V.vectors(spark, sf_dir), query_vector(spark, sf_dir))
+    return out.select("id", "rank", F.round("rrf", 12).alias("rrf"), "keyword_rank", "semantic_rank", "semantic_only")
+
+
+@query(f"SELECT id FROM {D} WHERE NOT expired")
+def f_visibility(spark, sf_dir):
+    return V.documents(spark, sf_dir).where(S.visible(False)).select("id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_type IN ('STANDARD', 'PROMO', 'ECONOMY') AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#23')")
+def f_facets(spark, sf_dir):
+    return V.parts(spark, sf_dir).where(S.in_facets({"contentType": ("STANDARD", "PROMO", "ECONOMY"), "topics": ("Brand#11", "Brand#12", "Brand#23"), "locations": ()})).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-03-01' AND '1995-09-30'")
+def f_date_range(spark, sf_dir):
+    return V.orders(spark, sf_dir).where(S.in_dates("1995-03-01", "1995-09-30")).select("id")
+
+
+@query("SELECT p_brand AS value, count(*) AS n FROM part WHERE contains(lower(p_brand), '#1') GROUP BY 1")
+def f_facet_value_search(spark, sf_dir):
+    return S.facet_search(S.facet_counts(V.parts(spark, sf_dir), {"topics": True}), "#1").select("value", "n")
+
+
+@query(f"SELECT id FROM {FOLDED} WHERE {MATCH}")
+def k_match(spark, sf_dir):
+    return S.keyword_scores(index(spark, sf_dir), X.query_terms(WORDS)).select("id")
+
+
+@query("SELECT doc_id AS id, strip_accents(lower(text)) AS folded FROM documents")
+def k_fold(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.fold(F.lower("text")).alias("folded"))
+
+
+@query(f"SELECT id, ({SCORE})::BIGINT AS score FROM {FOLDED} WHERE {MATCH}")
+def k_score(spark, sf_dir):
+    return S.keyword_scores(index(spark, sf_dir), X.query_terms(WORDS)).select("id", F.col("score").cast("long").alias("score"))
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY ({SCORE}) DESC, ord) AS rank FROM {FOLDED} WHERE NOT expired AND {MATCH}")
+def k_rank(spark, sf_dir):
+    return S.search(index(spark, sf_dir), S.SearchRequest(q=WORDS, mode="keyword")).select("id", "rank")
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY ord) AS rank FROM {D} WHERE NOT expired")
+def k_no_query(spark, sf_dir):
+    return S.search(index(spark, sf_dir), S.SearchRequest())
+
+
+@query(f"SELECT id, round(similarity, 9) AS similarity FROM {SIMILAR}")
+def s_cosine(spark, sf_dir):
+    q = F.array(*[F.lit(x) for x in query_vector(spark, sf_dir)])
+    return V.vectors(spark, sf_dir).select("id", F.round(S.cosine(F.col("vector"), q), 9).alias("similarity"))
+
+
+@query(f"SELECT s.id, row_number() OVER (ORDER BY similarity DESC, s.id) AS rank, round(similarity, 9) AS similarity FROM {SIMILAR} s JOIN {D} d USING (id) WHERE NOT expired")
+def s_rank(spark, sf_dir):
+    items = V.documents(spark, sf_dir).where(S.visible(False)).select("id", "ord")
+    scored = S.semantic_scores(items, V.vectors(spark, sf_dir), query_vector(spark, sf_dir))
+    return S.ranked(scored, [F.desc("similarity"), "ord"]).select("id", "rank", F.round("similarity", 9).alias("similarity"))
+
+
+SEMANTIC = f"""(SELECT id, semantic_rank, similarity FROM (SELECT s.id, similarity, max(similarity) OVER () AS top, row_number() OVER (ORDER BY similarity DESC, s.id) AS semantic_rank
+  FROM {SIMILAR} s JOIN {D} d USING (id) WHERE NOT expired) WHERE semantic_rank <= 30 AND similarity >= greatest(0.85 * top, 0.30))"""
+KEYWORD = f"(SELECT id, row_number() OVER (ORDER BY ({SCORE}) DESC, ord) AS keyword_rank FROM {FOLDED} WHERE NOT expired AND {MATCH})"
+
+
+@query(f"SELECT id, semantic_rank AS rank, round(similarity, 9) AS similarity FROM {SEMANTIC}")
+def s_cutoff(spark, sf_dir):
+    out = S.search(index(spark, sf_dir), S.SearchRequest(q=WORDS, mode="semantic"), V.vectors(spark, sf_dir), query_vector(spark, sf_dir))
+    return out.select("id", "rank", F.round("similarity", 9).alias("similarity"))
+
+
+@query(f"""SELECT id, row_number() OVER (ORDER BY rrf DESC, keyword_rank NULLS LAST, semantic_rank NULLS LAST) AS rank, round(rrf, 12) AS rrf, keyword_rank, semantic_rank,
+  keyword_rank IS NULL AS semantic_only FROM (SELECT id, keyword_rank, semantic_rank, coalesce(1.0::DOUBLE / (60 + keyword_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) AS rrf
+  FROM {KEYWORD} FULL JOIN {SEMANTIC} USING (id))""")
+def r_hybrid(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query(f"SELECT (SELECT count(*) FROM {KEYWORD}) AS n, (SELECT count(*) FROM documents) AS total")
+def r_counts(spark, sf_dir):
+    hits = S.search(index(spark, sf_dir), S.SearchRequest(q=WORDS, mode="keyword"))
+    return S.result_counts(hits, V.table(spark, sf_dir, "documents"))
+
+
+@query("""SELECT 'contentType' AS facet, p_type AS value, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'topics', p_brand, count(*) FROM part GROUP BY 2
+  UNION ALL SELECT 'locations', p_size::VARCHAR, count(*) FROM part GROUP BY 2""")
+def a_facet_counts(spark, sf_dir):
+    return S.facet_counts(V.parts(spark, sf_dir), {"contentType": False, "topics": True, "locations": True})
+
+
+@query("SELECT role AS value, count(*) AS n FROM (SELECT DISTINCT conv_id, role FROM conversations) GROUP BY 1")
+def a_list_facet(spark, sf_dir):
+    return S.facet_counts(V.conversations(spark, sf_dir), {"topics": True}).select("value", "n")
+
+
+VARIANTS = ["U.S.", "US", "us", "USA", "Québec", "Quebec", "New York", "new-york", None]
+
+
+@query(f"SELECT key, array_to_string(list_sort(list(value)), '|') AS variants FROM (SELECT DISTINCT value, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS key FROM {values_sql(['value'], [(v,) for v in VARIANTS])} WHERE value IS NOT NULL) GROUP BY key HAVING count(*) > 1")
+def a_near_dup(spark, sf_dir):
+    out = quality.near_duplicate_values(literal_rows(spark, "value string", [(v,) for v in VARIANTS]))
+    return out.select("key", F.array_join("variants", "|").alias("variants"))
+
+
+@query("SELECT text AS id, doc_id AS ord, first FROM (SELECT text, doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id > first")
+def a_dup_ids(spark, sf_dir):
+    return quality.duplicate_index(V.table(spark, sf_dir, "documents").select(F.col("text").alias("id"), F.col("doc_id").alias("ord")))
+
+
+@query("SELECT count(DISTINCT len(embedding)) AS n FROM embeddings")
+def a_dims(spark, sf_dir):
+    return V.vectors(spark, sf_dir).agg(F.count_distinct(F.size("vector")).alias("n"))
+
+
+@query(f"SELECT count(*) AS item_count, count(*) FILTER (WHERE id % 10 = 0) AS missing_url, count(*) FILTER (WHERE expired) AS expired_count FROM {D}")
+def g_counters(spark, sf_dir):
+    items = V.documents(spark, sf_dir).withColumn("url", F.when(F.col("id") % 10 != 0, F.lit("https://example.org")))
+    return snapshots.run_counters(items)
+
+
+# -- terms -----------------------------------------------------------------------------------------------------------
+_DROP = "[" + ", ".join(f"'{w}'" for w in sorted(mining.STOP_WORDS | mining.NOISE)) + "]"
+MINED = f"(SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all(text, '{X.WORD.replace(chr(39), chr(39) * 2)}'), lambda w: lower(w)), lambda w: length(w) >= 4 AND NOT list_contains({_DROP}, w) AND w <> lower(source)) AS w FROM documents)"
+
+
+def _mined(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("id"), "text", F.lower("source").alias("blob"), mining.mined_words(F.col("text"), F.array(F.lower("source"))).alias("mined"))
+
+
+def _top_sql(terms: str, most: int) -> str:
+    return f"SELECT id, term, n, rank FROM (SELECT id, term, count(*) AS n, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(pos)) AS rank FROM ({terms}) GROUP BY id, term) WHERE rank <= {most} AND n >= 2"
+
+
+@query(_top_sql(f"SELECT id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM {MINED}", 60))
+def t_terms(spark, sf_dir):
+    return mining.word_counts(_mined(spark, sf_dir)).select("id", "term", "n", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_top_sql(f"SELECT id, w[i] || ' ' || w[i + 1] AS term, i AS pos FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM {MINED})", 40))
+def t_bigrams(spark, sf_dir):
+    return mining.pair_counts(_mined(spark, sf_dir)).select("id", "term", "n", F.col("rank").cast("long").alias("rank"))
+
+
+PHRASES_SQL = f"""SELECT id, term, pos FROM (SELECT doc_id AS id, lower(source) AS blob, unnest(p) AS term, unnest(range(len(p))) AS pos
+  FROM (SELECT *, regexp_extract_all(text, '\\b[A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+){{0,3}}\\b') AS p FROM documents WHERE lang = 'en'))
+  WHERE NOT contains(blob, lower(term)) AND length(term) >= 5 AND len(list_filter(regexp_split_to_array(lower(term), '\\s+'), lambda w: NOT list_contains({_DROP}, w))) > 0"""
+
+
+@query(_top_sql(PHRASES_SQL, 30))
+def t_phrases(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents").where("lang = 'en'")
+    items = docs.select(F.col("doc_id").alias("id"), "text", F.lower("source").alias("blob"))
+    return mining.phrase_counts(items).select("id", "term", "n", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def t_keywords(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents")
+    items = docs.select(F.col("doc_id").alias("id"), "text", F.lower("source").alias("blob"), F.array(F.lower("source")).alias("known"))
+    return mining.keywords(items)
+
+
+_TAGS = "html"
+for _tag in X.HIDDEN_TAGS:
+    _TAGS = f"regexp_replace({_TAGS}, '<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'gis')"
+
+
+def _unescape_sql(x: str) -> str:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return x
+
+
+def _squeeze_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[\\s\\x0B\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}]+', ' ', 'g'))"
+
+
+_COMMENTS = _TAGS.replace("html", "regexp_replace(html, '<!--.*?-->', '', 'gs')", 1)
+
+
+@query("SELECT page_id AS id, " + _squeeze_sql(_unescape_sql(f"regexp_replace({_COMMENTS}, '<[^>]+>', ' ', 'g')")) + " AS body FROM pages")
+def t_html_text(spark, sf_dir):
+    return V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), X.html_body(F.col("html")).alias("body"))
+
+
+@query("SELECT page_id AS id, " + _squeeze_sql(_unescape_sql("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")) + " AS title FROM pages")
+def t_html_title(spark, sf_dir):
+    return V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), X.html_title(F.col("html")).alias("title"))
+
+
+@query("SELECT page_id AS id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\\.', '') AS domain FROM pages")
+def t_domain(spark, sf_dir):
+    return V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), X.domain(F.col("url")).alias("domain"))
+
+
+# -- display ---------------------------------------------------------------------------------------------------------
+def _escape_sql(x: str) -> str:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        x = f"replace({x}, '{char}', '{entity}')"
+    return x
+
+
+@query("SELECT page_id AS id, " + _escape_sql("html") + " AS escaped FROM pages")
+def x_escape(spark, sf_dir):
+    return V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), X.escape_html(F.col("html")).alias("escaped"))
+
+
+_MARKED = "regexp_replace(text, '([A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)*)', chr(1) || '\\1' || chr(2), 'g')"
+_MARKED = f"regexp_replace({_MARKED}, '\\x01({X.display_match(WORDS.split()).replace(chr(39), chr(39) * 2)})\\x02', chr(3) || '\\1' || chr(4), 'gi')"
+_MARKED = _escape_sql(f"replace(replace({_MARKED}, chr(1), ''), chr(2), '')")
+
+
+@query(f"SELECT doc_id AS id, replace(replace({_MARKED}, chr(3), '<mark>'), chr(4), '</mark>') AS marked FROM documents")
+def x_highlight(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.highlight(F.col("text"), WORDS.split()).alias("marked"))
+
+
+@query("SELECT doc_id AS id, array_to_string(list_filter(string_split(text, chr(10)), lambda v: regexp_matches(strip_accents(lower(v)), '\\bthat(?:''s|es|ers|er|ing|ed|s|d)?\\b')), '|') AS hits FROM documents")
+def x_matching_values(spark, sf_dir):
+    hits = X.matching_values(F.split("text", "\n"), ["that"])
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(hits, "|").alias("hits"))
+
+
+TOPIC_ROWS = [(1, ["Soil", "Trials", "Data", "Trial design", "Policy"]), (2, []), (3, ["trial"]), (4, ["a", "b", "c", "d", "e"])]
+
+
+@query("SELECT * FROM (VALUES (1, 'Trials|Trial design|Soil|Data'), (2, ''), (3, 'trial'), (4, 'a|b|c|d')) AS t(id, topics)")
+def x_topics_order(spark, sf_dir):
+    rows = literal_rows(spark, "id int, topics array<string>", TOPIC_ROWS)
+    return rows.select("id", F.array_join(X.topics_in_order(F.col("topics"), ["trial"]), "|").alias("topics"))
+
+
+# -- links -----------------------------------------------------------------------------------------------------------
+PEOPLE = [(1, "Ann; Bob ;ann; ;Cy"), (2, ""), (3, None)]
+
+
+@query("SELECT * FROM (VALUES (1, 'Ann|Bob|Cy'), (2, ''), (3, '')) AS t(id, people)")
+def l_people(spark, sf_dir):
+    rows = literal_rows(spark, "id int, people string", PEOPLE)
+    return rows.select("id", F.array_join(X.distinct_ignoring_case(X.split_list(F.col("people"))), "|").alias("people"))
+
+
+DOI_ROWS = [(1, "10.1/a; 10.1/b", "x;y", None), (2, "10.1/a;10.1/b", "x", None), (3, None, None, "https://DOI.org/10.9/z"), (4, "10.1/a", "x", "u"), (5, None, None, None)]
+
+
+@query("SELECT * FROM (VALUES (1, '10.1/a|10.1/b', 2), (2, '10.1/a|10.1/b', NULL), (3, '10.9/z', NULL), (4, '10.1/a', NULL), (5, '', NULL)) AS t(id, dois, papers)")
+def l_doi(spark, sf_dir):
+    rows = literal_rows(spark, "id int, doi string, citations string, url string", DOI_ROWS)
+    papers = X.cited_papers(F.col("doi"), F.col("citations"))
+    return rows.select("id", F.array_join(X.dois(F.col("doi"), F.col("url")), "|").alias("dois"), F.when(papers.isNotNull(), F.size(papers)).alias("papers"))
+
+
+GATE = "safelinks.example.org"
+
+
+@query("SELECT * FROM (VALUES (1, 'https://a.org/x?y=1'), (2, 'https://b.org/?url=c'), (3, 'https://g.safelinks.example.org/?d=1')) AS t(id, url)")
+def l_unwrap(spark, sf_dir):
+    rows = [(1, f"https://g.{GATE}/?url=https%3A%2F%2Fa.org%2Fx%3Fy%3D1&data=2"), (2, "https://b.org/?url=c"), (3, f"https://g.{GATE}/?d=1")]
+    return literal_rows(spark, "id int, url string", rows).select("id", X.unwrap(F.col("url"), GATE).alias("url"))
+
+
+SHEET = [(1, "u1", "Live", None, None), (2, "u2", "dead", None, None), (3, "u3", "DEAD ", "", "https://web.archive.org/u3"), (4, "u4", "live", "Safe to drop", None), (5, "u5", "Closed", None, None), (6, "u6", "gated (login)", None, None), (7, "u7", "Unreachable", None, "https://n.org"), (8, "u8", "odd", None, None), (9, "u9", "dead (domain hijacked)", None, None), (10, "u1", "dead", None, None), (11, "", "live", None, None)]
+_S = "lower(trim(coalesce(status, '')))"
+
+
+@query(f"""SELECT url, CASE WHEN coalesce(replacement, '') <> '' THEN replacement WHEN gone THEN NULL WHEN alive THEN url WHEN {_S} LIKE 'dead%' THEN NULL ELSE url END AS final,
+  CASE WHEN coalesce(replacement, '') <> '' THEN CASE WHEN contains(replacement, 'web.archive.org') THEN 'archived' ELSE 'alternate' END WHEN gone THEN 'unavailable' WHEN alive THEN 'live'
+  WHEN {_S} LIKE 'dead%' THEN 'unavailable' ELSE 'live' END AS status FROM (SELECT *, lower(trim(coalesce(recovery, ''))) = 'safe to drop' OR {_S} IN ('unresolvable wrapper', 'unreachable', 'email contact, not a link')
+  OR {_S} LIKE 'dead (domain hijacked)%' AS gone, {_S} LIKE 'live%' OR {_S} = 'closed' OR {_S} LIKE 'gated%' AS alive, row_number() OVER (PARTITION BY url ORDER BY ord DESC) AS r
+  FROM {values_sql(['ord', 'url', 'status', 'recovery', 'replacement'], SHEET)} WHERE url <> '') WHERE r = 1""")
+def l_resolve(spark, sf_dir):
+    return links.resolutions(literal_rows(spark, "ord long, url string, status string, recovery string, replacement string", SHEET))
+
+
+@query("SELECT * FROM (VALUES (1, 'b', 'live', 2), (2, 'old', 'live', NULL), (3, 'x', 'alternate', 1), (4, 'keep', 'live', NULL)) AS t(id, url, urlStatus, n)")
+def l_primary(spark, sf_dir):
+    items = literal_rows(spark, "id int, url string, urlStatus string, links array<struct<url:string,anchorText:string,urlStatus:string>>", [(1, "a", "live", None), (2, "old", "live", None), (3, "q", "live", None), (4, "keep", "live", None)])
+    found = literal_rows(spark, "id int, pos int, href string, unwrapped string, anchorText string", [(1, 0, "a", "a", "A"), (1, 1, "b", "b", "B"), (2, 0, "gone", "gone", "G"), (3, 0, "w", "y", "Y")])
+    known = literal_rows(spark, "url string, final string, status string", [("gone", None, "unavailable"), ("y", "x", "alternate")])
+    wanted = literal_rows(spark, "id int, url string", [(1, "b"), (3, "none")])
+    out = links.rebuilt(items, links.resolved_links(found, known), wanted)
+    return out.select("id", "url", "urlStatus", F.when(F.col("links").isNotNull(), F.size("links")).alias("n"))
+
+
+@query("SELECT * FROM (VALUES (1, 'r', 'alternate'), (2, 'u', 'live'), (3, NULL, 'unavailable'), (4, 'https://web.archive.org/u', 'archived')) AS t(id, url, status)")
+def l_choice(spark, sf_dir):
+    rows = literal_rows(spark, "id int, url string, replacement string", [(1, "u", "r"), (2, "u", ""), (3, None, None), (4, "u", "https://web.archive.org/u")])
+    return rows.select("id", links.chosen_url(F.col("url"), F.col("replacement")).alias("c")).select("id", "c.url", "c.status")
+
+
+@query(f"SELECT o_orderkey AS id, o_orderpriority = '1-URGENT' AND date_diff('day', o_orderdate::DATE, DATE '{TODAY}') > 90 AS expired FROM orders")
+def e_expired(spark, sf_dir):
+    kind = F.when(F.col("contentType") == "1-URGENT", links.EXPIRING_TYPES[0]).otherwise("other")
+    return V.orders(spark, sf_dir).select("id", links.expired(kind, F.col("publishDate"), TODAY).alias("expired"))
+
+
+# -- snapshots and quality -------------------------------------------------------------------------------------------
+def _versions(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents")
+    changed = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    old = docs.where("doc_id % 17 <> 0").select(F.col("doc_id").alias("id"), snapshots.content_hash("text", "lang").alias("hash"))
+    new = docs.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("id"), snapshots.content_hash(changed.alias("text"), "lang").alias("hash"))
+    return old, new
+
+
+@query("""SELECT coalesce(o.doc_id, n.doc_id) AS id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'updated' END AS change
+  FROM (SELECT * FROM documents WHERE doc_id % 17 <> 0) o FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 13 <> 0) n
+  ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.text <> n.text""")
+def d_snapshot_diff(spark, sf_dir):
+    return snapshots.difference(*_versions(spark, sf_dir))
+
+
+@query("SELECT coalesce(d.doc_id, e.vec_id) AS id, CASE WHEN e.vec_id IS NULL THEN 'left' ELSE 'right' END AS side FROM documents d FULL JOIN embeddings e ON d.doc_id = e.vec_id WHERE d.doc_id IS NULL OR e.vec_id IS NULL")
+def s_id_check(spark, sf_dir):
+    return snapshots.missing_both_ways(V.documents(spark, sf_dir).select("id"), V.vectors(spark, sf_dir))
+
+
+@query("""SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda x: round_even(x::DOUBLE / s, 0)::INT), ',') AS q, round(s, 12) AS scale
+  FROM (SELECT vec_id, embedding, CASE WHEN m = 0 THEN 1.0 ELSE m / 127.0::DOUBLE END AS s FROM (SELECT *, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS m FROM embeddings))""")
+def s_quantize(spark, sf_dir):
+    out = V.vectors(spark, sf_dir).select("id", encoding.quantise(F.col("vector")).alias("r"))
+    return out.select("id", F.array_join(F.transform("r.q", lambda x: x.cast("string")), ",").alias("q"), F.round("r.scale", 12).alias("scale"))
+
+
+@query()
+def s_encode(spark, sf_dir):
+    """A toy model: letters and frequent word beginnings, rows from the ids."""
+    tokens = ["[UNK]", *"abcdefghijklmnopqrstuvwxyz", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"), "the", "that", "th", "##ing", "."]
+    vocabulary = {t: i for i, t in enumerate(tokens)}
+    table = literal_rows(spark, "token_id int, q array<tinyint>, scale float", [(i, [(i * k) % 11 - 5 for k in range(1, 9)], 0.5) for i in range(len(tokens))])
+    items = V.documents(spark, sf_dir).select("id", encoding.basic_tokens(encoding.item_text(F.col("title"), F.lit(""))).alias("w"))
+    pieces = encoding.word_pieces(encoding.Model(8, 0), vocabulary)
+    return encoding.encode(items.select("id", pieces("w").alias("tokens")), table).select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+def _report(name: str, sql: str):
+    def add(f):
+        f.__name__ = name
+        return query(f"SELECT id::VARCHAR AS id, message FROM ({sql})")(f)
+
+    return add
+
+
+@_report("v_ids", "SELECT text AS id, 'first at ' || first AS message FROM (SELECT text, doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id > first")
+def _v_ids(spark, sf_dir):
+    return quality.ids(V.table(spark, sf_dir, "documents").select(F.col("text").alias("id"), F.col("doc_id").alias("ord"))).select("id", "message")
+
+
+DIRTY = [
+    (1, "2026-01-05", None, "https://a.org", "live", "Ann", '{"id":1,"title":" ","summary":"","contentType":null,"topics":[]}'),
+    (2, "2026-99-99", "05/01/2026", None, "live", "sk-" + "a" * 24, '{"id":2,"title":"t","summary":"","contentType":"x","topics":[],"locations":[],"croppingSystems":[],"Curator Notes ":1}'),
+    (3, "Jan 2026", None, "ftp://a.org", "live", "AKIA" + "A" * 16, '{"id":3,"title":"t","summary":"","contentType":"x","topics":[],"locations":[],"croppingSystems":[],"deep":{"internalNotes":"x"}}'),
+    (4, None, None, None, "unavailable", "cafÃ© â€œ", '{"id":4,"title":"t","summary":"","contentType":"x","topics":[],"locations":[],"croppingSystems":[]}'),
+    (5, "", None, "HTTP://b.org/?utm_source=x&utm_campaign=y", None, "secret_" + "b" * 22, '{"id":5}'),
+]
+DIRTY_NAMES = ["id", "publishDate", "createdAt", "url", "urlStatus", "summary", "raw"]
+_DIRTY = values_sql(DIRTY_NAMES, DIRTY)
+
+
+def _dirty(spark):
+    return literal_rows(spark, "id int, publishDate string, createdAt string, url string, urlStatus string, summary string, raw string", DIRTY).withColumn("ord", F.col("id").cast("long"))
+
+
+@_report("v_dates", f"SELECT id, 'bad publishDate' AS message FROM {_DIRTY} WHERE NOT regexp_matches(publishDate, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') UNION ALL SELECT id, 'bad createdAt' FROM {_DIRTY} WHERE NOT regexp_matches(createdAt, '^\\d{{4}}-\\d{{2}}-\\d{{2}}')")
+def _v_dates(spark, sf_dir):
+    return quality.dates(_dirty(spark), "publishDate", "createdAt").select("id", "message")
+
+
+@_report("v_urls", f"SELECT id, 'no url, yet not unavailable' AS message FROM {_DIRTY} WHERE url IS NULL AND coalesce(urlStatus, '') <> 'unavailable' UNION ALL SELECT id, 'not a web address' FROM {_DIRTY} WHERE NOT regexp_matches(url, '(?i)^https?://')")
+def _v_urls(spark, sf_dir):
+    return quality.urls(_dirty(spark)).select("id", "message")
+
+
+@_report("v_required", "SELECT * FROM (VALUES (1, 'missing locations'), (1, 'missing croppingSystems'), (1, 'blank title'), (5, 'missing title'), (5, 'missing summary'), (5, 'missing contentType'), (5, 'missing topics'), (5, 'missing locations'), (5, 'missing croppingSystems')) AS t(id, message)")
+def _v_required(spark, sf_dir):
+    return quality.required(_dirty(spark)).select("id", "message")
+
+
+@_report("v_secrets", f"SELECT id, 'secret shape ' || CASE WHEN regexp_matches(summary, 'sk-[A-Za-z0-9]{{20,}}') THEN 0 WHEN regexp_matches(summary, 'secret_[A-Za-z0-9]{{20,}}') THEN 1 WHEN regexp_matches(summary, 'AKIA[0-9A-Z]{{16}}') THEN 2 END AS message FROM {_DIRTY} WHERE regexp_matches(summary, 'sk-[A-Za-z0-9]{{20,}}|secret_[A-Za-z0-9]{{20,}}|AKIA[0-9A-Z]{{16}}')")
+def _v_secrets(spark, sf_dir):
+    return quality.secrets(_dirty(spark), "summary").select("id", "message")
+
+
+@_report("v_internal_keys", "SELECT * FROM (VALUES (2, 'internal key'), (3, 'internal key')) AS t(id, message)")
+def _v_internal(spark, sf_dir):
+    return quality.internal_keys(_dirty(spark)).select("id", "message")
+
+
+@_report("v_vocabulary", "SELECT doc_id AS id, 'contentType: ' || lang AS message FROM documents WHERE lang NOT IN ('en', 'de')")
+def _v_vocabulary(spark, sf_dir):
+    return quality.vocabulary(V.documents(spark, sf_dir), "contentType", ["en", "de"], False).select("id", "message")
+
+
+@_report("v_vectors", "SELECT doc_id AS id, 'no vector' AS message FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'stale vector' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+def _v_vectors(spark, sf_dir):
+    return quality.vectors(V.documents(spark, sf_dir), V.vectors(spark, sf_dir)).select("id", "message")
+
+
+@_report("v_history", "SELECT doc_id AS id, 'removed' AS message FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 13 = 0 UNION ALL SELECT doc_id, 'added' FROM documents WHERE doc_id % 17 = 0 AND doc_id % 13 <> 0")
+def _v_history(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return quality.history(new, old).select("id", "message")
+
+
+@_report("v_schema", "SELECT id, message FROM (SELECT doc_id AS id, 'title' AS message FROM documents WHERE length(split_part(text, '.', 1)) < 3 ORDER BY doc_id LIMIT 25) UNION ALL SELECT NULL, 'and more: ' || (n - 25) FROM (SELECT count(*) AS n FROM documents WHERE length(split_part(text, '.', 1)) < 3) WHERE n > 25")
+def _v_schema(spark, sf_dir):
+    return quality.schema_violations(V.documents(spark, sf_dir), {"title": F.length("title") >= 3, "summary": F.col("summary").isNotNull()}).select("id", "message")
+
+
+@_report("v_count", "SELECT NULL AS id, 'items: ' || count(*) AS message FROM documents")
+def _v_count(spark, sf_dir):
+    return quality.declared_count(V.documents(spark, sf_dir), -1).select("id", "message")
+
+
+KEYWORDS = [(1, ["a", "A"], "2026-01-01", "manual", "10.1000/x;bad"), (2, ["new"], None, "odd", "10.1000/x"), (3, None, "2026-01-01", None, None), (4, [" "], "2026-01-01", None, "10.1000/y"), (5, [f"k{i}" for i in range(21)], "2026-01-01", "doi:10.1", None), (6, ["Said"], "2026-01-01", "scraped-page", None)]
+
+
+def _keyed(spark):
+    return literal_rows(spark, "id int, pageKeywords array<string>, pageKeywordsUpdatedAt string, pageKeywordsSource string, doi string", KEYWORDS)
+
+
+@_report("p_pairing", "SELECT * FROM (VALUES (2, 'keywords and time don''t pair'), (3, 'keywords and time don''t pair'), (4, 'no source'), (2, 'unknown source')) AS t(id, message)")
+def _p_pairing(spark, sf_dir):
+    return quality.keyword_pairing(_keyed(spark)).select("id", "message")
+
+
+@_report("p_lists", "SELECT * FROM (VALUES (5, 'too many'), (4, 'blank'), (1, 'repeated'), (1, 'already said'), (6, 'already said')) AS t(id, message)")
+def _p_lists(spark, sf_dir):
+    return quality.keyword_lists(_keyed(spark), F.lit("what was said before")).select("id", "message")
+
+
+@_report("p_identifiers", "SELECT 1 AS id, 'bad: bad' AS message")
+def _p_identifiers(spark, sf_dir):
+    return quality.identifiers(_keyed(spark)).select("id", "message")
+
+
+@_report("p_wrapped", f"SELECT id, m AS message FROM {_DIRTY}, (SELECT unnest(['mimecastprotect.com', 'list-manage.com', 'safelinks.protection.outlook.com', '__cf_chl_tk', 'utm_source', 'utm_campaign']) AS m) WHERE contains(url, m)")
+def _p_wrapped(spark, sf_dir):
+    return quality.wrapped_urls(_dirty(spark)).select("id", "message")
+
+
+@_report("p_mojibake", "SELECT 4 AS id, 'marker 0' AS message")
+def _p_mojibake(spark, sf_dir):
+    return quality.mojibake(_dirty(spark).select("id", F.col("summary").alias("value"))).select("id", "message")
+
+
+@query("SELECT '10.1000/x' AS doi, '1|2' AS ids")
+def p_shared(spark, sf_dir):
+    return quality.shared_identifiers(_keyed(spark)).select("doi", F.array_join(F.col("ids").cast("array<string>"), "|").alias("ids"))
+
+
+@query("SELECT count(*) AS errors, 0::BIGINT AS warnings, CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT text, doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id > first")
+def g_gate(spark, sf_dir):
+    return quality.verdict(quality.ids(V.table(spark, sf_dir, "documents").select(F.col("text").alias("id"), F.col("doc_id").alias("ord"))))
+
+
+ROUTES = [(1, ["d"], ["v"], "x" * 400, "", ["p"], False), (2, [], ["v"], "x" * 400, "", ["p"], False), (3, [], [], "Just a moment", "", ["p"], False), (4, [], [], "short", "m", ["p"], False), (5, None, None, "x" * 400, "", ["p"], False), (6, None, None, None, None, None, True)]
+
+
+@query("SELECT * FROM (VALUES (1, 'ok', 'doi', 'd'), (2, 'ok', 'video', 'v'), (3, 'blocked', NULL, NULL), (4, 'low_yield', NULL, NULL), (5, 'ok', 'page', 'p'), (6, 'failed', NULL, NULL)) AS t(id, status, via, keywords)")
+def m_routes(spark, sf_dir):
+    rows = literal_rows(spark, "id int, doi_terms array<string>, video_terms array<string>, page_text string, page_meta string, page_terms array<string>, failed boolean", ROUTES)
+    return mining.routed(rows).withColumn("keywords", F.array_join("keywords", "|"))
