@@ -22,7 +22,7 @@ from lodestone.llm.textkit import WHITESPACE, Words, chunks
 from lodestone.llm.toxicity import labelled_sample
 
 #: Bound of the labelled sample: documents of either label.
-MAX_EACH = 2500
+MAX_EACH = 2000
 HELD_OUT_OF, HELD_OUT = 3, 1
 STEPS = 250
 
@@ -53,8 +53,8 @@ class Lines:
         newline = np.flatnonzero(data == 10)
         begins = np.unique(np.concatenate([words.places[:-1], newline + 1]))
         begins = begins[begins < len(data)]
-        ends = np.append(begins[1:], len(data))
-        sizes = np.maximum(ends - begins - (data[ends - 1] == 10), 0) if len(begins) else ends
+        ends = np.append(begins[1:], len(data))[: len(begins)]
+        sizes = np.maximum(ends - begins - (data[ends - 1] == 10), 0)
         keep = sizes > 0
         begins, ends, self.length = begins[keep], ends[keep], sizes[keep].astype(float)
         self.first = np.searchsorted(begins, words.places)
@@ -95,6 +95,21 @@ class Lines:
         self.x = np.concatenate([own, before, after, np.ones((m, 1))], axis=1)
 
 
+def joined_lines(texts: list[str]) -> Lines:
+    """Lines of many texts, made chunk by chunk."""
+    parts = [Lines(part.column("text")) for part in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]))]
+    out = Lines(pa.array([], pa.string()))
+    if parts:
+        lines_before = np.cumsum([0, *(len(p.x) for p in parts)])
+        texts_before = np.cumsum([0, *(p.n for p in parts)])
+        out.n = int(texts_before[-1])
+        out.x = np.concatenate([p.x for p in parts])
+        out.length = np.concatenate([p.length for p in parts])
+        out.owner = np.concatenate([p.owner + t for p, t in zip(parts, texts_before)])
+        out.first = np.concatenate([*(p.first[:-1] + m for p, m in zip(parts, lines_before)), lines_before[-1:]])
+    return out
+
+
 class Field:
     """The chain: emission weights of `good` against `bad`, and transition scores [from, to]; `edge` maps the document's
     log-odds of its mean marginal to a score."""
@@ -155,7 +170,7 @@ class Field:
 def learn(texts: list[str], good: list[int], prior: float) -> Field:
     """Maximum likelihood with ridge by gradient ascent (Adam), then slope and shift of the document score. `prior`: the
     share of good documents among all labels, to which the sample's share is corrected."""
-    lines = Lines(pa.array(texts, pa.string()))
+    lines = joined_lines(texts)
     y = np.array(good, dtype=float)
     if len(set(good)) < 2 or not len(lines.x):
         return Field(np.zeros(OWN * 3 + 1), np.zeros((2, 2)), 0.0, float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))), prior)
