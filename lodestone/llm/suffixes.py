@@ -88,7 +88,7 @@ def match(one: tuple[bytes, bytes], two: tuple[bytes, bytes]) -> tuple[int, int]
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks from sorted suffixes: the neighbour and the run's earliest are compared with each."""
     last = None
-    for batch in batches:
+    for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
         marks: list[tuple[int, int, int]] = []
         rows = zip(*(batch.column(c).to_pylist() for c in ("key", "did", "at", "before", "after", "more", "head_did", "head_at", "head_before", "head_after")))
         for key, did, at, before, after, more, head_did, head_at, head_before, head_after in rows:
@@ -99,7 +99,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if head_did is not None and (did, at) != (head_did, head_at):
                 left, right = match((before, after), (head_before, head_after))
                 if left + right >= PASSAGE:
-                    marks += [(d, p - left, p + right) for d, p in [(did, at), *zip(more[::2], more[1::2])]]
+                    marks.append((did, at - left, at + right))
             if last is not None and last[0] == key and last[1:3] != (did, at):
                 left, right = match((before, after), last[3:5])
                 if left + right >= PASSAGE:
