@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from lodestone.llm.textkit import chunks
 NONE = np.int32(2**30)
 WIDE = 64
 #: Pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 
 
 class Vocabulary:
@@ -49,7 +50,12 @@ class Vocabulary:
         order = np.argsort(keys)
         self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.pair_ranks = np.append(np.array(list(self.pairs.values()), dtype=np.int32)[order], NONE) if len(keys) else np.array([NONE])
-        self.memory: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Known pieces: their number, and where in `flat` their ids begin and how many they are."""
+        self.memory: dict[str, int] = {}
+        self.flat, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs; NONE where one side is missing (-1) or the pair is no token."""
@@ -181,20 +187,25 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and where each text's ids begin (and the last end)."""
         found = [self.pattern.findall(t) for t in texts]
-        memory = self.memory
-        fresh = list({p for pieces in found for p in pieces if p not in memory})
-        if len(memory) + len(fresh) > REMEMBERED:
-            memory.clear()
-            fresh = list({p for pieces in found for p in pieces})
-        if fresh:
-            memory.update(zip(fresh, self.merge(fresh)))
-        parts = [memory[p] for pieces in found for p in pieces]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        pieces_to = np.concatenate([[0], np.cumsum([len(p) for p in found])]).astype(np.int64)
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), ends[pieces_to]
+        pieces = list(chain.from_iterable(found))
+        if len(self.memory) > REMEMBERED:
+            self.forget()
+        places = list(map(self.memory.get, pieces))
+        if None in places:
+            fresh = list({p for p, place in zip(pieces, places) if place is None})
+            merged = self.merge(fresh)
+            sizes = np.fromiter(map(len, merged), np.int64, len(merged))
+            self.memory.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh))))
+            self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, *merged])
+            places = list(map(self.memory.__getitem__, pieces))
+        at = np.array(places, dtype=np.int64)
+        sizes = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        # all pieces' ids one after the other: each id is its piece's begin and its place in the piece
+        ids = self.flat[np.repeat(self.begins[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[np.cumsum([0, *map(len, found)])]
 
     def decode(self, ids: pa.Array) -> pa.Array:
         """Bytes of each list of ids; null for a null list."""
