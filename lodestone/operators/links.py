@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The archive's host, statuses that drop a link, types that expire, days that they live.
 ARCHIVE = "web.archive.org"
@@ -13,6 +14,9 @@ DROP_STATUSES = ["unresolvable wrapper", "unreachable", "email contact, not a li
 EXPIRING_TYPES, LIFETIME_DAYS = ("Job posting", "Survey"), 90
 
 
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("url", T.StringType())]))
+
+
 def _given(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
@@ -80,7 +84,7 @@ def call_to_action(url: Column, dump: Column, n_links: Column, status: Column) -
     return F.when(_given(url) & ~dump & (n_links <= 1), F.when(status == "archived", "view archived").otherwise("view")).when(~_given(url), "no link")
 
 
-@F.pandas_udf("array<struct<start:int,end:int,url:string>>")
+@F.pandas_udf(SPANS)
 def anchor_spans(text: pd.Series, anchors: pd.Series, urls: pd.Series) -> pd.Series:
     """Where each link's anchor first stands as whole words, off the spans of earlier links; others are left out."""
     def word(c: str) -> bool:

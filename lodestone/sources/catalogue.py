@@ -89,7 +89,7 @@ def read_extractions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(token_id, token): the line number is the id; one line break at the end ends the last line."""
-    text = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\r?\n\z", "").alias("t"))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n\z", "").alias("t"))
     return text.select(F.posexplode(F.split("t", r"\r?\n")).alias("token_id", "token"))
 
 
