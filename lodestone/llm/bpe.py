@@ -4,7 +4,7 @@ Leaf i of a piece's tree holds the rank of the pair that starts at byte position
 the least rank below them, the left one on ties. The root names the leftmost pair of least rank; a merge updates the two
 leaves of the merged pair and the leaf of the live neighbour to its left, each in as many steps as the tree is high.
 Pieces of up to WIDE bytes are merged many at a time, a forest of equal trees as one array; longer ones singly.
-Each distinct piece of a chunk is merged once; what a worker keeps between chunks is bounded.
+Each distinct piece of a chunk is merged once; what a task keeps between chunks is bounded.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from lodestone.llm.textkit import chunks
 
 NONE = np.int32(2**30)
 WIDE = 64
-#: Pieces that a worker remembers; beyond that it starts anew.
+#: Pieces that a task remembers; beyond that it starts anew.
 REMEMBERED = 1 << 18
 
 
@@ -246,6 +246,7 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> Da
                 flat, bounds = vocab.encode(part.column("text").to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("row"), ids], ["row", "_ids"])
+        vocab.forget()  # the worker lives on, for other operators
 
     return packed.mapInArrow(run, schema).select("row.*", "_ids")
 
