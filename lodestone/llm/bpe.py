@@ -36,9 +36,6 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.bytes_of = {i: b for b, i in ranks.items()}
-        size = max(self.bytes_of, default=-1) + 1
-        self.table = pa.array([self.bytes_of.get(i, b"") for i in range(size)], pa.large_binary())
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.pairs: dict[tuple[int, int], int] = {}
         for whole, rank in ranks.items():
@@ -207,6 +204,14 @@ class Vocabulary:
         ids = self.flat[np.repeat(self.begins[at] - ends[:-1], sizes) + np.arange(ends[-1])]
         return ids, ends[np.cumsum([0, *map(len, found)])]
 
+
+class Tokens:
+    """The bytes of each id, which is all that decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        bytes_of = {i: b for b, i in ranks.items()}
+        self.table = pa.array([bytes_of.get(i, b"") for i in range(max(bytes_of, default=-1) + 1)], pa.large_binary())
+
     def decode(self, ids: pa.Array) -> pa.Array:
         """Bytes of each list of ids; null for a null list."""
         ids = ids.cast(pa.large_list(pa.int32())) if not pa.types.is_large_list(ids.type) else ids
@@ -230,20 +235,31 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(read_ranks(path), pattern)
 
 
+@lru_cache(maxsize=2)
+def tokens(path: str) -> Tokens:
+    return Tokens(read_ranks(path))
+
+
+def column_of(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
+    """(row, value): a column of the struct `row` beside it, so that it crosses to Python once."""
+    rows = batch.column("row")
+    return pa.RecordBatch.from_arrays([rows, rows.field(name)], ["row", "value"])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
     """docs with `_ids`, the token ids of the whole text; the rank file must be at `path` on every executor.
 
     Null texts count as empty: no ids. Other columns pass through whatever their names; rows stay rows.
     """
     prepare(docs.sparkSession)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(column), F.lit("")).alias("text"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
     schema = T.StructType([packed.schema["row"], T.StructField("_ids", T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
         for batch in batches:
-            for part in chunks(batch):
-                flat, bounds = vocab.encode(part.column("text").to_pylist())
+            for part in chunks(column_of(batch, column), "value"):
+                flat, bounds = vocab.encode(part.column("value").fill_null("").to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("row"), ids], ["row", "_ids"])
         vocab.forget()  # the worker lives on, for other operators
@@ -251,18 +267,19 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> Da
     return packed.mapInArrow(run, schema).select("row.*", "_ids")
 
 
-def decode(ids: DataFrame, path: str, pattern: str, column: str = "_ids") -> DataFrame:
+def decode(ids: DataFrame, path: str, column: str = "_ids") -> DataFrame:
     """ids with `_bytes`, the joined bytes of the tokens; null where the list is null."""
     prepare(ids.sparkSession)
-    packed = ids.select(F.struct(*ids.columns).alias("row"), F.col(column).alias("ids"))
+    packed = ids.select(F.struct(*ids.columns).alias("row"))
     schema = T.StructType([packed.schema["row"], T.StructField("_bytes", T.BinaryType(), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path, pattern)
+        table = tokens(path)
         for batch in batches:
+            whole = column_of(batch, column)
             for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([part.column("row"), vocab.decode(part.column("ids"))], ["row", "_bytes"])
+                part = whole.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([part.column("row"), table.decode(part.column("value"))], ["row", "_bytes"])
 
     return packed.mapInArrow(run, schema).select("row.*", "_bytes")
 
@@ -277,4 +294,4 @@ def op5_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
         "doc_id", "_ids", F.size("_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
     )
-    return decode(digest, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("_bytes", 256).alias("decoded_sha256"))
+    return decode(digest, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("_bytes", 256).alias("decoded_sha256"))

@@ -131,7 +131,7 @@ def test_tokens_match_the_library(spark, rows):
     library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     odd = [(900, "x" * 300 + "​日本語 🎉🎉 it's 12345   \n\n y"), (901, "aaaaaaa" * 40), (902, "<|endoftext|>")]
     data = [r for r in rows if r[0] is not None] + odd
-    out = bpe.decode(bpe.encode(frame(spark, data), path, public.PATTERN), path, public.PATTERN).collect()
+    out = bpe.decode(bpe.encode(frame(spark, data), path, public.PATTERN), path).collect()
     texts = dict(data)
     for r in out:
         assert r._ids == library.encode_ordinary(texts[r.doc_id] or "")
