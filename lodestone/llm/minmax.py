@@ -219,3 +219,19 @@ def op10_minmax_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = near_duplicates(docs)
     return out.select(doc_id_of().alias("doc_id"), "n_shingles", doc_id_of("component").alias("component_id"), "kept")
+
+
+def op10_sql() -> str:
+    """DuckDB SQL for the same rows: all pairs that share a shingle, and what is reachable by links."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END AS g FROM t),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b
+  FROM x a JOIN x b ON a.k = b.k AND a.doc_id <> b.doc_id AND least(a.n, b.n) * 100 >= {THRESHOLD} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {THRESHOLD} * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS comp FROM s UNION SELECT l.b, r.comp FROM r JOIN links l ON l.a = r.node AND l.b > r.comp)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(comp) AS component_id, s.doc_id = min(comp) AS kept
+FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, g"""

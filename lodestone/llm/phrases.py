@@ -241,3 +241,16 @@ def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = remove_repeats(docs)
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("_kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_sql() -> str:
+    """DuckDB SQL for the same rows: windows as texts, numbered among their equals by document and place."""
+    return rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j,
+  unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + {WINDOW - 1} <= len(w) THEN array_to_string(w[i:i + {WINDOW - 1}], ' ') END)) AS g FROM t),
+f AS (SELECT doc_id, word, j, g IS NOT NULL AND row_number() OVER (PARTITION BY g ORDER BY doc_id, j) > 1 AS again FROM p),
+c AS (SELECT doc_id, word, j, bool_or(again) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM f),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)"""

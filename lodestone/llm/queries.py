@@ -5,8 +5,8 @@ from __future__ import annotations
 from lodestone.llm.ann import op2_nearest_neighbours
 from lodestone.llm.bpe import op5_bpe
 from lodestone.llm.licenses import op1_license_scans, op1_sql
-from lodestone.llm.minmax import op10_minmax_near_dedup
-from lodestone.llm.phrases import op3_substring_dedup
+from lodestone.llm.minmax import op10_minmax_near_dedup, op10_sql
+from lodestone.llm.phrases import op3_sql, op3_substring_dedup
 from lodestone.llm.quality import op8_quality
 from lodestone.llm.sharding import op9_sharding
 from lodestone.llm.suffixes import op6_suffix_dedup
@@ -28,4 +28,4 @@ QUERIES = {
         op10_minmax_near_dedup,
     )
 }
-SQL = {"op1_license_scans": op1_sql()}
+SQL = {"op1_license_scans": op1_sql(), "op3_substring_dedup": op3_sql(), "op10_minmax_near_dedup": op10_sql()}
