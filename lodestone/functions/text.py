@@ -114,6 +114,13 @@ def matching_values(values: Column, terms: list[str]) -> Column:
     return F.filter(F.coalesce(values, F.array().cast("array<string>")), hit)
 
 
+def hidden_matches(visible: list[Column], hidden: list[Column], words: list[str], terms: list[str], most: int = 4) -> Column:
+    """Values of the hidden lists that explain a hit of which nothing visible tells; the first `most`, ignoring case."""
+    found = F.concat(*[matching_values(h, terms) for h in hidden])
+    nothing = F.array().cast("array<string>")
+    return F.when(_any([shows_match(v, words) for v in visible]), nothing).otherwise(F.slice(distinct_ignoring_case(found), 1, most))
+
+
 def _any(conditions: list[Column]) -> Column:
     out = F.lit(False)
     for c in conditions:

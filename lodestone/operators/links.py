@@ -73,6 +73,14 @@ def rebuilt(items: DataFrame, links: DataFrame, overrides: DataFrame) -> DataFra
     return out.withColumns({"links": F.coalesce("new", "links"), "_url": F.coalesce(first["url"], F.col("url")), "_status": F.coalesce(first["urlStatus"], F.col("urlStatus"))}).withColumns({"url": F.col("_url"), "urlStatus": F.col("_status")}).drop("new", "wanted", "_url", "_status")
 
 
+def rebuild_counters(before: DataFrame, after: DataFrame, links: DataFrame) -> DataFrame:
+    """(changed, multi_link, primary_fixed) of the items that resolved links touched; before, after: items by id."""
+    side = lambda df, p: df.select("id", *[F.col(c).alias(p + c) for c in ("links", "url", "urlStatus")])
+    both = side(before, "old_").join(side(after, "new_"), "id").join(links.select("id").distinct(), "id", "left_semi")
+    same = lambda c: F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
+    return both.agg(F.count_if(~same("links")).alias("changed"), F.count_if(F.size("new_links") > 1).alias("multi_link"), F.count_if(~(same("url") & same("urlStatus"))).alias("primary_fixed"))
+
+
 def expired(kind: Column, date: Column, today: str) -> Column:
     """Only some types expire; after LIFETIME_DAYS, or if their date can't be read."""
     prefix = F.substring(F.coalesce(date, F.lit("")), 1, 10)

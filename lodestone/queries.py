@@ -212,29 +212,44 @@ def _top_sql(terms: str, most: int) -> str:
     return f"SELECT id, term, n, rank FROM (SELECT id, term, count(*) AS n, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(pos)) AS rank FROM ({terms}) GROUP BY id, term) WHERE rank <= {most} AND n >= 2"
 
 
-@query(_top_sql(f"SELECT id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM {MINED}", 60))
+WORDS_SQL = f"SELECT id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM {MINED}"
+T_TERMS_SQL = _top_sql(WORDS_SQL, 60)
+
+
+@query(T_TERMS_SQL)
 def t_terms(spark, sf_dir):
     return mining.word_counts(_mined(spark, sf_dir)).select("id", "term", "n", F.col("rank").cast("long").alias("rank"))
 
 
-@query(_top_sql(f"SELECT id, w[i] || ' ' || w[i + 1] AS term, i AS pos FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM {MINED})", 40))
+T_BIGRAMS_SQL = _top_sql(f"SELECT id, w[i] || ' ' || w[i + 1] AS term, i AS pos FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM {MINED})", 40)
+
+
+@query(T_BIGRAMS_SQL)
 def t_bigrams(spark, sf_dir):
     return mining.pair_counts(_mined(spark, sf_dir)).select("id", "term", "n", F.col("rank").cast("long").alias("rank"))
 
 
 PHRASES_SQL = f"""SELECT id, term, pos FROM (SELECT doc_id AS id, lower(source) AS blob, unnest(p) AS term, unnest(range(len(p))) AS pos
-  FROM (SELECT *, regexp_extract_all(text, '\\b[A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+){{0,3}}\\b') AS p FROM documents WHERE lang = 'en'))
+  FROM (SELECT *, regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F\\P{{L}}]|[^\\x00-\\x7F\\P{{N}}]', '_', 'g'), '\\b[A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+){{0,3}}\\b') AS p FROM documents))
   WHERE NOT contains(blob, lower(term)) AND length(term) >= 5 AND len(list_filter(regexp_split_to_array(lower(term), '\\s+'), lambda w: NOT list_contains({_DROP}, w))) > 0"""
 
 
-@query(_top_sql(PHRASES_SQL, 30))
+T_PHRASES_SQL = _top_sql(PHRASES_SQL, 30)
+
+
+@query(T_PHRASES_SQL)
 def t_phrases(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = V.table(spark, sf_dir, "documents")
     items = docs.select(F.col("doc_id").alias("id"), "text", F.lower("source").alias("blob"))
     return mining.phrase_counts(items).select("id", "term", "n", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+_KINDS = " UNION ALL ".join(f"SELECT id, term, n + {bonus}::DOUBLE AS score, {kind} AS kind, rank FROM ({sql})" for kind, (bonus, sql) in enumerate(((0.1, T_TERMS_SQL), (0.2, T_BIGRAMS_SQL), (0.3, T_PHRASES_SQL))))
+
+
+@query(f"""SELECT id, rank, term, score FROM (SELECT id, term, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, place) AS rank
+  FROM (SELECT id, lower(term) AS key, arg_max(term, score - kind * 1e-6 - rank * 1e-9) AS term, max(score) AS score, min(kind * 1000 + rank) AS place FROM ({_KINDS}) GROUP BY 1, 2) k
+  JOIN (SELECT doc_id AS id, lower(source) AS blob FROM documents) USING (id) WHERE NOT contains(blob, key)) WHERE rank <= 20""")
 def t_keywords(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
     items = docs.select(F.col("doc_id").alias("id"), "text", F.lower("source").alias("blob"), F.array(F.lower("source")).alias("known"))
@@ -377,16 +392,16 @@ def e_expired(spark, sf_dir):
 
 # -- snapshots and quality -------------------------------------------------------------------------------------------
 def _versions(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents")
-    changed = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    old = docs.where("doc_id % 17 <> 0").select(F.col("doc_id").alias("id"), snapshots.content_hash("text", "lang").alias("hash"))
-    new = docs.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("id"), snapshots.content_hash(changed.alias("text"), "lang").alias("hash"))
-    return old, new
+    """Two whole tables whose ids overlap stand for two snapshots: vectors' labels, then qualities."""
+    hashed = lambda df, key, value: df.select(F.col(key).alias("id"), snapshots.content_hash(F.col(value).cast("long").alias("v")).alias("hash"))
+    return hashed(V.table(spark, sf_dir, "embeddings"), "vec_id", "label"), hashed(V.table(spark, sf_dir, "labels"), "doc_id", "quality")
 
 
-@query("""SELECT coalesce(o.doc_id, n.doc_id) AS id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'updated' END AS change
-  FROM (SELECT * FROM documents WHERE doc_id % 17 <> 0) o FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 13 <> 0) n
-  ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.text <> n.text""")
+_OLD, _NEW = "(SELECT vec_id AS id, label AS v FROM embeddings) o", "(SELECT doc_id AS id, quality AS v FROM labels) n"
+
+
+@query(f"""SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'updated' END AS change
+  FROM {_OLD} FULL JOIN {_NEW} ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.v IS DISTINCT FROM n.v""")
 def d_snapshot_diff(spark, sf_dir):
     return snapshots.difference(*_versions(spark, sf_dir))
 
@@ -477,7 +492,7 @@ def _v_vectors(spark, sf_dir):
     return quality.vectors(V.documents(spark, sf_dir), V.vectors(spark, sf_dir)).select("id", "message")
 
 
-@_report("v_history", "SELECT doc_id AS id, 'removed' AS message FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 13 = 0 UNION ALL SELECT doc_id, 'added' FROM documents WHERE doc_id % 17 = 0 AND doc_id % 13 <> 0")
+@_report("v_history", f"SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' ELSE 'removed' END AS message FROM {_OLD} FULL JOIN {_NEW} ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL")
 def _v_history(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     return quality.history(new, old).select("id", "message")
@@ -542,3 +557,115 @@ ROUTES = [(1, ["d"], ["v"], "x" * 400, "", ["p"], False), (2, [], ["v"], "x" * 4
 def m_routes(spark, sf_dir):
     rows = literal_rows(spark, "id int, doi_terms array<string>, video_terms array<string>, page_text string, page_meta string, page_terms array<string>, failed boolean", ROUTES)
     return mining.routed(rows).withColumn("keywords", F.array_join("keywords", "|"))
+
+
+# -- rules that the queries above don't show --------------------------------------------------------------------------
+@query(_top_sql(WORDS_SQL, 15))
+def t_abstract(spark, sf_dir):
+    return mining.abstract_words(_mined(spark, sf_dir)).select("id", "term", "n", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT * FROM (VALUES (1, 'deep soil carbon'), (2, ''), (3, 'a late c')) AS t(id, text)")
+def t_inverted_index(spark, sf_dir):
+    rows = literal_rows(spark, "id int, index map<string,array<int>>", [(1, {"soil": [1], "deep": [0], "carbon": [2]}), (2, {}), (3, {"c": [2], "a": [0], "b": [1], "late": [1]})])
+    return rows.select("id", X.inverted_index_text(F.col("index")).alias("text"))
+
+
+@query("SELECT * FROM (VALUES (1, 'Soil carbon|Maize'), (2, '')) AS t(id, names)")
+def t_concepts(spark, sf_dir):
+    works = [(1, [("Soil carbon (agronomy)", 0.9, 3), ("Science", 0.9, 0), ("Rye", 0.4, 2), ("Maize", 0.5, 1)]), (2, [])]
+    rows = literal_rows(spark, "id int, concepts array<struct<display_name:string,score:double,level:int>>", works)
+    return rows.select("id", F.array_join(mining.concepts(F.col("concepts")), "|").alias("names"))
+
+
+@query("SELECT * FROM (VALUES (1, 'New|other'), (2, '')) AS t(id, terms)")
+def t_merged(spark, sf_dir):
+    rows = literal_rows(spark, "id int, terms array<string>, blob string", [(1, ["New", " ", "said", "NEW ", "other"], "what was said"), (2, [], "")])
+    return rows.select("id", F.array_join(mining.merged(F.col("terms"), F.col("blob")), "|").alias("terms"))
+
+
+@query("SELECT * FROM (VALUES (1, 'cover crop|rye'), (2, 'crop')) AS t(id, terms)")
+def t_covered_words(spark, sf_dir):
+    rows = literal_rows(spark, "id int, terms array<string>", [(1, ["Crop", "cover crop", "rye"]), (2, ["crop"])])
+    return rows.select("id", F.array_join(mining.without_covered_words(F.col("terms")), "|").alias("terms"))
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%b %Y') AS month FROM orders")
+def x_month(spark, sf_dir):
+    return V.orders(spark, sf_dir).select("id", X.month(F.col("publishDate")).alias("month"))
+
+
+@query("SELECT * FROM (VALUES (1, 'https://doi.org/10.1/a'), (2, 'https://doi.org/10.1/b'), (3, NULL)) AS t(id, url)")
+def x_doi_url(spark, sf_dir):
+    return literal_rows(spark, "id int, doi string", [(1, "10.1/a"), (2, "HTTP://dx.doi.org/10.1/b"), (3, None)]).select("id", X.doi_url(F.col("doi")).alias("url"))
+
+
+@query("SELECT * FROM (VALUES (1, 'view'), (2, 'view archived'), (3, 'no link'), (4, NULL), (5, NULL)) AS t(id, action)")
+def x_call_to_action(spark, sf_dir):
+    rows = literal_rows(spark, "id int, url string, dump boolean, n int, status string", [(1, "u", False, 1, "live"), (2, "u", False, 0, "archived"), (3, "", False, 0, "unavailable"), (4, "u", True, 1, "live"), (5, "u", False, 2, "live")])
+    return rows.select("id", links.call_to_action(F.col("url"), F.col("dump"), F.col("n"), F.col("status")).alias("action"))
+
+
+_SHOWS = f"len(list_filter(regexp_extract_all({{}}, '{X.DISPLAY_WORD.replace(chr(39), chr(39) * 2)}'), lambda w: regexp_matches(w, '(?i)^{X.display_match(WORDS.split()).replace(chr(39), chr(39) * 2)}$'))) > 0"
+
+
+@query(f"SELECT doc_id AS id, {_SHOWS.format('text')} AS shows FROM documents")
+def x_shows_match(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.shows_match(F.col("text"), WORDS.split()).alias("shows"))
+
+
+_HIDDEN = " OR ".join(f"regexp_matches(strip_accents(lower(v)), '\\b{w}(?:''s|es|ers|er|ing|ed|s|d)?\\b')" for w in WORDS.split())
+
+
+@query(f"""SELECT id, CASE WHEN {_SHOWS.format('title')} THEN '' ELSE array_to_string(list_filter(l, lambda v, i: list_position(list_transform(l, lambda z: lower(z)), lower(v)) = i)[1:4], '|') END AS hints
+  FROM (SELECT doc_id AS id, split_part(text, '.', 1) AS title, list_filter(string_split(text, chr(10)), lambda v: {_HIDDEN}) AS l FROM documents)""")
+def x_hidden_matches(spark, sf_dir):
+    hints = X.hidden_matches([F.substring_index("text", ".", 1)], [F.split("text", "\n")], WORDS.split(), X.query_terms(WORDS))
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(hints, "|").alias("hints"))
+
+
+@query("SELECT * FROM (VALUES (1, '9-13 u', 'where or here'), (2, '0-4 u,5-9 w', 'rye, rye.'), (3, '', '')) AS t(id, spans, text)")
+def x_anchors(spark, sf_dir):
+    rows = literal_rows(spark, "id int, text string, anchors array<string>, urls array<string>", [(1, "where or here", ["here"], ["u"]), (2, "rye, rye.", ["rye,", "rye."], ["u", "w"]), (3, "", ["a"], ["u"])])
+    spans = F.transform("s", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit(" "), s["url"]))
+    return rows.withColumn("s", links.anchor_spans("text", "anchors", "urls")).select("id", F.array_join(spans, ",").alias("spans"), "text")
+
+
+@query("SELECT role AS status, count(*) AS n FROM conversations GROUP BY role")
+def a_status_counts(spark, sf_dir):
+    return mining.status_counts(V.table(spark, sf_dir, "conversations").select(F.col("role").alias("status")))
+
+
+@query("SELECT page_id AS id FROM pages WHERE url <> '' AND NOT contains(html, '<title>')")
+def f_targets(spark, sf_dir):
+    pages = V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("ord"), "url", F.when(F.col("html").contains("<title>"), F.array("url")).alias("pageKeywords"))
+    return mining.targets(pages).select("id")
+
+
+@query("SELECT doc_id AS id, " + " OR ".join(f"contains(lower(text), '{m}')" for m in mining.BLOCK_MARKERS) + f" AS blocked, length(text) < {mining.THIN_BODY} AND length(source) < {mining.THIN_META} AS thin FROM documents")
+def f_blocked_or_thin(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), mining.blocked(F.col("text")).alias("blocked"), mining.thin(F.col("text"), F.col("source")).alias("thin"))
+
+
+@query("SELECT r.range::INT AS token_id FROM range(3000) r WHERE r.range NOT IN (SELECT vec_id FROM embeddings)")
+def s_missing_ids(spark, sf_dir):
+    return encoding.missing_ids(V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("token_id")), 3000)
+
+
+@query("SELECT doc_id AS id, trim(trim(split_part(text, '.', 1)) || '. ' || trim(text), '. ') AS text FROM documents")
+def s_item_text(spark, sf_dir):
+    return V.documents(spark, sf_dir).select("id", encoding.item_text(F.col("title"), F.col("summary")).alias("text"))
+
+
+@query("SELECT d.doc_id AS id, row_number() OVER (ORDER BY coalesce(l.quality, 0), d.doc_id) AS rank FROM documents d LEFT JOIN labels l USING (doc_id)")
+def o_stored_order(spark, sf_dir):
+    numbered = V.table(spark, sf_dir, "documents").select("doc_id").join(V.table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), "quality")
+    return S.ranked(numbered, snapshots.stored_order(F.col("quality"), F.col("id"))).select("id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT 2::BIGINT AS changed, 1::BIGINT AS multi_link, 1::BIGINT AS primary_fixed")
+def l_counters(spark, sf_dir):
+    items = literal_rows(spark, "id int, url string, urlStatus string, links array<struct<url:string,anchorText:string,urlStatus:string>>", [(1, "a", "live", None), (2, "q", "live", None), (3, "keep", "live", None)])
+    found = literal_rows(spark, "id int, pos int, href string, unwrapped string, anchorText string", [(1, 0, "a", "a", "A"), (1, 1, "b", "b", "B"), (2, 0, "w", "y", "Y")])
+    resolved = links.resolved_links(found, literal_rows(spark, "url string, final string, status string", [("y", "x", "alternate")]))
+    return links.rebuild_counters(items, links.rebuilt(items, resolved, literal_rows(spark, "id int, url string", [(9, "none")])), resolved)

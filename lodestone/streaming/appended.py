@@ -1,4 +1,4 @@
-"""New items as a stream: each micro-batch is indexed, checked and appended; the reference form is the batch one."""
+"""New items as a stream: each micro-batch is indexed, checked and appended, to the rows that one batch would give."""
 
 from __future__ import annotations
 
