@@ -36,6 +36,8 @@ SKETCH_BITS = 28
 PARITY = 16
 #: Buckets of more members choose their hub by unique shingles.
 BIG_BUCKET = 32
+#: Bytes of text that a worker holds shingles of at a time.
+CHUNK = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(85))
 _FLIP = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * U(2)
@@ -73,7 +75,7 @@ def signatures(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["did", "n", "h1", "h2", "bands", "s1", "s2", "parity"]
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, size=CHUNK):
             hashes, first = shingles(part.column("text"))
             counts = np.diff(first)
             some = np.flatnonzero(counts)
@@ -116,13 +118,14 @@ def _possible(a: str, b: str) -> Column:
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part in chunks(batch, "text_a"):
+        for part in chunks(batch, "text_a", CHUNK):
             hashes, first = shingles(part.column("text_a"))
             bs = part.column("b").to_pylist()
             fresh = [i for i, b in enumerate(bs) if b not in held and (i == 0 or bs[i - 1] != b)]
             if fresh:
                 if len(held) > 64:
-                    held = {k: v for k, v in held.items() if k in set(bs)}
+                    wanted = set(bs)
+                    held = {k: v for k, v in held.items() if k in wanted}
                 other, at = shingles(part.column("text_b").take(pa.array(fresh)))
                 held.update((bs[i], other[at[j] : at[j + 1]]) for j, i in enumerate(fresh))
             keep = []
@@ -143,7 +146,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, size=CHUNK):
             hashes, first = shingles(part.column("text"))
             dids = np.repeat(part.column("did").to_numpy(), np.diff(first))
             yield pa.RecordBatch.from_arrays([pa.array(dids), pa.array(signed(hashes))], ["did", "shingle"])
