@@ -18,6 +18,8 @@ ORACLE_SQL = None
 
 #: Documents of this score or more are rejected.
 TOXIC = 0.5
+#: Documents are near duplicates if their sets of five words have this similarity or more, in hundredths.
+NEAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one of least id."""
-    return minmax.drop_near_duplicates(docs)
+    return minmax.drop_near_duplicates(docs, NEAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
