@@ -244,11 +244,19 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with one document of each group: the one of least id, and of equal rows with this id one."""
-    gone = near_duplicates(docs, threshold).where(~F.col("kept")).select("did").distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), doc_key().alias("did"), F.xxhash64("text").alias("hash"))
-    kept = keyed.join(gone, "did", "left_anti")
-    return kept.withColumn("copy", F.row_number().over(Window.partitionBy("did", "hash").orderBy("hash"))).where("copy = 1").select("row.*")
+    """docs with one document of each group: the one of least id, and of equal rows with this id one.
+
+    Each id with its text is a document here: rows without an id, or of a repeated id, stay or go by their own text. Texts
+    without words are in no group and stay.
+    """
+    did, node = doc_key(), F.xxhash64(doc_key(), F.xxhash64("text"))
+    linked = near_duplicates(docs.select(node.alias("doc_id"), "text"), threshold).where("n_shingles > 0").select(F.col("did").alias("node"), "component").distinct()
+    placed = docs.select(node.alias("node"), did.alias("did")).distinct().join(linked, "node")
+    first = placed.groupBy("component").agg(F.min(F.struct("did", "node")).alias("first")).select("first.node")
+    gone = placed.select("node").join(first, "node", "left_anti")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), node.alias("node"))
+    kept = keyed.join(gone, "node", "left_anti")
+    return kept.withColumn("copy", F.row_number().over(Window.partitionBy("node").orderBy("node"))).where("copy = 1").select("row.*")
 
 
 def op10_minmax_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -28,3 +28,11 @@ def test_stage_drops_near_copies_from_80(spark, tmp_path):
 def test_bands_and_bounds_follow_the_threshold():
     assert [minmax.band_rows(t) for t in (80, 85)] == [4, 5]
     assert [minmax.sketch_bits(t) for t in (80, 85)] == [35, 30]
+
+
+def test_rows_without_or_with_repeated_ids_go_by_their_own_text(spark):
+    rows = [(1, text("a", 60)), (None, text("a", 60)), (None, text("a", 59)), (2, text("b", 60)), (2, text("a", 60) + " tail")]
+    rows += [(None, text(f"own{i}x", 40)) for i in range(10)] + [(2, text("e", 40)), (None, None), (None, ""), (3, ""), (7, text("f", 50)), (5, text("f", 50) + " z")]
+    kept = [tuple(r) for r in minmax.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    gone = {(None, text("a", 60)), (None, text("a", 59)), (2, text("a", 60) + " tail"), (7, text("f", 50))}
+    assert sorted(kept, key=repr) == sorted(set(rows) - gone, key=repr)
