@@ -39,7 +39,8 @@ THREAT = set("kill hurt destroy attack burn stab shoot murder beat crush die tö
 READINGS = ["insult", "targeted", "negated", "reported", "threat"]
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_CLAUSE = re.compile(r"[^.!?;:\n]+")
+CLAUSE_ENDS = ".!?;:\n"
+_CLAUSE = re.compile(rf"[^{CLAUSE_ENDS}]+")
 #: Learned stems: at least so long, at most so long, and in at least so many documents.
 STEM_MIN, STEM_MAX, STEM_DOCS = 3, 10, 5
 LIFT = 25.0
@@ -91,27 +92,16 @@ class Grammar:
         """Sums of the readings over all clauses of a text."""
         text = text.lower()
         sums = np.zeros(len(READINGS))
-        clauses: dict[int, int] = {}
+        done = 0
+        # matches come by their ends and none spans a clause's end, so clauses come in order
         for end, stem in self.machine.iter(text + " "):
             begin = end - len(stem) + 1
-            if begin and (text[begin - 1].isalpha() or text[begin - 1] in "'’"):
+            if begin < done or begin and (text[begin - 1].isalpha() or text[begin - 1] in "'’"):
                 continue
-            # the clause around a match: both ends are sought from the match, never beyond the clause
-            at = begin
-            while at > 0 and text[at - 1] not in ".!?;:\n":
-                at -= 1
-                if begin - at > 400:
-                    break
-            clauses.setdefault(at, begin)
-        done = -1
-        for at in sorted(clauses):
-            if at < done:
-                continue
-            clause = _CLAUSE.match(text, at, at + 2000)
-            if not clause:
-                continue
-            done = clause.end()
-            classes = [c for w in _WORD.findall(clause.group()) if (c := self.lexical(w))]
+            # the clause around a match, from its start to its end, is read once
+            at = max(done, max(text.rfind(mark, done, begin) for mark in CLAUSE_ENDS) + 1)
+            done = _CLAUSE.match(text, at).end()
+            classes = [c for w in _WORD.finditer(text, at, done) if (c := self.lexical(w.group()))]
             for reading, value in clause_readings(classes).items():
                 sums[READINGS.index(reading)] += value
         return sums

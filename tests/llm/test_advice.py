@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import minmax
+from lodestone.llm import minmax, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -36,3 +36,16 @@ def test_rows_without_or_with_repeated_ids_go_by_their_own_text(spark):
     kept = [tuple(r) for r in minmax.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
     gone = {(None, text("a", 60)), (None, text("a", 59)), (2, text("a", 60) + " tail"), (7, text("f", 50))}
     assert sorted(kept, key=repr) == sorted(set(rows) - gone, key=repr)
+
+
+def test_long_clauses_are_read_whole():
+    grammar = toxicity.Grammar({"zorkel": 3.0}, [1.0] * len(toxicity.READINGS), -1.0)
+    read = lambda t: dict(zip(toxicity.READINGS, grammar.readings(t).tolist()))
+    none = dict.fromkeys(toxicity.READINGS, 0.0)
+    filler = "word " * 450
+    assert read(f"Fine. You {filler}zorkel") == none | {"targeted": 3.0}
+    assert read(f"zorkel {filler}zorkel! zorkel") == none | {"insult": 9.0}
+    assert read(f"zorkel {'word ' * 410}zorkel you") == none | {"targeted": 6.0}
+    assert read(f"they said {filler}zorkel; not {filler}zorkel") == none | {"reported": 3.0, "negated": 3.0}
+    assert read(f"will {filler}kill {filler}you") == none | {"threat": 1.0}
+    assert read("a" * 3000 + "zorkel") == none
