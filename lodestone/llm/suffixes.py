@@ -7,7 +7,9 @@ with its neighbour, and with the earliest suffix of its run; matches are extende
 PASSAGE words need, and a match of PASSAGE words or more marks the later place. Longer passages are marked piece by piece.
 
 Only suffixes whose phrase recurs are shipped with the words around them; whole copies are known by their hash. A run is
-never gathered: its earliest suffix comes by a partial aggregate and a join that splits skewed keys, neighbours stream by.
+never gathered: its earliest suffix comes by a partial aggregate and a join that may split skewed keys or broadcast. What has
+other words around it than the earliest is then sorted by ranges, so that a hot run goes on in the next partition; the last
+suffix of a partition and the first of the next are compared as well.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.phrases import REMOVED, SPANS, _lists, _sketch_rows, kept, restored, with_copies
-from lodestone.llm.session import prepare
+from lodestone.llm.session import cut, prepare
 from lodestone.llm.textkit import WHITESPACE, Sketch, Words, chunks, signed
 
 PASSAGE, SELECT, PHRASE = 50, 30, 10
@@ -85,29 +88,76 @@ def match(one: tuple[bytes, bytes], two: tuple[bytes, bytes]) -> tuple[int, int]
     return left, right
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks from sorted suffixes: the neighbour and the run's earliest are compared with each."""
-    last = None
+MARK = {"did": pa.int64(), "start": pa.int64(), "end": pa.int64()}
+SUFFIX = {"key": pa.int64(), "at": pa.int64(), "before": pa.binary(), "after": pa.binary()}
+#: Partition, and 0 for its first suffix, 1 for its last.
+BORDER = {"part": pa.int32(), "side": pa.int32()}
+
+
+def _table(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
+
+
+def _compare_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks from the comparison with the run's earliest suffix; and suffixes (no start) with other words around them.
+
+    Those with the same words around them are marked as far as any comparison could, and compare with others as it does.
+    """
     for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
-        marks: list[tuple[int, int, int]] = []
+        marks: set[tuple] = set()
+        others: list[tuple] = []
         rows = zip(*(batch.column(c).to_pylist() for c in ("key", "did", "at", "before", "after", "more", "head_did", "head_at", "head_before", "head_after")))
         for key, did, at, before, after, more, head_did, head_at, head_before, head_after in rows:
             if more:
                 left, right = match((before, after), (before, after))
                 if left + right >= PASSAGE:
-                    marks += [(d, p - left, p + right) for d, p in zip(more[::2], more[1::2])]
-            if head_did is not None and (did, at) != (head_did, head_at):
+                    marks.update((d, p - left, p + right) for d, p in zip(more[::2], more[1::2]))
+            if (did, at) != (head_did, head_at):
                 left, right = match((before, after), (head_before, head_after))
                 if left + right >= PASSAGE:
-                    marks.append((did, at - left, at + right))
-            if last is not None and last[0] == key and last[1:3] != (did, at):
-                left, right = match((before, after), last[3:5])
-                if left + right >= PASSAGE:
-                    later = max((did, at), last[1:3])
-                    marks.append((later[0], later[1] - left, later[1] + right))
-            last = (key, did, at, before, after)
-        dids, starts, ends = zip(*set(marks)) if marks else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(dids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["did", "start", "end"])
+                    marks.add((did, at - left, at + right))
+                if (before, after) != (head_before, head_after):
+                    others.append((did, None, None, key, at, before, after))
+        yield _table([(*m, None, None, None, None) for m in marks] + others, MARK | SUFFIX)
+
+
+def later_of(one: tuple, two: tuple) -> tuple[int, int, int] | None:
+    """Of two suffixes (key, did, at, before, after) the later one's mark, if they are of a run and match far enough."""
+    if one[0] != two[0] or one[1:3] == two[1:3]:
+        return None
+    left, right = match(one[3:], two[3:])
+    did, at = max(one[1:3], two[1:3])
+    return (did, at - left, at + right) if left + right >= PASSAGE else None
+
+
+def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks from sorted suffixes, each compared with the one before it; and the first and the last suffix (no start)."""
+    first = last = None
+    for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
+        marks: set[tuple] = set()
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "did", "at", "before", "after"))):
+            if last is None:
+                first = row
+            elif mark := later_of(last, row):
+                marks.add(mark)
+            last = row
+        yield _table([(*m, *[None] * 6) for m in marks], MARK | SUFFIX | BORDER)
+    if last is not None:
+        part = TaskContext.get().partitionId()
+        ends = [(did, None, None, key, at, before, after, part, side) for side, (key, did, at, before, after) in enumerate((first, last))]
+        yield _table(ends, MARK | SUFFIX | BORDER)
+
+
+def neighbour_marks(suffixes: DataFrame) -> DataFrame:
+    """(did, start, end) from each suffix (key, did, at, before, after) and its neighbour in the order of all."""
+    order = ["key", "after", "before", "did", "at"]
+    ranges = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "did", "at", "before", "after")
+    out = cut(ranges.mapInArrow(_compare_neighbours, "did long, start long, end long, key long, at long, before binary, after binary, part int, side int"), "neighbours")
+    # two rows a partition
+    ends = [tuple(r) for r in out.where("start is null").orderBy("part", "side").select("key", "did", "at", "before", "after").collect()]
+    marks = [m for one, two in zip(ends[1::2], ends[2::2]) if (m := later_of(one, two))]
+    found = out.where("start is not null").select("did", "start", "end")
+    return found.unionAll(found.sparkSession.createDataFrame(marks, "did long, start long, end long")) if marks else found
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +195,9 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     suffixes = originals.join(phrases, "did").mapInArrow(_suffixes, "key long, did long, at long, before binary, after binary, more array<long>")
     heads = suffixes.groupBy("key").agg((F.count(F.lit(1)) + F.sum(F.size("more"))).alias("n"), F.min(F.struct("did", "at", "before", "after")).alias("h")).where("n > 1")
     heads = heads.select("key", *[F.col(f"h.{c}").alias(f"head_{c}") for c in ("did", "at", "before", "after")])
-    ordered = suffixes.join(heads, "key").sortWithinPartitions("key", "after", "before", "did", "at")
-    marks = ordered.select("key", "did", "at", "before", "after", "more", "head_did", "head_at", "head_before", "head_after").mapInArrow(_compare, "did long, start long, end long")
+    headed = suffixes.join(heads, "key").select("key", "did", "at", "before", "after", "more", "head_did", "head_at", "head_before", "head_after")
+    compared = cut(headed.mapInArrow(_compare_heads, "did long, start long, end long, key long, at long, before binary, after binary"), "heads")
+    marks = compared.where("start is not null").select("did", "start", "end").unionAll(neighbour_marks(compared.where("start is null")))
     by_doc = marks.groupBy("did").agg(F.collect_set(F.struct("start", "end")).alias("m")).select("did", F.col("m.start").alias("starts"), F.col("m.end").alias("ends"))
     joined = base.join(by_doc, "did", "left").select("did", "text", "other", "copy", F.when(~F.col("copy"), F.col("starts")).alias("starts"), F.when(~F.col("copy"), F.col("ends")).alias("ends"))
     schema = T.StructType([

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import minmax, toxicity
+from lodestone.llm import minmax, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -49,3 +49,22 @@ def test_long_clauses_are_read_whole():
     assert read(f"they said {filler}zorkel; not {filler}zorkel") == none | {"reported": 3.0, "negated": 3.0}
     assert read(f"will {filler}kill {filler}you") == none | {"threat": 1.0}
     assert read("a" * 3000 + "zorkel") == none
+
+
+def test_neighbours_meet_wherever_their_suffixes_lie(spark):
+    # runs of 49 words, one less than a passage, that five and more documents share; pairs of these share one word more
+    rows = []
+    for r in range(0, 10000, 1000):
+        run = text(f"run{r}x", 49)
+        rows.append((r, text(f"h{r}x", 9) + " " + run + " " + text(f"i{r}x", 60)))
+        for i in range(r + 1, r + 5):
+            rows += [(n, text(f"p{n}x", 7) + " " + run + " " + text(f"s{i}x", 1) + " " + text(f"e{n}x", 9)) for n in (i, 100 + i)]
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    out = {r.doc_id: r._n_removed for r in suffixes.remove_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+    assert {i for i, n in out.items() if n >= 50} == {i for i, _ in rows if i % 1000 > 100}
+    assert all(n in (0, 50) for n in out.values())
