@@ -57,14 +57,16 @@ def word_pieces(model: Model, vocabulary: dict[str, int]):
 def encode(items: DataFrame, token_table: DataFrame) -> DataFrame:
     """(id, vector) of items (id, tokens): the mean of dequantised rows, unit length; no tokens, no vector.
 
-    The table (token_id, q, scale) is a model's file of fixed size. Sums run in token order, so that they are the same on
-    any number of executors.
+    The table (token_id, q, scale) is a model's file of fixed size. Tokens are counted by partial aggregates, so that an item
+    of any length is a row for each distinct token at most; sums run in the order of token ids and are the same on any number
+    of executors.
     """
-    rows = items.select("id", F.posexplode("tokens").alias("pos", "token_id")).join(F.broadcast(token_table), "token_id")
-    scaled = rows.select("id", "pos", F.transform("q", lambda x: x.cast("double") * F.col("scale").cast("double")).alias("v"))
-    listed = scaled.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("l"))
+    counted = items.select("id", F.explode("tokens").alias("token_id")).groupBy("id", "token_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.join(F.broadcast(token_table), "token_id")
+    scaled = rows.select("id", "token_id", "n", F.transform("q", lambda x: x.cast("double") * F.col("scale").cast("double") * F.col("n")).alias("v"))
+    listed = scaled.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token_id", "v"))).alias("l"), F.sum("n").alias("n"))
     total = F.aggregate(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0))), F.element_at("l", 1)["v"], lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b))
-    mean = listed.select("id", F.transform(total, lambda x: x / F.size("l")).alias("m"))
+    mean = listed.select("id", F.transform(total, lambda x: x / F.col("n")).alias("m"))
     norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-32)
     return mean.withColumn("norm", norm).select("id", F.transform("m", lambda x: x / F.col("norm")).alias("vector"))
 
