@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.session import prepare
+from lodestone.llm.session import cut, prepare
 
 K = 10
 #: Rows of the sample that the index is fitted on, and neighbours in its graph.
@@ -163,7 +163,8 @@ def search(table: DataFrame, is_query, k: int = K) -> DataFrame:
     by vec_id. An empty table gives an empty result; fewer than k candidates are all returned.
     """
     spark = prepare(table.sparkSession)
-    vectors = valid_vectors(table.select("vec_id", "embedding"))
+    # repeated rows would take the places of others in the sample, in blocks and in sizes
+    vectors = cut(valid_vectors(table.select("vec_id", "embedding")).distinct(), "vectors")
     total = vectors.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
@@ -179,16 +180,18 @@ def search(table: DataFrame, is_query, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], ["vec_id", "embedding", "part"])
 
     indexed = vectors.mapInArrow(assign, "vec_id long, embedding array<double>, part int")
-    sizes = np.zeros(parts, np.int64)
-    for r in indexed.groupBy("part").count().collect():  # one number a part
-        sizes[r["part"]] = r["count"]
+    # rows of a part, and ids of which all rows are in it: those of several parts are not counted on
+    sizes, own = np.zeros((2, parts), np.int64)
+    spread = indexed.groupBy("vec_id", "part").count().withColumn("parts", F.count(F.lit(1)).over(Window.partitionBy("vec_id")))
+    for r in spread.groupBy("part").agg(F.sum("count").alias("rows"), F.count_if(F.col("parts") == 1).alias("ids")).collect():  # two numbers a part
+        sizes[r["part"]], own[r["part"]] = r["rows"], r["ids"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("embedding"))
             order = np.argsort(-router.scores(x), axis=1, kind="stable") if len(x) else np.zeros((0, parts), np.int64)
             # as many parts as the router probes, and further ones until they hold enough candidates
-            full = np.cumsum(sizes[order], axis=1) - sizes[order] <= k
+            full = np.cumsum(own[order], axis=1) - own[order] <= k
             take = (np.arange(parts)[None] < router.probes) | full
             rows, cols = np.nonzero(take)
             picked = batch.take(pa.array(rows))
@@ -220,12 +223,15 @@ def search(table: DataFrame, is_query, k: int = K) -> DataFrame:
         q_ids, ids = queries.column("query_id").to_numpy(), rows.column("vec_id").to_numpy()
         near = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * q @ x.T
         near[q_ids[:, None] == ids[None]] = np.inf
+        by_id = np.argsort(ids, kind="stable")
+        heads = np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0])
         out = []
         for i in range(len(q)):
             row = near[i]
-            if len(row) > k:
-                # all that may be among the k nearest, whatever was rounded; distances are then taken anew
-                least = np.partition(row, k - 1)[k - 1]
+            if len(heads) > k:
+                # all that may be of the k nearest ids, whatever was rounded; distances are then taken anew
+                nearest = np.minimum.reduceat(row[by_id], heads) if len(heads) < len(row) else row
+                least = np.partition(nearest, k - 1)[k - 1]
                 pick = np.flatnonzero(row <= least + 1e-9 * (1 + abs(least)) if np.isfinite(least) else np.isfinite(row))
             else:
                 pick = np.flatnonzero(np.isfinite(row))

@@ -1,8 +1,12 @@
 """What a review found to be less than the whole job."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import minmax, suffixes, toxicity
+from lodestone.llm import ann, minmax, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -68,3 +72,20 @@ def test_neighbours_meet_wherever_their_suffixes_lie(spark):
         spark.conf.set(k, v)
     assert {i for i, n in out.items() if n >= 50} == {i for i, _ in rows if i % 1000 > 100}
     assert all(n in (0, 50) for n in out.values())
+
+
+@pytest.mark.parametrize("times", [1, 2, 12])
+def test_repeated_ids_take_no_places(spark, times):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(80)]
+    q = rows[0][1]
+    rows += [(90 + j, [x + 0.01 * (j + 1) for x in q]) for j in range(2) for _ in range(times)]  # rows repeated
+    rows += [(92, [x + 0.001 * (j + 1) for x in q]) for j in range(times)]  # an id with many vectors near the query
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    least = {}
+    for i, v in rows:
+        least[i] = min(least.get(i, math.inf), math.dist(q, v))
+    want = sorted((d, i) for i, d in least.items() if i)[:10]
+    got = ann.search(table, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(n + 1, i) for n, (_, i) in enumerate(want)]
+    assert all(abs(r.score - d) < 1e-9 for r, (d, _) in zip(got, want))
