@@ -101,13 +101,14 @@ def _table(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
 def _compare_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks from the comparison with the run's earliest suffix; and suffixes (no start) with other words around them.
 
-    Those with the same words around them are marked as far as any comparison could, and compare with others as it does.
+    Left out are those that match the earliest in all words around them: they are marked as far as any comparison could, and
+    whatever matches them matches the earliest as far. So are those alone with it, and those with too few words around them.
     """
     for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
         marks: set[tuple] = set()
         others: list[tuple] = []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("key", "did", "at", "before", "after", "more", "head_did", "head_at", "head_before", "head_after")))
-        for key, did, at, before, after, more, head_did, head_at, head_before, head_after in rows:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("key", "did", "at", "before", "after", "more", "rows", "head_did", "head_at", "head_before", "head_after")))
+        for key, did, at, before, after, more, n_rows, head_did, head_at, head_before, head_after in rows:
             if more:
                 left, right = match((before, after), (before, after))
                 if left + right >= PASSAGE:
@@ -116,7 +117,8 @@ def _compare_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 left, right = match((before, after), (head_before, head_after))
                 if left + right >= PASSAGE:
                     marks.add((did, at - left, at + right))
-                if (before, after) != (head_before, head_after):
+                most = len(before.split()) + RUN + len(after.split())
+                if n_rows > 2 and most >= PASSAGE and left + right < most:
                     others.append((did, None, None, key, at, before, after))
         yield _table([(*m, None, None, None, None) for m in marks] + others, MARK | SUFFIX)
 
@@ -193,9 +195,9 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     recurring = rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
     phrases = rows.join(recurring, "phrase", "left_semi").groupBy("did").agg(F.collect_set("phrase").alias("phrases"))
     suffixes = originals.join(phrases, "did").mapInArrow(_suffixes, "key long, did long, at long, before binary, after binary, more array<long>")
-    heads = suffixes.groupBy("key").agg((F.count(F.lit(1)) + F.sum(F.size("more"))).alias("n"), F.min(F.struct("did", "at", "before", "after")).alias("h")).where("n > 1")
-    heads = heads.select("key", *[F.col(f"h.{c}").alias(f"head_{c}") for c in ("did", "at", "before", "after")])
-    headed = suffixes.join(heads, "key").select("key", "did", "at", "before", "after", "more", "head_did", "head_at", "head_before", "head_after")
+    heads = suffixes.groupBy("key").agg((F.count(F.lit(1)) + F.sum(F.size("more"))).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("did", "at", "before", "after")).alias("h")).where("n > 1")
+    heads = heads.select("key", "rows", *[F.col(f"h.{c}").alias(f"head_{c}") for c in ("did", "at", "before", "after")])
+    headed = suffixes.join(heads, "key").select("key", "did", "at", "before", "after", "more", "rows", "head_did", "head_at", "head_before", "head_after")
     compared = cut(headed.mapInArrow(_compare_heads, "did long, start long, end long, key long, at long, before binary, after binary"), "heads")
     marks = compared.where("start is not null").select("did", "start", "end").unionAll(neighbour_marks(compared.where("start is null")))
     by_doc = marks.groupBy("did").agg(F.collect_set(F.struct("start", "end")).alias("m")).select("did", F.col("m.start").alias("starts"), F.col("m.end").alias("ends"))
