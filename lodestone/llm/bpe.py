@@ -10,6 +10,7 @@ Each distinct piece of a chunk is merged once; what a task keeps between chunks
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -26,8 +27,10 @@ from lodestone.llm.textkit import chunks
 
 NONE = np.int32(2**30)
 WIDE = 64
+#: Bytes of text that a worker splits at a time.
+CHUNK = 1 << 19
 #: Pieces that a task remembers; beyond that it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 class Vocabulary:
@@ -37,16 +40,18 @@ class Vocabulary:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.token = [b""] * (max(ranks.values()) + 1)
+        keys, values = array("q"), array("i")
         for whole, rank in ranks.items():
+            self.token[rank] = whole
             for cut in range(1, len(whole)):
                 a, b = ranks.get(whole[:cut]), ranks.get(whole[cut:])
                 if a is not None and b is not None:
-                    self.pairs[a, b] = rank
-        keys = np.array([(a << 32) | b for a, b in self.pairs], dtype=np.int64)
-        order = np.argsort(keys)
-        self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
-        self.pair_ranks = np.append(np.array(list(self.pairs.values()), dtype=np.int32)[order], NONE) if len(keys) else np.array([NONE])
+                    keys.append((a << 32) | b)
+                    values.append(rank)
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.pair_keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(np.array(values, np.int32)[order], NONE)
         self.forget()
 
     def forget(self) -> None:
@@ -70,10 +75,11 @@ class Vocabulary:
         base = 1
         while base < n:
             base *= 2
-        none, pairs = int(NONE), self.pairs
+        none, ranks, token = int(NONE), self.ranks, self.token
+        rank_of = lambda a, b: ranks.get(token[a] + token[b], none)
         tree = [none] * (2 * base)
         for i in range(n - 1):
-            tree[base + i] = pairs.get((ids[i], ids[i + 1]), none)
+            tree[base + i] = rank_of(ids[i], ids[i + 1])
         for node in range(base - 1, 0, -1):
             tree[node] = min(tree[2 * node], tree[2 * node + 1])
 
@@ -102,9 +108,9 @@ class Vocabulary:
             if k < n:
                 before[k] = i
             put(j, none)
-            put(i, pairs.get((ids[i], ids[k]), none) if k < n else none)
+            put(i, rank_of(ids[i], ids[k]) if k < n else none)
             if before[i] >= 0:
-                put(before[i], pairs.get((ids[before[i]], ids[i]), none))
+                put(before[i], rank_of(ids[before[i]], ids[i]))
         out, i = [], 0
         while i < n:
             out.append(ids[i])
@@ -240,48 +246,76 @@ def tokens(path: str) -> Tokens:
     return Tokens(read_ranks(path))
 
 
-def column_of(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
-    """(row, value): a column of the struct `row` beside it, so that it crosses to Python once."""
-    rows = batch.column("row")
-    return pa.RecordBatch.from_arrays([rows, rows.field(name)], ["row", "value"])
+def _bounds(n: np.ndarray) -> pa.Array:
+    return pa.array(n.astype(np.int32))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
-    """docs with `_ids`, the token ids of the whole text; the rank file must be at `path` on every executor.
+def _encoded(docs: DataFrame, path: str, pattern: str, column: str, back: str | None) -> DataFrame:
+    """Rows of docs without `column` as `row`, `_ids`, and with `back` the decoded ids' bytes or whether they are the text's.
 
-    Null texts count as empty: no ids. Other columns pass through whatever their names; rows stay rows.
+    One pass in one worker: the text goes in once, and comes back only if its decoded bytes are asked for.
     """
     prepare(docs.sparkSession)
-    packed = docs.select(F.struct(*docs.columns).alias("row"))
-    schema = T.StructType([packed.schema["row"], T.StructField("_ids", T.ArrayType(T.IntegerType(), False), False)])
+    # a struct needs a field, even where no other column is kept
+    packed = docs.select(F.struct(F.lit(True).alias("some"), *[c for c in docs.columns if c != column]).alias("row"), F.col(column).cast("string").alias("value"))
+    kinds = {"bytes": T.StructField("_bytes", T.BinaryType()), "exact": T.StructField("_exact", T.BooleanType())}
+    schema = T.StructType([packed.schema["row"], T.StructField("_ids", T.ArrayType(T.IntegerType(), False), False), *([kinds[back]] if back else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
+        table = tokens(path) if back else None
         for batch in batches:
-            for part in chunks(column_of(batch, column), "value"):
-                flat, bounds = vocab.encode(part.column("value").fill_null("").to_pylist())
-                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column("row"), ids], ["row", "_ids"])
+            for part in chunks(batch, "value", CHUNK):
+                texts = part.column("value").fill_null("")
+                flat, bounds = vocab.encode(texts.to_pylist())
+                ids = pa.ListArray.from_arrays(_bounds(bounds), pa.array(flat))
+                columns = [part.column("row"), ids]
+                if back:
+                    decoded = table.decode(ids)
+                    columns.append(decoded if back == "bytes" else pa.compute.equal(decoded, texts.cast(pa.binary())))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
         vocab.forget()  # the worker lives on, for other operators
 
-    return packed.mapInArrow(run, schema).select("row.*", "_ids")
+    return packed.mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
+    """docs with `_ids`, the token ids of the whole text; the rank file must be at `path` on every executor.
+
+    Null texts count as empty: no ids. Other columns pass through whatever their names, an old `_ids` gives way; rows stay
+    rows, equal rows get equal ids; an empty table gives an empty result.
+    """
+    kept = [c for c in docs.columns if c != "_ids"]
+    twin = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.col(column).alias("value"))
+    out = _encoded(twin, path, pattern, "value", None)
+    return out.select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(kept)], "_ids")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, column: str = "text", back: str = "exact") -> DataFrame:
+    """docs without `column`, with `_ids` as encode() gives them, and what they decode to: `_bytes` (back="bytes"), or `_exact`,
+    whether these are the text's bytes (back="exact"). Nulls and columns as for encode()."""
+    added = {"exact": "_exact", "bytes": "_bytes"}[back]
+    kept = [c for c in docs.columns if c not in (column, "_ids", added)]
+    twin = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.col(column).alias("value"))
+    out = _encoded(twin, path, pattern, "value", back)
+    return out.select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(kept)], "_ids", added)
 
 
 def decode(ids: DataFrame, path: str, column: str = "_ids") -> DataFrame:
-    """ids with `_bytes`, the joined bytes of the tokens; null where the list is null."""
+    """ids with `_bytes`, the joined bytes of the tokens; null where the list is null. An empty table gives an empty result."""
     prepare(ids.sparkSession)
-    packed = ids.select(F.struct(*ids.columns).alias("row"))
+    kept = [c for c in ids.columns if c != "_bytes"]
+    packed = ids.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)]).alias("row"), F.col(column).cast("array<int>").alias("value"))
     schema = T.StructType([packed.schema["row"], T.StructField("_bytes", T.BinaryType(), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokens(path)
         for batch in batches:
-            whole = column_of(batch, column)
             for lo in range(0, batch.num_rows, 256):
-                part = whole.slice(lo, 256)
+                part = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([part.column("row"), table.decode(part.column("value"))], ["row", "_bytes"])
 
-    return packed.mapInArrow(run, schema).select("row.*", "_bytes")
+    return packed.mapInArrow(run, schema).select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(kept)], "_bytes")
 
 
 def op5_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -289,9 +323,8 @@ def op5_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    encoded = encode(docs, path, pattern).select("doc_id", "_ids")
-    digest = encoded.select(
-        "doc_id", "_ids", F.size("_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+    out = round_trip(docs, path, pattern, back="bytes")
+    return out.select(
+        "doc_id", F.size("_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("_bytes", 256).alias("decoded_sha256"),
     )
-    return decode(digest, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("_bytes", 256).alias("decoded_sha256"))
