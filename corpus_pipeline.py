@@ -51,10 +51,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each remaining text, and whether they decode to its bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "text"), path, pattern)
-    decoded = bpe.decode(ids, path)
-    exact = F.col("_bytes") == F.coalesce("text", F.lit("")).cast("binary")
-    return decoded.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.col("_ids").alias("ids"), exact.alias("decodes"))
+    out = bpe.round_trip(docs.select("doc_id", "text"), path, pattern)
+    return out.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.col("_ids").alias("ids"), F.col("_exact").alias("decodes"))
 
 
 STAGES = [
