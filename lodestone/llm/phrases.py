@@ -1,16 +1,19 @@
 """Substring dedup by repeated-phrase automata.
 
 1. Each document is sketched: of every window of WINDOW words the PHRASE-word phrase of least hash. Equal windows select equal
-   phrases, so a window that occurs twice holds a phrase that recurs. Phrases in several places are confirmed by a count.
-2. Documents that hold recurring phrases stream through Aho-Corasick automata, a shard of documents and its phrases at a
-   time, so that an automaton stays small however many phrases the corpus has. Every place of every phrase is located by its
-   text. A window whose selected phrase recurs is a candidate.
-3. Equal surroundings of a phrase are one class, of which the first member counts; the classes' windows are grouped, and the
-   least (document, start) of each window is its first place. Candidate windows at other places are removed.
+   phrases, so a window that occurs twice holds a phrase that recurs. Phrases are counted over the whole corpus; those in
+   several places are confirmed.
+2. Documents are dealt out in shards of a few MB. A shard's Aho-Corasick automaton holds the confirmed phrases that its
+   documents have; every document of the shard streams through it, and all places of phrases come from the automaton. An
+   automaton's size is bounded by its shard's, however many phrases the corpus has.
+3. A window whose selected phrase stands at a located place is a candidate. Equal surroundings of a phrase are one class, of
+   which the first member counts; the classes' windows are grouped, and the least (document, start) of each is its first
+   place. Candidate windows at other places are removed.
 
 Whole copies are known by their hash and skip steps 1 to 3: of a copy of WINDOW words or more, every word is removed.
-Grouping by class and window is by partial aggregates: a passage that a third of all documents share is one row per task.
-Links between places are hashes of 64 bits in pairs: a class is (phrase, surroundings), a window (phrase, window).
+Skew: counting and grouping are by partial aggregates, so a passage that a third of all documents share is one row per task;
+the most frequent texts and phrases are joined by a bounded broadcast (spread_join). Lists are gathered by document only.
+Hashes: 64 bits for a phrase, 128 for a class and a text, 96 for a window.
 """
 
 from __future__ import annotations
@@ -24,13 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.session import doc_id_of, doc_key, prepare
-from lodestone.llm.textkit import WHITESPACE, Sketch, Words, chunks, signed, sliding
+from lodestone.llm.session import cut, prepare, spread_join, text_key
+from lodestone.llm.textkit import WHITESPACE, Sketch, U, Words, chunks, mix, signed, sliding
 
 WINDOW, PHRASE = 20, 6
+#: Bytes of text of a shard.
+SHARD = 1 << 21
+ADDED = ["_n_words", "_n_removed", "_kept_text", "_removed"]
+KEY = ["did", "rid"]
 
 
 def _sketch_rows(window: int, k: int):
+    """(phrase, did, rid) of the selected phrases: once per document, twice if it recurs within the document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
@@ -40,52 +49,49 @@ def _sketch_rows(window: int, k: int):
                 doc, phrase = words.owner()[at], sketch.grams[at]
                 order = np.lexsort((phrase, doc))
                 doc, phrase = doc[order], phrase[order]
-                # once per document; twice if it recurs within the document
                 fresh = np.ones(len(doc), bool)
                 fresh[1:] = (doc[1:] != doc[:-1]) | (phrase[1:] != phrase[:-1])
                 nth = np.arange(len(doc)) - np.maximum.accumulate(np.where(fresh, np.arange(len(doc)), 0))
-                keep = nth < 2
-                dids = part.column("did").to_numpy()[doc[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(phrase[keep])), pa.array(dids)], ["phrase", "did"])
+                doc, phrase = doc[nth < 2], phrase[nth < 2]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(phrase)), *[pa.array(part.column(c).to_numpy()[doc]) for c in KEY]], ["phrase", *KEY])
 
     return run
 
 
 class Shard:
-    """An automaton of a chunk's recurring phrases, and the chunk's candidate windows that it finds.
-
-    windows: (first word, selected phrase) of each candidate; `phrases[d]` holds the recurring phrases of text d or None.
-    """
+    """An automaton of the confirmed phrases that some texts have, and the texts' candidate windows by the places it finds."""
 
-    def __init__(self, words: Words, sketch: Sketch, phrases: list[np.ndarray | None]):
-        self.words, self.sketch = words, sketch
+    def __init__(self, words: Words, sketch: Sketch, confirmed: np.ndarray):
+        self.words, self.sketch, self.k = words, sketch, sketch.k
+        text, self.spaces = words.joined()
+        self.machine = self.compiled(text, confirmed)
         self.located = np.zeros(len(sketch.grams), bool)
-        machine = ahocorasick.Automaton()
-        texts: list[tuple[int, str, np.ndarray]] = []
-        any_phrase = False
-        for d, recurring in enumerate(phrases):
-            lo, hi = words.first[d], words.first[d + 1]
-            if recurring is None or not len(recurring) or hi - lo < sketch.window:
-                continue
-            raw = [words.data[a:b].tobytes() for a, b in zip(words.starts[lo:hi].tolist(), words.ends[lo:hi].tolist())]
-            grams = sketch.grams[lo : max(lo, hi - sketch.k + 1)]
-            at = np.flatnonzero(np.isin(grams, recurring) & sketch.chosen[lo : lo + len(grams)])
-            for i in at[np.unique(grams[at], return_index=True)[1]].tolist():
-                machine.add_word(" " + b" ".join(raw[i : i + sketch.k]).decode("utf-8", "replace") + " ", 1)
-                any_phrase = True
-            decoded = [w.decode("utf-8", "replace") for w in raw]
-            texts.append((lo, " " + " ".join(decoded) + " ", np.cumsum(np.fromiter(map(len, decoded), np.int64, len(decoded)) + 1)))
-        if any_phrase:
-            machine.make_automaton()
-            for lo, text, stops in texts:
-                # a phrase ends at the blank behind its last word
-                ends = np.fromiter((end for end, _ in machine.iter(text)), np.int64)
-                if len(ends):
-                    self.located[lo + np.searchsorted(stops, ends) - sketch.k + 1] = True
+        self.located[self.places(text)] = True
         # a window is a candidate if the phrase it selects stands at a located place
-        masked = np.where(self.located, sketch.grams, np.uint64(2**64 - 1))
+        masked = np.where(self.located, sketch.grams, U(2**64 - 1))
         self.candidate = sketch.whole & (sliding(masked, sketch.width) == sketch.low) if len(sketch.whole) else np.zeros(0, bool)
 
+    def compiled(self, text: bytes, confirmed: np.ndarray):
+        """The automaton of the confirmed phrases' texts, a byte for a character; None without phrases."""
+        grams, at = np.unique(self.sketch.grams[self.sketch.chosen], return_index=True)
+        at = np.flatnonzero(self.sketch.chosen)[at[np.isin(grams, confirmed)]]
+        if not len(at):
+            return None
+        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        sizes = self.words.ends - self.words.starts
+        begins, ends = (self.spaces[at] - sizes[at] - 1).tolist(), (self.spaces[at + self.k - 1] + 1).tolist()
+        for a, b in zip(begins, ends):
+            machine.add_word(text[a:b].decode("latin-1"))
+        machine.make_automaton()
+        return machine
+
+    def places(self, text: bytes) -> np.ndarray:
+        """The words at which the automaton finds a phrase: a match ends at the space behind the phrase's last word."""
+        if self.machine is None:
+            return np.zeros(0, np.int64)
+        ends = np.fromiter((end for end, _ in self.machine.iter(text.decode("latin-1"))), np.int64)
+        return np.searchsorted(self.spaces, ends) - self.k + 1
+
 
 def _lists(column: pa.Array) -> list[np.ndarray | None]:
     values = column.flatten().to_numpy(zero_copy_only=False)
@@ -94,24 +100,18 @@ def _lists(column: pa.Array) -> list[np.ndarray | None]:
     return [None if not n else values[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist())]
 
 
-def _shards(batch: pa.RecordBatch, window: int, k: int) -> Iterator[tuple[pa.RecordBatch, Words, Sketch, Shard]]:
-    for part in chunks(batch):
-        words = Words(part.column("text"), WHITESPACE)
-        sketch = Sketch(words, k, window)
-        phrases = [None if p is None else np.ascontiguousarray(p).view(np.uint64) for p in _lists(part.column("phrases"))]
-        yield part, words, sketch, Shard(words, sketch, phrases)
-
-
 def _classes(window: int, k: int):
-    """Each located and selected phrase with its surroundings, and the hashes of the candidate windows that select it."""
+    """Runs of n candidate windows from `start` on that select one place of a phrase; around: its surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words, sketch, shard in _shards(batch, window, k):
-                at = np.flatnonzero(shard.candidate)
+            for part in chunks(batch, size=SHARD):
+                words = Words(part.column("text"), WHITESPACE)
+                sketch = Sketch(words, k, window)
+                confirmed = np.unique(np.ascontiguousarray(part.column("phrases").flatten().to_numpy(zero_copy_only=False)).astype(np.int64))
+                at = np.flatnonzero(Shard(words, sketch, confirmed.view(U)).candidate)
                 if not len(at):
                     continue
-                whole = words.windows(window)
                 # the leftmost phrase of least hash in each candidate window
                 places = np.flatnonzero(sketch.chosen)
                 pick = np.searchsorted(places, at)
@@ -121,25 +121,50 @@ def _classes(window: int, k: int):
                     pick[wrong] += 1
                     home[wrong] = places[pick[wrong]]
                     wrong[wrong] = sketch.grams[home[wrong]] != sketch.low[at[wrong]]
-                cuts = np.flatnonzero(np.diff(home)) + 1
-                heads = np.concatenate([[0], cuts])
-                home = home[heads]
+                heads = np.concatenate([[0], np.flatnonzero((np.diff(home) != 0) | (np.diff(at) != 1)) + 1])
+                n = np.diff(np.append(heads, len(at)))
+                start, home = at[heads], home[heads]
                 doc = words.owner()[home]
-                lo = np.maximum(words.first[doc], home - (window - k))
-                hi = np.minimum(words.first[doc + 1], home + window)
-                around = words.spans(lo, hi - lo) ^ ((home - lo).astype(np.uint64) << np.uint64(32))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)).astype(np.int32)), pa.array(signed(whole[at])))
+                # all words of the run's windows, and where the phrase stands in them
+                around = mix(words.spans(start, n + window - 1) ^ ((home - start).astype(U) << U(32)))
                 columns = [
-                    pa.array(signed(sketch.grams[home])), pa.array(signed(around)), pa.array(part.column("did").to_numpy()[doc]),
-                    pa.array(at[heads] - words.first[doc]), lists,
+                    pa.array(signed(sketch.grams[home])), pa.array(signed(around)), *[pa.array(part.column(c).to_numpy()[doc]) for c in KEY],
+                    pa.array((start - words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["phrase", "around", "did", "start", "windows"])
+                yield pa.RecordBatch.from_arrays(columns, ["phrase", "around", *KEY, "start", "n"])
+
+    return run
+
+
+def _runs(starts: list, sizes: list, words: Words) -> np.ndarray:
+    """The words at which the windows of these runs start."""
+    out = [words.first[d] + np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) for d, (s, n) in enumerate(zip(starts, sizes)) if s is not None]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _windows(window: int):
+    """Hashes and places of the windows of the runs that stand for their classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                words = Words(part.column("text"), WHITESPACE)
+                at = _runs(_lists(part.column("starts")), _lists(part.column("sizes")), words)
+                doc = words.owner()[at]
+                half = window // 2
+                second = mix(words.spans(at, half) ^ (words.spans(at + half, window - half) * U(0x9E3779B97F4A7C15)))
+                columns = [
+                    pa.array(signed(words.spans(at, window))), pa.array((second >> U(32)).astype(np.uint32).view(np.int32)),
+                    *[pa.array(part.column(c).to_numpy()[doc]) for c in KEY], pa.array((at - words.first[doc]).astype(np.int32)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", *KEY, "start"])
 
     return run
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 REMOVED = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+CUT = [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept_text", T.StringType()), T.StructField("_removed", REMOVED)]
 
 
 def kept(words: Words, drop: np.ndarray, removed: np.ndarray) -> tuple[list[str], list[list[dict]]]:
@@ -158,83 +183,86 @@ def kept(words: Words, drop: np.ndarray, removed: np.ndarray) -> tuple[list[str]
     return texts, spans
 
 
-def _remove(window: int, k: int):
+def cut_words(part: pa.RecordBatch, words: Words, covered: np.ndarray, least: int) -> pa.RecordBatch:
+    """Rows without the words at which the running sum of `covered` is above 0, and whole copies of `least` words or more."""
+    drop = np.cumsum(covered)[: len(words)] > 0
+    copy = part.column("copy").to_numpy(zero_copy_only=False)
+    drop |= (copy & (words.counts >= least))[words.owner()]
+    removed = np.bincount(words.owner(), drop, minlength=words.n).astype(np.int64)
+    texts, spans = kept(words, drop, removed)
+    columns = [part.column("text"), part.column("other"), pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(texts, pa.string()), pa.array(spans, SPANS)]
+    return pa.RecordBatch.from_arrays(columns, ["text", "other", *ADDED])
+
+
+def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words, sketch, shard in _shards(batch, window, k):
-                whole = words.windows(window)
-                gone = shard.candidate.copy()
-                owner = words.owner()
-                starts, hashes = _lists(part.column("starts")), _lists(part.column("firsts"))
-                for d in range(words.n):
-                    if starts[d] is not None:
-                        at = words.first[d] + starts[d]
-                        sound = at < min(len(gone), words.first[d + 1])
-                        at, h = at[sound], np.ascontiguousarray(hashes[d][sound]).view(np.uint64)
-                        gone[at[whole[at] == h]] = False
-                copy = part.column("copy").to_numpy(zero_copy_only=False)
+            for part in chunks(batch):
+                words = Words(part.column("text"), WHITESPACE)
+                gone = np.zeros(len(words) + 1, bool)
+                gone[_runs(_lists(part.column("starts")), _lists(part.column("sizes")), words)] = True
+                for d, firsts in enumerate(_lists(part.column("firsts"))):
+                    if firsts is not None:
+                        gone[words.first[d] + firsts] = False
+                at = np.flatnonzero(gone)
                 covered = np.zeros(len(words) + 1, np.int64)
-                np.add.at(covered, np.flatnonzero(gone), 1)
-                np.add.at(covered, np.flatnonzero(gone) + window, -1)
-                drop = np.cumsum(covered)[: len(words)] > 0
-                drop |= (copy & (words.counts >= window))[owner]
-                removed = np.bincount(owner, drop, minlength=words.n).astype(np.int64)
-                texts, spans = kept(words, drop, removed)
-                columns = [part.column("did"), part.column("text"), part.column("other"), pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(texts, pa.string()), pa.array(spans, SPANS)]
-                yield pa.RecordBatch.from_arrays(columns, ["did", "text", "other", "_n_words", "_n_removed", "_kept_text", "_removed"])
+                covered[at] += 1
+                covered[np.minimum(at + window, len(words))] -= 1
+                yield cut_words(part, words, covered, window)
 
     return run
 
 
 def with_copies(docs: DataFrame) -> DataFrame:
-    """(did, text, other, copy): `copy` if the same text has a smaller id elsewhere; `other` holds the remaining columns."""
-    # every branch below reads the same columns of one exchange by id, so that texts are shuffled once
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    keyed = docs.select(doc_key().alias("did"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.col("text").isNull().alias("_null"), *others).alias("other"))
-    ids = docs.select(doc_key().alias("did"), *[F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))).alias(f"t{seed}") for seed in (1, 2)])
-    least = ids.groupBy("t1", "t2").agg(F.min("did").alias("least"))
-    copies = ids.join(least, ["t1", "t2"]).where("did > least").groupBy("did").agg(F.collect_set(F.struct("t1", "t2")).alias("copied"))
-    # the hash keeps rows of equal ids apart where their texts differ
-    hashes = F.struct(*[F.xxhash64(F.lit(seed), "text").alias(f"t{seed}") for seed in (1, 2)])
-    return keyed.join(copies, "did", "left").select("did", "text", "other", F.coalesce(F.array_contains("copied", hashes), F.lit(False)).alias("copy"))
+    """(did, rid, text, other, copy): rid tells rows of one id apart by their texts; `copy` if the same text has a smaller id
+    elsewhere; `other` holds what restored() needs."""
+    text = F.coalesce("text", F.lit(""))
+    others = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text" and c not in ADDED]
+    keyed = docs.select(text_key(text).alias("did"), F.hash(text).alias("rid"), text.alias("text"), F.struct(F.col("text").isNull().alias("none"), *others).alias("other"))
+    hashes = [F.xxhash64(F.lit(seed), text).alias(f"t{seed}") for seed in (1, 2)]
+    ids = docs.select(text_key(text).alias("did"), F.hash(text).alias("rid"), *hashes)
+    least = ids.groupBy("t1", "t2").agg(F.min("did").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = spread_join(ids, least, ["t1", "t2"], ["least"], F.col("did")).where("did > least").select(*KEY, F.lit(True).alias("copied")).distinct()
+    return keyed.join(copies, KEY, "left").select(*KEY, "text", "other", F.coalesce("copied", F.lit(False)).alias("copy"))
+
+
+def restored(out: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that with_copies() was given, and the added ones, which take the place of older ones of their names."""
+    place = {c: F.col("other").getField(f"c{i}").alias(c) for i, c in enumerate(columns) if c not in ADDED}
+    place["text"] = F.when(~F.col("other.none"), F.col("text")).alias("text")
+    return out.select(*[place[c] for c in columns if c not in ADDED], *ADDED)
 
 
-def restored(out: DataFrame, columns: list[str], *added: str) -> DataFrame:
-    """The columns that with_copies() was given, and the added ones."""
-    source = {"doc_id": doc_id_of().alias("doc_id"), "text": F.when(~F.col("other._null"), F.col("text")).alias("text")}
-    return out.select(*[source.get(c, F.col("other").getField(c).alias(c)) for c in columns], *added)
+def confirmed(originals: DataFrame, window: int, k: int) -> DataFrame:
+    """(did, rid, phrases): each document's selected phrases that recur in the corpus."""
+    rows = originals.mapInArrow(_sketch_rows(window, k), "phrase long, did long, rid int")
+    recurring = rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = spread_join(rows, recurring, ["phrase"], [], F.col("did"))
+    return held.groupBy(*KEY).agg(F.collect_set("phrase").alias("phrases"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = PHRASE) -> DataFrame:
     """docs with _n_words, _n_removed, _kept_text (kept words joined by one space) and _removed (spans of words).
 
     A word is removed if a window of `window` words covers it whose words also start earlier: in a document of smaller id, or
-    in the same document. Null and empty texts have no words. Documents without an id come last and count as one document,
-    as do rows that share an id: of equal windows at equal (id, start) neither is earlier, so equal rows are treated alike.
+    in the same document. Null and empty texts have no words. Every row is a document: those of equal id come in the order of
+    a hash of their texts, those without an id likewise after all others; equal rows are one document, as neither is earlier.
     An empty table gives an empty result; other columns pass through.
     """
     prepare(docs.sparkSession)
     base = with_copies(docs)
     originals = base.where(~F.col("copy"))
-    rows = originals.mapInArrow(_sketch_rows(window, k), "phrase long, did long")
-    recurring = rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
-    phrases = rows.join(recurring, "phrase", "left_semi").groupBy("did").agg(F.collect_set("phrase").alias("phrases"))
-
-    held = originals.join(phrases, "did")
-    classes = held.mapInArrow(_classes(window, k), "phrase long, around long, did long, start long, windows array<long>")
-    members = classes.groupBy("phrase", "around").agg(F.min(F.struct("did", "start", "windows")).alias("m"))
-    flat = members.select("phrase", "m.did", "m.start", F.posexplode("m.windows").alias("i", "window"))
-    firsts = flat.groupBy("phrase", "window").agg(F.min(F.struct("did", (F.col("start") + F.col("i")).alias("start"))).alias("m"))
-    by_doc = firsts.groupBy("m.did").agg(F.collect_list(F.struct(F.col("m.start").alias("start"), "window")).alias("f"))
-    by_doc = by_doc.select("did", F.col("f.start").alias("starts"), F.col("f.window").alias("firsts"))
-
-    joined = base.join(phrases, "did", "left").join(by_doc, "did", "left").select("did", "text", "other", "copy", F.when(~F.col("copy"), F.col("phrases")).alias("phrases"), "starts", "firsts")
-    schema = T.StructType([
-        joined.schema["did"], joined.schema["text"], joined.schema["other"], T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()),
-        T.StructField("_kept_text", T.StringType()), T.StructField("_removed", REMOVED),
-    ])
-    out = joined.mapInArrow(_remove(window, k), schema)
-    return restored(out, docs.columns, "_n_words", "_n_removed", "_kept_text", "_removed")
+    held = originals.join(confirmed(originals, window, k), KEY, "left").select(*KEY, "text", "phrases")
+    runs = cut(held.mapInArrow(_classes(window, k), "phrase long, around long, did long, rid int, start int, n int"), "runs")
+    by_doc = lambda df: df.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("r")).select(*KEY, F.col("r.start").alias("starts"), F.col("r.n").alias("sizes"))
+    members = runs.groupBy("phrase", "around").agg(F.min(F.struct("did", "start", "rid", "n")).alias("m")).select("m.*")
+    listed = originals.join(by_doc(members), KEY).select(*KEY, "text", "starts", "sizes")
+    places = listed.mapInArrow(_windows(window), "w1 long, w2 int, did long, rid int, start int")
+    firsts = places.groupBy("w1", "w2").agg(F.min(F.struct("did", "start", "rid")).alias("m")).select("m.*")
+    spared = firsts.groupBy(*KEY).agg(F.collect_list("start").alias("firsts"))
+    joined = base.join(by_doc(runs), KEY, "left").join(spared, KEY, "left").select("text", "other", "copy", "starts", "sizes", "firsts")
+    out = joined.mapInArrow(_remove(window), T.StructType([joined.schema["text"], joined.schema["other"], *CUT]))
+    return restored(out, docs.columns)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

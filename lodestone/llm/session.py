@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -16,6 +15,11 @@ BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 #: Workers give freed memory back instead of keeping it for themselves.
 FRUGAL = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_TRIM_THRESHOLD_": "33554432", "MALLOC_MMAP_THRESHOLD_": "33554432", "MALLOC_ARENA_MAX": "2"}
 
+#: Keys that spread_join() broadcasts.
+FREQUENT = 1024
+#: Keys of rows without an id begin here.
+UNNAMED = 1 << 62
+
 #: Stands for a null id: after all others.
 LAST_ID = 2**63 - 1
 
@@ -37,14 +41,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's. None is made up: a folder of one
+    machine would lose on a cluster what other machines wrote."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        # one machine is the whole cluster: the warehouse, which every session has, is shared
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodestone"
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -62,3 +67,25 @@ def doc_key(column: str = "doc_id"):
 def doc_id_of(key: str = "did"):
     """The id behind doc_key()."""
     return F.when(F.col(key) != F.lit(LAST_ID), F.col(key))
+
+
+def text_key(text: Column, doc_id: str = "doc_id") -> Column:
+    """The id as a long; without an id one of UNNAMED and more made from the text, so that no key gathers all rows without id
+    and equal rows have equal keys."""
+    made = F.shiftrightunsigned(F.xxhash64(F.lit("unnamed"), text), 2).bitwiseOR(F.lit(UNNAMED))
+    return F.coalesce(F.col(doc_id).cast("long"), made)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], spread: Column) -> DataFrame:
+    """left with the `values` that right (keys, values, n) has for its keys; left rows without a match go.
+
+    right has each key once and n, how many rows of left hold it. Its FREQUENT most frequent keys, a bounded table, are
+    broadcast, and left's rows with these keys are dealt out by `spread`. Any other key holds at most 1 / FREQUENT of left's
+    rows. So no task gets all rows of a hot key.
+    """
+    top = right.orderBy(F.desc("n"), *keys).limit(FREQUENT).select(*keys, F.lit(True).alias("_top"), *[F.col(v).alias(f"_t_{v}") for v in values])
+    other = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.lit(True).alias("_found"), *[F.col(v).alias(f"_r_{v}") for v in values])
+    marked = left.join(F.broadcast(top), keys, "left").withColumn("_deal", F.when(F.col("_top"), F.xxhash64(keys[0], spread)).otherwise(F.col(keys[0])))
+    on = [F.col("_deal") == F.col(f"_k_{keys[0]}"), *[F.col(k) == F.col(f"_k_{k}") for k in keys[1:]]]
+    both = marked.join(other, on, "left").where("_top or _found")
+    return both.select(*left.columns, *[F.when(F.col("_top"), F.col(f"_t_{v}")).otherwise(F.col(f"_r_{v}")).alias(v) for v in values])

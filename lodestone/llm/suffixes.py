@@ -6,10 +6,10 @@ RUN words in common: these are the key by which suffixes are dealt out and sorte
 with its neighbour, and with the earliest suffix of its run; matches are extended to the left and to the right, as far as
 PASSAGE words need, and a match of PASSAGE words or more marks the later place. Longer passages are marked piece by piece.
 
-Only suffixes whose phrase recurs are shipped with the words around them; whole copies are known by their hash. A run is
-never gathered: its earliest suffix comes by a partial aggregate and a join that may split skewed keys or broadcast. What has
-other words around it than the earliest is then sorted by ranges, so that a hot run goes on in the next partition; the last
-suffix of a partition and the first of the next are compared as well.
+Only suffixes whose run recurs are shipped with the words around them; whole copies are known by their hash. A run is never
+gathered: its earliest suffix comes by a partial aggregate and a join that broadcasts the most frequent runs (spread_join).
+What has other words around it than the earliest is then sorted by ranges, so that a hot run goes on in the next partition;
+the last suffix of a partition and the first of the next are compared as well.
 """
 
 from __future__ import annotations
@@ -23,52 +23,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.phrases import REMOVED, SPANS, _lists, _sketch_rows, kept, restored, with_copies
-from lodestone.llm.session import cut, prepare
+from lodestone.llm.phrases import CUT, KEY, _lists, cut_words, restored, with_copies
+from lodestone.llm.session import cut, prepare, spread_join
 from lodestone.llm.textkit import WHITESPACE, Sketch, Words, chunks, signed
 
 PASSAGE, SELECT, PHRASE = 50, 30, 10
 RUN = PASSAGE - (SELECT - PHRASE)
 
 
+def _retained(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Selected places that a whole run follows, their texts and the runs' hashes."""
+    at = np.flatnonzero(Sketch(words, PHRASE, SELECT).chosen)
+    doc = words.owner()[at]
+    fits = at + RUN <= words.first[doc + 1]
+    at, doc = at[fits], doc[fits]
+    return at, doc, signed(words.spans(at, RUN))
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, did, rid) of the retained suffixes' runs: once per document, twice if the run recurs within the document."""
+    for batch in batches:
+        for part in chunks(batch):
+            _, doc, key = _retained(Words(part.column("text"), WHITESPACE))
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            again = np.zeros(len(doc), bool)
+            again[2:] = (doc[2:] == doc[:-2]) & (key[2:] == key[:-2])
+            doc, key = doc[~again], key[~again]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(part.column(c).to_numpy()[doc]) for c in KEY]], ["key", *KEY])
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Retained suffixes whose phrase recurs: the run's key, and the words before the place and after the run.
+    """Retained suffixes whose run recurs: the run's key, and the words before the place and after the run.
 
-    Of places of a chunk that agree in all of these the earliest stands for all; `more` holds the others, as id and place in
-    turn, so that a line that stands everywhere is a row per chunk.
+    Of places of a chunk that agree in all of these the earliest stands for all; `more` holds the others, as did, rid and
+    place in turn, so that a line that stands everywhere is a row per chunk.
     """
     for batch in batches:
         for part in chunks(batch):
             words = Words(part.column("text"), WHITESPACE)
-            sketch = Sketch(words, PHRASE, SELECT)
-            recurring = _lists(part.column("phrases"))
-            at = np.flatnonzero(sketch.chosen)
-            doc = words.owner()[at]
-            fits = at + RUN <= words.first[doc + 1]
-            at, doc = at[fits], doc[fits]
-            keep = np.zeros(len(at), bool)
-            for d in np.unique(doc):
-                here = slice(*np.searchsorted(doc, [d, d + 1]))
-                keep[here] = np.isin(signed(sketch.grams[at[here]]), recurring[d])
-            at, doc = at[keep], doc[keep]
+            at, doc, key = _retained(words)
+            # a run that recurs in any text of the chunk recurs in the corpus
+            keep = np.isin(key, part.column("runs").flatten().to_numpy(zero_copy_only=False))
+            at, doc, key = at[keep], doc[keep], key[keep].tolist()
             if not len(at):
                 continue
-            key = signed(words.spans(at, RUN)).tolist()
             lo = np.maximum(words.first[doc], at - (PASSAGE - RUN)).tolist()
             hi = np.minimum(words.first[doc + 1], at + PASSAGE).tolist()
             raw = words.data.tobytes()
-            dids, places = part.column("did").to_numpy()[doc].tolist(), (at - words.first[doc]).tolist()
+            dids, rids = (part.column(c).to_numpy()[doc].tolist() for c in KEY)
+            places = (at - words.first[doc]).tolist()
             starts, ends = words.starts, words.ends
             said = lambda a, b: b" ".join(raw[starts[a] : ends[b - 1]].split()) if b > a else b""
-            same: dict[tuple[int, bytes, bytes], list[tuple[int, int]]] = {}
+            same: dict[tuple[int, bytes, bytes], list[tuple[int, int, int]]] = {}
             for i, p in enumerate(at.tolist()):
-                same.setdefault((key[i], said(lo[i], p), said(p + RUN, hi[i])), []).append((dids[i], places[i]))
+                same.setdefault((key[i], said(lo[i], p), said(p + RUN, hi[i])), []).append((dids[i], places[i], rids[i]))
             rows = []
             for (run, before, after), where in same.items():
                 where.sort()
                 rows.append((run, *where[0], before, after, [x for place in where[1:] for x in place]))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["key", "did", "at", "before", "after", "more"])
+            yield _table(rows, {"key": pa.int64(), **PLACE, **AROUND, "more": pa.list_(pa.int64())})
 
 
 def common(a: list, b: list) -> int:
@@ -88,10 +102,13 @@ def match(one: tuple[bytes, bytes], two: tuple[bytes, bytes]) -> tuple[int, int]
     return left, right
 
 
-MARK = {"did": pa.int64(), "start": pa.int64(), "end": pa.int64()}
-SUFFIX = {"key": pa.int64(), "at": pa.int64(), "before": pa.binary(), "after": pa.binary()}
+PLACE = {"did": pa.int64(), "at": pa.int32(), "rid": pa.int32()}
+AROUND = {"before": pa.binary(), "after": pa.binary()}
+MARK = {"did": pa.int64(), "rid": pa.int32(), "start": pa.int32(), "end": pa.int32()}
+SUFFIX = {"key": pa.int64(), "at": pa.int32(), **AROUND}
 #: Partition, and 0 for its first suffix, 1 for its last.
 BORDER = {"part": pa.int32(), "side": pa.int32()}
+ORDER = ["key", "after", "before", "did", "at", "rid"]
 
 
 def _table(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -104,32 +121,32 @@ def _compare_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     Left out are those that match the earliest in all words around them: they are marked as far as any comparison could, and
     whatever matches them matches the earliest as far. So are those alone with it, and those with too few words around them.
     """
+    names = ("key", *PLACE, *AROUND, "more", "places", "head_did", "head_at", "head_rid", "head_before", "head_after")
     for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
         marks: set[tuple] = set()
         others: list[tuple] = []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("key", "did", "at", "before", "after", "more", "rows", "head_did", "head_at", "head_before", "head_after")))
-        for key, did, at, before, after, more, n_rows, head_did, head_at, head_before, head_after in rows:
+        for key, did, at, rid, before, after, more, n_rows, head_did, head_at, head_rid, head_before, head_after in zip(*(batch.column(c).to_pylist() for c in names)):
             if more:
                 left, right = match((before, after), (before, after))
                 if left + right >= PASSAGE:
-                    marks.update((d, p - left, p + right) for d, p in zip(more[::2], more[1::2]))
-            if (did, at) != (head_did, head_at):
+                    marks.update((d, r, p - left, p + right) for d, p, r in zip(more[::3], more[1::3], more[2::3]))
+            if (did, at, rid) != (head_did, head_at, head_rid):
                 left, right = match((before, after), (head_before, head_after))
                 if left + right >= PASSAGE:
-                    marks.add((did, at - left, at + right))
+                    marks.add((did, rid, at - left, at + right))
                 most = len(before.split()) + RUN + len(after.split())
                 if n_rows > 2 and most >= PASSAGE and left + right < most:
-                    others.append((did, None, None, key, at, before, after))
+                    others.append((did, rid, None, None, key, at, before, after))
         yield _table([(*m, None, None, None, None) for m in marks] + others, MARK | SUFFIX)
 
 
-def later_of(one: tuple, two: tuple) -> tuple[int, int, int] | None:
-    """Of two suffixes (key, did, at, before, after) the later one's mark, if they are of a run and match far enough."""
-    if one[0] != two[0] or one[1:3] == two[1:3]:
+def later_of(one: tuple, two: tuple) -> tuple[int, int, int, int] | None:
+    """Of two suffixes (in ORDER) the later one's mark, if they are of a run and match far enough."""
+    if one[0] != two[0] or one[3:] == two[3:]:
         return None
-    left, right = match(one[3:], two[3:])
-    did, at = max(one[1:3], two[1:3])
-    return (did, at - left, at + right) if left + right >= PASSAGE else None
+    left, right = match((one[2], one[1]), (two[2], two[1]))
+    did, at, rid = max(one[3:], two[3:])
+    return (did, rid, at - left, at + right) if left + right >= PASSAGE else None
 
 
 def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +154,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     first = last = None
     for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
         marks: set[tuple] = set()
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "did", "at", "before", "after"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ORDER)):
             if last is None:
                 first = row
             elif mark := later_of(last, row):
@@ -146,20 +163,23 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield _table([(*m, *[None] * 6) for m in marks], MARK | SUFFIX | BORDER)
     if last is not None:
         part = TaskContext.get().partitionId()
-        ends = [(did, None, None, key, at, before, after, part, side) for side, (key, did, at, before, after) in enumerate((first, last))]
+        ends = [(did, rid, None, None, key, at, before, after, part, side) for side, (key, after, before, did, at, rid) in enumerate((first, last))]
         yield _table(ends, MARK | SUFFIX | BORDER)
 
 
+MARKED = "did long, rid int, start int, end int"
+HELD = f"{MARKED}, key long, at int, before binary, after binary"
+
+
 def neighbour_marks(suffixes: DataFrame) -> DataFrame:
-    """(did, start, end) from each suffix (key, did, at, before, after) and its neighbour in the order of all."""
-    order = ["key", "after", "before", "did", "at"]
-    ranges = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "did", "at", "before", "after")
-    out = cut(ranges.mapInArrow(_compare_neighbours, "did long, start long, end long, key long, at long, before binary, after binary, part int, side int"), "neighbours")
+    """(did, rid, start, end) from each suffix and its neighbour in the order of all."""
+    ranges = suffixes.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select(*ORDER)
+    out = cut(ranges.mapInArrow(_compare_neighbours, f"{HELD}, part int, side int"), "neighbours")
     # two rows a partition
-    ends = [tuple(r) for r in out.where("start is null").orderBy("part", "side").select("key", "did", "at", "before", "after").collect()]
+    ends = [tuple(r) for r in out.where("start is null").orderBy("part", "side").select(*ORDER).collect()]
     marks = [m for one, two in zip(ends[1::2], ends[2::2]) if (m := later_of(one, two))]
-    found = out.where("start is not null").select("did", "start", "end")
-    return found.unionAll(found.sparkSession.createDataFrame(marks, "did long, start long, end long")) if marks else found
+    found = out.where("start is not null").select(*MARK)
+    return found.unionAll(found.sparkSession.createDataFrame(marks, MARKED)) if marks else found
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,46 +187,35 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batch):
             words = Words(part.column("text"), WHITESPACE)
             covered = np.zeros(len(words) + 1, np.int64)
-            starts, ends = _lists(part.column("starts")), _lists(part.column("ends"))
-            for d in range(words.n):
-                if starts[d] is not None:
-                    np.add.at(covered, words.first[d] + np.minimum(starts[d], words.counts[d]), 1)
-                    np.add.at(covered, words.first[d] + np.minimum(ends[d], words.counts[d]), -1)
-            drop = np.cumsum(covered)[: len(words)] > 0
-            copy = part.column("copy").to_numpy(zero_copy_only=False)
-            drop |= (copy & (words.counts >= PASSAGE))[words.owner()]
-            removed = np.bincount(words.owner(), drop, minlength=words.n).astype(np.int64)
-            texts, spans = kept(words, drop, removed)
-            columns = [part.column("did"), part.column("text"), part.column("other"), pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(texts, pa.string()), pa.array(spans, SPANS)]
-            yield pa.RecordBatch.from_arrays(columns, ["did", "text", "other", "_n_words", "_n_removed", "_kept_text", "_removed"])
+            for d, (starts, ends) in enumerate(zip(_lists(part.column("starts")), _lists(part.column("ends")))):
+                if starts is not None:
+                    np.add.at(covered, words.first[d] + np.minimum(starts, words.counts[d]), 1)
+                    np.add.at(covered, words.first[d] + np.minimum(ends, words.counts[d]), -1)
+            yield cut_words(part, words, covered, PASSAGE)
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """docs with _n_words, _n_removed, _kept_text and _removed (spans of words), as remove_repeats() gives them.
 
     Removed are passages of PASSAGE words or more that also stand earlier, found as the module says; every removed word is in
-    such a passage. Null and empty texts have no words; rows that share an id count as one document, those without an id as
-    the last one. An empty table gives an empty result; other columns pass through.
+    such a passage. Null and empty texts have no words. Every row is a document, in the order that remove_repeats() names. An
+    empty table gives an empty result; other columns pass through.
     """
     prepare(docs.sparkSession)
     base = with_copies(docs)
     originals = base.where(~F.col("copy"))
-    rows = originals.mapInArrow(_sketch_rows(SELECT, PHRASE), "phrase long, did long")
-    recurring = rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
-    phrases = rows.join(recurring, "phrase", "left_semi").groupBy("did").agg(F.collect_set("phrase").alias("phrases"))
-    suffixes = originals.join(phrases, "did").mapInArrow(_suffixes, "key long, did long, at long, before binary, after binary, more array<long>")
-    heads = suffixes.groupBy("key").agg((F.count(F.lit(1)) + F.sum(F.size("more"))).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("did", "at", "before", "after")).alias("h")).where("n > 1")
-    heads = heads.select("key", "rows", *[F.col(f"h.{c}").alias(f"head_{c}") for c in ("did", "at", "before", "after")])
-    headed = suffixes.join(heads, "key").select("key", "did", "at", "before", "after", "more", "rows", "head_did", "head_at", "head_before", "head_after")
-    compared = cut(headed.mapInArrow(_compare_heads, "did long, start long, end long, key long, at long, before binary, after binary"), "heads")
-    marks = compared.where("start is not null").select("did", "start", "end").unionAll(neighbour_marks(compared.where("start is null")))
-    by_doc = marks.groupBy("did").agg(F.collect_set(F.struct("start", "end")).alias("m")).select("did", F.col("m.start").alias("starts"), F.col("m.end").alias("ends"))
-    joined = base.join(by_doc, "did", "left").select("did", "text", "other", "copy", F.when(~F.col("copy"), F.col("starts")).alias("starts"), F.when(~F.col("copy"), F.col("ends")).alias("ends"))
-    schema = T.StructType([
-        joined.schema["did"], joined.schema["text"], joined.schema["other"], T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()),
-        T.StructField("_kept_text", T.StringType()), T.StructField("_removed", REMOVED),
-    ])
-    return restored(joined.mapInArrow(_cut_out, schema), docs.columns, "_n_words", "_n_removed", "_kept_text", "_removed")
+    rows = originals.mapInArrow(_run_rows, "key long, did long, rid int")
+    recurring = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    runs = spread_join(rows, recurring, ["key"], [], F.col("did")).groupBy(*KEY).agg(F.collect_set("key").alias("runs"))
+    suffixes = originals.join(runs, KEY).select(*KEY, "text", "runs").mapInArrow(_suffixes, "key long, did long, at int, rid int, before binary, after binary, more array<long>")
+    heads = suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("more") + 1).alias("total"), F.min(F.struct("did", "at", "rid", "before", "after")).alias("h")).where("total > 1")
+    heads = heads.select("key", "n", F.col("n").alias("places"), *[F.col(f"h.{c}").alias(f"head_{c}") for c in ("did", "at", "rid", "before", "after")])
+    headed = spread_join(suffixes, heads, ["key"], ["places", "head_did", "head_at", "head_rid", "head_before", "head_after"], F.col("did"))
+    compared = cut(headed.mapInArrow(_compare_heads, HELD), "heads")
+    marks = compared.where("start is not null").select(*MARK).unionAll(neighbour_marks(compared.where("start is null")))
+    by_doc = marks.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("m")).select(*KEY, F.col("m.start").alias("starts"), F.col("m.end").alias("ends"))
+    joined = base.join(by_doc, KEY, "left").select("text", "other", "copy", "starts", "ends")
+    return restored(joined.mapInArrow(_cut_out, T.StructType([joined.schema["text"], joined.schema["other"], *CUT])), docs.columns)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

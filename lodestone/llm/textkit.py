@@ -139,9 +139,19 @@ class Words:
         last = np.repeat(self.first[1:], self.counts)[:n]
         return np.arange(n) + k <= last
 
-    def text(self, word: int, end: int) -> bytes:
-        """Words word..end-1 joined by one space."""
-        return b" ".join(self.data[self.starts[i] : self.ends[i]].tobytes() for i in range(word, end))
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words with a space before and after each text's words and one between them, texts apart by two; and the place
+        of the space behind each word."""
+        last = np.zeros(len(self), np.int64)
+        last[self.first[1:][self.counts > 0] - 1] = 1
+        sizes = self.ends - self.starts
+        spaces = 1 + np.cumsum(sizes + 1 + last) - 1 - last  # one at the very beginning
+        out = np.full(1 + int((sizes + 1 + last).sum()), 32, np.uint8)
+        heads = spaces - sizes
+        at = np.repeat(heads - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
+        source = np.repeat(self.starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
+        out[at] = self.data[source]
+        return out.tobytes(), spaces
 
 
 def sliding(values: np.ndarray, width: int, least: bool = True) -> np.ndarray:
