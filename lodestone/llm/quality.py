@@ -25,6 +25,8 @@ from lodestone.llm.toxicity import labelled_sample
 MAX_EACH = 2000
 HELD_OUT_OF, HELD_OUT = 3, 1
 STEPS = 250
+#: Weight of label pairs against labels when learning.
+PAIRS = 0.2
 
 
 def _classes() -> np.ndarray:
@@ -168,8 +170,13 @@ class Field:
 
 
 def learn(texts: list[str], good: list[int], prior: float) -> Field:
-    """Maximum likelihood with ridge by gradient ascent (Adam), then slope and shift of the document score. `prior`: the
-    share of good documents among all labels, to which the sample's share is corrected."""
+    """Weights by gradient ascent (Adam) with ridge, then slope and shift of the document score. `prior`: the share of good
+    documents among all labels, to which the sample's share is corrected.
+
+    What is climbed is a weighted likelihood's gradient, in two parts: line labels against their marginals, each document
+    weighing the same, and label pairs against theirs, each line weighing the same and the whole part PAIRS as much. Training
+    documents have one label for all their lines, so the pairs seen are good-good and bad-bad only; the ridge keeps
+    transitions finite."""
     lines = joined_lines(texts)
     y = np.array(good, dtype=float)
     if len(set(good)) < 2 or not len(lines.x):
@@ -189,7 +196,7 @@ def learn(texts: list[str], good: list[int], prior: float) -> Field:
     for step in range(1, STEPS + 1):
         field.weights, field.transitions = params[:-4], params[-4:].reshape(2, 2)
         p, pairs, _ = field.marginals(lines)
-        grad = np.concatenate([lines.x.T @ ((line_y - p) * weight) / m - 1e-4 * params[:-4], 0.2 * (seen - pairs).ravel() / n_pairs - 0.02 * params[-4:]])
+        grad = np.concatenate([lines.x.T @ ((line_y - p) * weight) / m - 1e-4 * params[:-4], PAIRS * (seen - pairs).ravel() / n_pairs - 0.02 * params[-4:]])
         mean = 0.9 * mean + 0.1 * grad
         var = 0.99 * var + 0.01 * grad**2
         params = params + 0.15 * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
@@ -212,6 +219,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Field:
+    """A field from labelled training rows, at most MAX_EACH documents of either label. With labels of one kind only, or none,
+    every text gets the share of good documents among the labels (one half without any). Rows without id or label are left
+    out; of rows that share an id the least text counts."""
     train = ~held_out(F.col("doc_id")) if train is None else train
     n, good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & train).agg(F.count(F.lit(1)), F.sum("quality")).first()
     sample = labelled_sample(docs, labels, "quality", {1: MAX_EACH, 0: MAX_EACH}, train)
@@ -220,8 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Fiel
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
     """docs with _score, the likelihood of good quality. Null and empty texts have no lines and get the share of good
-    documents among the labels. Each row is scored for itself; other columns pass through."""
+    documents among the labels. Each row is scored for itself; an older _score gives way, other columns pass through; no rows
+    give no rows."""
     prepare(docs.sparkSession)
+    docs = docs.drop("_score")
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     schema = T.StructType([packed.schema["row"], T.StructField("_score", T.DoubleType(), False)])
 

@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Two machines are composed. The lexical transducer reads characters and writes classes: insult stems with weights learned
-from labelled documents, and fixed function words (target, negation, reported speech, will, threat verb). The clause
-transducer reads the classes of one clause and writes weighted readings: insult, insult at a target, negated insult,
-reported insult, threat at a target. A document's readings are summed; a logistic layer, fitted to the labels as well,
-turns the sums into a score. Words that stand alone outside a matched clause reading add nothing.
+Two transducers, both tables of weighted arcs, are composed. The lexical one reads a word's characters and its end and writes
+a class: insult stems with weights learned from labelled documents, and fixed function words (target, negation, reported
+speech, will, threat verb). The clause transducer reads the classes of one clause and writes weighted readings: insult, insult
+at a target, negated insult, reported insult, threat at a target. Whether a clause has a target may show after its insult, so
+it starts in two states, one for either guess, and only the path whose guess came true ends in a final state. A path's weight
+is the product of its arcs' weights. A document's readings are summed over its clauses; a logistic layer, fitted to the labels
+as well, turns the sums into a score. Only clauses in which an automaton of the stems and threat verbs matches are read, each
+whole and once: others have no readings.
 
 Learning uses at most MAX_TOXIC and MAX_CLEAN labelled documents, taken by a hash of their ids; of near copies among them
 one is used. Scoring reads whole texts and is alike at every size.
@@ -36,6 +39,8 @@ NEGATION = set("not never no none isn't aren't wasn't don't doesn't nicht nie ke
 REPORTED = set("said says say told claimed claims wrote writes quoted quotes reported reports called calls sagte sagt schrieb behauptet dit écrit affirme dijo dice escribió afirma".split())
 WILL = set("will shall gonna would should werde wird vais va voy".split())
 THREAT = set("kill hurt destroy attack burn stab shoot murder beat crush die töten verletzen tuer blesser matar golpear".split())
+#: Weight of a threat that is only reported.
+REPORTED_THREAT = 0.3
 READINGS = ["insult", "targeted", "negated", "reported", "threat"]
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -46,24 +51,122 @@ STEM_MIN, STEM_MAX, STEM_DOCS = 3, 10, 5
 LIFT = 25.0
 
 
+END, OTHER = "#", "*"
+
+
+class Transducer:
+    """arcs[state][symbol]: (next state, written symbol or None, weight), several for a symbol where it isn't deterministic;
+    the symbol OTHER stands for all that have no arc of their own. A state without an arc for a symbol ends the path."""
+
+    def __init__(self, arcs: dict, start: list, final: set):
+        self.arcs, self.start, self.final = arcs, start, final
+
+    def step(self, state, symbol) -> list[tuple]:
+        out = self.arcs.get(state, {})
+        return out[symbol] if symbol in out else out.get(OTHER, [])
+
+    def transduce(self, symbols, weight: float = 1.0) -> list[tuple[list[tuple], float]]:
+        """(written symbols with the path's weight as of then, weight) of each path from a start to a final state."""
+        paths = [(state, [], weight) for state in self.start]
+        for symbol in symbols:
+            paths = [(to, said + [(mark, w * v)] if mark is not None else said, w * v) for state, said, w in paths for to, mark, v in self.step(state, symbol)]
+        return [(said, w) for state, said, w in paths if state in self.final]
+
+
+class Composition:
+    """Two transducers in a row: what the first writes the second reads. States are pairs; arcs are made when first needed.
+
+    The first one reads words of symbols that end in END and comes back to its start there; so a pair's arcs over a whole word
+    are kept as one, and weights of a word don't multiply those of the next.
+    """
+
+    def __init__(self, first: Transducer, second: Transducer, remembered: int = 1 << 16):
+        self.first, self.second, self.remembered = first, second, remembered
+        self.words: dict[str, list[tuple]] = {}
+        self.arcs: dict[tuple, list[tuple]] = {}
+
+    def written(self, word: str) -> list[tuple]:
+        """What the first transducer writes of a word: (symbol, weight)."""
+        if word not in self.words:
+            if len(self.words) >= self.remembered:
+                self.words.clear()
+            self.words[word] = [mark for said, _ in self.first.transduce([*word, END]) for mark in said]
+        return self.words[word]
+
+    def step(self, state, symbol) -> list[tuple]:
+        if (state, symbol) not in self.arcs:
+            self.arcs[state, symbol] = self.second.step(state, symbol)
+        return self.arcs[state, symbol]
+
+    def readings(self, words) -> dict[str, float]:
+        """Sums of the weights of each reading over the accepted paths of a clause."""
+        return self.read(mark for word in words for mark in self.written(word))
+
+    def read(self, classes) -> dict[str, float]:
+        paths = [(state, {}) for state in self.second.start]
+        for symbol, weight in classes:
+            after = []
+            for state, sums in paths:
+                for to, reading, v in self.step(state, symbol):
+                    after.append((to, sums if reading is None else sums | {reading: sums.get(reading, 0.0) + weight * v}))
+            paths = after
+        out: dict[str, float] = {}
+        for state, sums in paths:
+            if state in self.second.final:
+                for reading, value in sums.items():
+                    out[reading] = out.get(reading, 0.0) + value
+        return out
+
+
+def lexicon(stems: dict[str, float]) -> Transducer:
+    """The lexical transducer: a trie of function words and stems. A word that goes on behind a stem has the greatest weight
+    among its stems; a stem that ends in "$" is a whole word; a function word is that and no insult."""
+    kinds = {w: kind for kind, words in (("threat", THREAT), ("will", WILL), ("reported", REPORTED), ("negation", NEGATION), ("target", TARGET)) for w in words}
+    arcs: dict = {"": {}}
+    for entry in [*kinds, *(s.rstrip("$") for s in stems)]:
+        for n in range(len(entry)):
+            arcs.setdefault(entry[:n], {})[entry[n]] = [(entry[: n + 1], None, 1.0)]
+            arcs.setdefault(entry[: n + 1], {})
+    said = lambda weight: [("", "insult", weight)] if weight else [("", None, 1.0)]
+    best = {node: max((stems.get(node[:n], 0.0) for n in range(STEM_MIN, len(node) + 1)), default=0.0) for node in arcs}
+    for node in list(arcs):
+        weight = best[node]
+        # off the trie only the greatest weight so far matters
+        rest = ("rest", weight)
+        arcs[node][OTHER] = [(rest, None, 1.0)]
+        arcs.setdefault(rest, {OTHER: [(rest, None, 1.0)], END: said(weight)})
+        arcs[node][END] = [("", kinds[node], 1.0)] if node in kinds else said(max(weight, stems.get(node + "$", 0.0)))
+    return Transducer(arcs, [""], {""})
+
+
+def clauses() -> Transducer:
+    """The clause transducer. A state: whether a target is guessed, and whether one, a negation, reported speech and `will`
+    have been read; a negation or reported speech holds for what follows in the clause."""
+    arcs: dict = {}
+    flags = [(t, n, r, w) for t in (False, True) for n in (False, True) for r in (False, True) for w in (False, True)]
+    for guess in (False, True):
+        for target, negated, reported, will in flags:
+            here = {
+                "negation": [((guess, target, True, reported, will), None, 1.0)],
+                "reported": [((guess, target, negated, True, will), None, 1.0)],
+                "will": [((guess, target, negated, reported, True), None, 1.0)],
+            }
+            same = (guess, target, negated, reported, will)
+            here["insult"] = [(same, "reported" if reported else "negated" if negated else "targeted" if guess else "insult", 1.0)]
+            threat = guess and will and not negated
+            here["threat"] = [(same, "threat" if threat else None, REPORTED_THREAT if threat and reported else 1.0)]
+            if guess:
+                here["target"] = [((guess, True, negated, reported, will), None, 1.0)]
+            arcs[same] = here
+    return Transducer(arcs, [(g, False, False, False, False) for g in (False, True)], {s for s in arcs if s[0] == s[1]})
+
+
+CLAUSES = clauses()
+
+
 def clause_readings(classes: list[tuple[str, float]]) -> dict[str, float]:
-    """The clause transducer. States: negated and reported hold for the rest of the clause, will until a threat verb."""
-    out: dict[str, float] = {}
-    negated = reported = will = False
-    target = any(c == "target" for c, _ in classes)
-    for kind, weight in classes:
-        if kind == "negation":
-            negated = True
-        elif kind == "reported":
-            reported = True
-        elif kind == "will":
-            will = True
-        elif kind == "insult":
-            reading = "reported" if reported else "negated" if negated else "targeted" if target else "insult"
-            out[reading] = out.get(reading, 0.0) + weight
-        elif kind == "threat" and will and target and not negated:
-            out["threat"] = out.get("threat", 0.0) + (0.3 if reported else 1.0)
-    return out
+    """Readings of a clause given as classes with weights."""
+    return Composition(Transducer({}, [], set()), CLAUSES).read(classes)
 
 
 class Grammar:
@@ -78,15 +181,7 @@ class Grammar:
             if word not in stems:
                 self.machine.add_word(word, word)
         self.machine.make_automaton()
-
-    def lexical(self, word: str) -> tuple[str, float] | None:
-        for kind, words in (("target", TARGET), ("negation", NEGATION), ("reported", REPORTED), ("will", WILL), ("threat", THREAT)):
-            if word in words:
-                return kind, 1.0
-        weight = self.stems.get(word + "$", 0.0)
-        for n in range(STEM_MIN, min(len(word), STEM_MAX) + 1):
-            weight = max(weight, self.stems.get(word[:n], 0.0))
-        return ("insult", weight) if weight else None
+        self.composed = Composition(lexicon(stems), CLAUSES)
 
     def readings(self, text: str) -> np.ndarray:
         """Sums of the readings over all clauses of a text."""
@@ -101,8 +196,7 @@ class Grammar:
             # the clause around a match, from its start to its end, is read once
             at = max(done, max(text.rfind(mark, done, begin) for mark in CLAUSE_ENDS) + 1)
             done = _CLAUSE.match(text, at).end()
-            classes = [c for w in _WORD.finditer(text, at, done) if (c := self.lexical(w.group()))]
-            for reading, value in clause_readings(classes).items():
+            for reading, value in self.composed.readings(w.group() for w in _WORD.finditer(text, at, done)).items():
                 sums[READINGS.index(reading)] += value
         return sums
 
@@ -194,16 +288,17 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], train: Column) -> list[tuple[str, int]]:
     """Texts and labels of at most bounds[l] training documents with label l, chosen by a hash of the id.
 
-    Only the chosen ids, bounded by the parameter, are broadcast; texts are not shuffled.
+    Only the chosen ids, bounded by the parameter, are broadcast. Of rows that share an id the least text counts, so that the
+    driver gets no more rows than the bounds say.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train).groupBy("doc_id").agg(F.max(label).alias("_y"))
     chosen = None
     for value, most in bounds.items():
         part = usable.where(F.col("_y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionAll(part)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y")
-    rows = found.toPandas().sort_values(["doc_id", "text"])
-    return list(zip(rows["text"].fillna(""), rows["_y"].astype(int)))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y"))
+    rows = found.toArrow().sort_by([("doc_id", "ascending")])
+    return list(zip(rows["text"].fill_null("").to_pylist(), rows["_y"].to_pylist()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Grammar:
@@ -216,9 +311,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Gram
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """docs with _score and _readings. Null and empty texts get the score of a text without readings; every row is scored
-    for itself, so repeated rows get equal scores; other columns pass through."""
+    """docs with _score. Null and empty texts get the score of a text without readings; every row is scored for itself, so
+    repeated rows get equal scores; an older _score gives way, other columns pass through; no rows give no rows."""
     prepare(docs.sparkSession)
+    docs = docs.drop("_score")
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     schema = T.StructType([packed.schema["row"], T.StructField("_score", T.DoubleType(), False)])
     parts = (grammar.stems, grammar.weights.tolist(), grammar.bias)
