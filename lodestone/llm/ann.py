@@ -4,6 +4,7 @@ A bounded sample's neighbour graph is cut into balanced parts; a small classifie
 spread over the parts. The index assigns every row to the classifier's most probable part. A query goes to its several most
 probable parts, as many as found RECALL of the sample's neighbours, and is reranked there exactly.
 
+There are parts at every size, as many as the square root of the rows asks for, and the index is written once, by part number.
 Parts are dealt out in blocks of bounded size (candidates x queries), so a part that holds a third of all rows is many
 tasks; each block gives a query's nearest K, and the blocks' answers are merged by an aggregate.
 """
@@ -11,6 +12,7 @@ tasks; each block gives a query's nearest K, and the blocks' answers are merged
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +22,22 @@ from pyspark.sql import functions as F
 from lodestone.llm.session import cut, prepare
 
 K = 10
-#: Rows of the sample that the index is fitted on, and neighbours in its graph.
-SAMPLE, DEGREE = 4096, 10
-#: A part for so many rows, and the most parts (the sample must show each of them).
-PART_ROWS, MAX_PARTS = 1500, 64
+#: Rows of the sample that the index is fitted on: for each part, at least and at most; and neighbours in its graph.
+PART_SAMPLE, SAMPLE, MAX_SAMPLE, DEGREE = 32, 4096, 32768, 10
 #: Share of the sample's neighbours that the probed parts must hold.
 RECALL = 0.95
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Queries whose distances to a block are in memory at a time.
+SLICE = 256
 HIDDEN, EPOCHS = 128, 250
 
 
+def part_count(rows: int) -> int:
+    """Parts of so many rows: they grow with the square root of the rows, as do rows in a part, up to what the sample can show.
+    So a table of 64 rows has 2 parts and one of a hundred million 1,024."""
+    return max(1, min(MAX_SAMPLE // PART_SAMPLE, isqrt(rows) // 4, rows // PART_SAMPLE))
+
+
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
     """Each row's nearest rows, by blocks."""
     degree = min(degree, len(x) - 1)
@@ -160,7 +168,7 @@ def search(table: DataFrame, is_query, k: int = K) -> DataFrame:
     """For each row that `is_query` holds for: rank, vec_id and score (Euclidean distance) of the nearest others found.
 
     Rows that share an id count as one candidate at its smallest distance, never as a neighbour of themselves; distances tie
-    by vec_id. An empty table gives an empty result; fewer than k candidates are all returned.
+    by vec_id. An empty table gives an empty result; fewer than k candidates are all returned; other columns are not read.
     """
     spark = prepare(table.sparkSession)
     # repeated rows would take the places of others in the sample, in blocks and in sizes
@@ -169,9 +177,9 @@ def search(table: DataFrame, is_query, k: int = K) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).toPandas()
-    parts = int(max(1, min(MAX_PARTS, total // PART_ROWS, len(sample) // 32)))
-    router = fit(np.stack(sample["embedding"].to_numpy()).astype(np.float64), parts)
+    parts = part_count(total)
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(max(SAMPLE, parts * PART_SAMPLE)).toArrow()
+    router = fit(_matrix(sample.column("embedding").combine_chunks()), parts)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +187,7 @@ def search(table: DataFrame, is_query, k: int = K) -> DataFrame:
             part = router.scores(x).argmax(axis=1).astype(np.int32) if len(x) else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], ["vec_id", "embedding", "part"])
 
-    indexed = vectors.mapInArrow(assign, "vec_id long, embedding array<double>, part int")
+    indexed = cut(vectors.mapInArrow(assign, "vec_id long, embedding array<double>, part int"), "index")
     # rows of a part, and ids of which all rows are in it: those of several parts are not counted on
     sizes, own = np.zeros((2, parts), np.int64)
     spread = indexed.groupBy("vec_id", "part").count().withColumn("parts", F.count(F.lit(1)).over(Window.partitionBy("vec_id")))
@@ -197,7 +205,7 @@ def search(table: DataFrame, is_query, k: int = K) -> DataFrame:
             picked = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([picked.column("vec_id"), picked.column("embedding"), pa.array(order[rows, cols].astype(np.int32))], ["query_id", "embedding", "part"])
 
-    queries = vectors.where(is_query)
+    queries = indexed.where(is_query).select("vec_id", "embedding")
     routed = queries.mapInArrow(route, "query_id long, embedding array<double>, part int")
     asked = np.zeros(parts, np.int64)
     for r in routed.groupBy("part").count().collect():
@@ -221,13 +229,15 @@ def search(table: DataFrame, is_query, k: int = K) -> DataFrame:
             return none
         q, x = _matrix(queries.column("embedding").combine_chunks()), _matrix(rows.column("embedding").combine_chunks())
         q_ids, ids = queries.column("query_id").to_numpy(), rows.column("vec_id").to_numpy()
-        near = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * q @ x.T
-        near[q_ids[:, None] == ids[None]] = np.inf
+        norms = (x**2).sum(axis=1)
         by_id = np.argsort(ids, kind="stable")
         heads = np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0])
         out = []
         for i in range(len(q)):
-            row = near[i]
+            if i % SLICE == 0:
+                near = (q[i : i + SLICE] ** 2).sum(axis=1)[:, None] + norms[None] - 2 * q[i : i + SLICE] @ x.T
+                near[q_ids[i : i + SLICE, None] == ids[None]] = np.inf
+            row = near[i % SLICE]
             if len(heads) > k:
                 # all that may be of the k nearest ids, whatever was rounded; distances are then taken anew
                 nearest = np.minimum.reduceat(row[by_id], heads) if len(heads) < len(row) else row
