@@ -3,25 +3,27 @@
 Pass one scatters the records by a seeded hash into buckets that fit a task's memory. Pass two shuffles each bucket by
 Fisher-Yates, deals it out and writes it. Buckets are as many as the bytes ask for, so that a bucket's size doesn't depend
 on the corpus; the hash also takes in a record's place in the scan, so that a third of all rows being equal still spreads.
+Where each bucket's rows begin in the whole order is a running sum over the buckets' counts, kept as a table; the driver holds
+one number, the corpus's bytes.
 
 Law `rows`: the shuffled buckets, one after the other, are dealt to the shards in turn; shard sizes differ by one at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.session import cut, prepare
 
 SHARDS = 40
 SEED = 20240917
-#: Bytes of text (uncompressed) that one bucket holds on average.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text (uncompressed) that one bucket holds on average: a task holds one bucket, and a copy of it, at a time.
+BUCKET_BYTES = 64 << 20
+#: Buckets whose counts are summed up together.
+STRIDE = 1024
 ROW_OVERHEAD = 16
 
 
@@ -35,23 +37,14 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(order, dtype=np.int64)
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole buckets of a stream that is sorted by bucket."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        ids = batch.column("bucket").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if lo == hi:
-                continue
-            if held and ids[lo] != now:
-                yield pa.Table.from_batches(held)
-                held = []
-            now = ids[lo]
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
+def starts(counts: DataFrame) -> DataFrame:
+    """(bucket, start) of (bucket, n): how many rows the buckets before hold. Sums run within strides of buckets, then over the
+    strides, which are 1 / STRIDE of the buckets."""
+    placed = counts.withColumn("stride", F.floor(F.col("bucket") / STRIDE))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    strides = placed.groupBy("stride").agg(F.sum("n").alias("n")).withColumn("base", before(Window.orderBy("stride"))).select("stride", "base")
+    inner = placed.withColumn("inner", before(Window.partitionBy("stride").orderBy("bucket")))
+    return inner.join(strides, "stride").select("bucket", (F.col("base") + F.col("inner")).alias("start"))
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -59,10 +52,10 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
 
     Null texts have size 16 and a null text_crc32 is never made: null counts as empty. Rows with null or repeated ids and
     equal rows are rows of their own. No rows: an empty result. The added columns are _shard, _slot, _bucket, _size and
-    _crc32, so that columns named like them without the underscore pass through. Order is fixed by seed, rows and the
-    scan's splits.
+    _crc32; older ones of these names give way, all others pass through. Order is fixed by seed, rows and the scan's splits.
     """
     prepare(docs.sparkSession)
+    docs = docs.drop("_shard", "_slot", "_bucket", "_size", "_crc32")
     sized = docs.select(
         F.struct(*docs.columns).alias("row"),
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.lit(ROW_OVERHEAD).cast("long")).alias("_size"),
@@ -73,36 +66,19 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     total = scattered.agg(F.sum("_size")).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_bytes))
     bucketed = scattered.withColumn("bucket", F.pmod("key", F.lit(n_buckets)))
-    counts = {r["bucket"]: r["count"] for r in bucketed.groupBy("bucket").count().collect()}  # one number a bucket
-    starts, at = {}, 0
-    for b in sorted(counts):
-        starts[b] = at
-        at += counts[b]
-    starts_of = docs.sparkSession.sparkContext.broadcast(starts)
-    schema = bucketed.select("row", "_size", "_crc32", "bucket").schema
-    out_schema = bucketed.select("row", "_size", "_crc32", "bucket", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).schema
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in _by_bucket(batches):
-            b = int(bucket.column("bucket")[0].as_py())
-            order = fisher_yates(bucket.num_rows, np.random.Generator(np.random.PCG64([seed, b])))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            place += starts_of.value[b]
-            # rows leave in their shuffled order, a slice at a time
-            for lo in range(0, len(order), 2048):
-                rows = order[lo : lo + 2048]
-                p = place[rows]
-                part = bucket.take(pa.array(rows)).select(["row", "_size", "_crc32", "bucket"])
-                part = part.append_column("shard", pa.array((p % shards).astype(np.int32))).append_column("slot", pa.array(p // shards))
-                yield from part.combine_chunks().to_batches()
-
-    per_task = (
-        bucketed.repartition(n_buckets, "bucket")
-        .sortWithinPartitions("bucket", "key")
-        .select(*schema.names)
-    )
-    dealt = per_task.mapInArrow(deal, out_schema)
+    placed = bucketed.join(starts(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))), "bucket")
+    kinds = placed.select("row", "_size", "_crc32", "bucket", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).schema
+
+    def deal(bucket: pa.Table) -> pa.Table:
+        b, start = bucket.column("bucket")[0].as_py(), bucket.column("start")[0].as_py()
+        # rows come in any order; their keys, which were written, put them into one
+        order = bucket.column("key").to_numpy().argsort(kind="stable")
+        order = order[fisher_yates(len(order), np.random.Generator(np.random.PCG64([seed, b])))]
+        place = start + np.arange(len(order))
+        out = bucket.select(["row", "_size", "_crc32", "bucket"]).take(pa.array(order))
+        return out.append_column("shard", pa.array((place % shards).astype(np.int32))).append_column("slot", pa.array(place // shards))
+
+    dealt = placed.groupBy("bucket").applyInArrow(deal, kinds)
     return dealt.select("row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), F.col("bucket").alias("_bucket"), "_size", "_crc32")
 
 
