@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
-from lodestone.llm.session import cut, doc_id_of, doc_key, prepare
+from lodestone.llm.session import UNNAMED, cut, doc_key, prepare, spread_join, text_key
 from lodestone.llm.textkit import U, WHITESPACE, Words, chunks, mix, signed
 
 SHINGLE, THRESHOLD = 5, 85
@@ -185,20 +185,22 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per row of docs: did, n_shingles, component (both keys as in doc_key), kept. Linked are sets of a Jaccard
+    """One row per row of docs: did, n_shingles, component (both keys as in text_key), kept. Linked are sets of a Jaccard
     similarity of `threshold` hundredths or more.
 
     Null and empty texts have no shingles and are linked with nothing. Rows that share an id are one document for linking;
-    rows without an id share the key that sorts last. Equal rows get equal results; an empty table gives an empty result.
+    rows without an id are one if they share a text, and come after all others. Equal rows get equal results; an empty table
+    gives an empty result.
     """
     prepare(docs.sparkSession)
-    texts = docs.select(doc_key().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(text_key(text).alias("did"), text.alias("text"))
     sets = cut(texts.mapInArrow(_sign(band_rows(threshold)), "did long, n long, h1 long, h2 long, bands array<long>, s1 long, s2 long, parity array<long>"), "sets")
     first = [F.first(c).alias(c) for c in ("n", "bands", "s1", "s2", "parity")]
     classes = cut(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("did").alias("rep"), *first), "classes")
     entries = classes.select(F.explode("bands").alias("bucket"), "rep")
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).where("size > 1")
-    members = cut(entries.join(buckets, "bucket"), "members")
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).where("size > 1").withColumn("n", F.col("size"))
+    members = cut(spread_join(entries, buckets, ["bucket"], ["size", "hub"], F.col("rep")), "members")
     about = classes.select("rep", "n", "s1", "s2", "parity")
 
     def sided(side: str) -> DataFrame:
@@ -262,7 +264,8 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFra
 def op10_minmax_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = near_duplicates(docs, THRESHOLD)
-    return out.select(doc_id_of().alias("doc_id"), "n_shingles", doc_id_of("component").alias("component_id"), "kept")
+    named = lambda key: F.when(F.col(key) < F.lit(UNNAMED), F.col(key))
+    return out.select(named("did").alias("doc_id"), "n_shingles", named("component").alias("component_id"), "kept")
 
 
 def op10_sql() -> str:

@@ -17,7 +17,7 @@ FRUGAL = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_TRIM_THRESHOLD_": "3355
 
 #: Keys that spread_join() broadcasts.
 FREQUENT = 1024
-#: Keys of rows without an id begin here.
+#: Keys of rows without an id begin here; real ids are smaller.
 UNNAMED = 1 << 62
 
 #: Stands for a null id: after all others.
@@ -64,11 +64,6 @@ def doc_key(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
 
 
-def doc_id_of(key: str = "did"):
-    """The id behind doc_key()."""
-    return F.when(F.col(key) != F.lit(LAST_ID), F.col(key))
-
-
 def text_key(text: Column, doc_id: str = "doc_id") -> Column:
     """The id as a long; without an id one of UNNAMED and more made from the text, so that no key gathers all rows without id
     and equal rows have equal keys."""
