@@ -80,7 +80,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 same.setdefault((key[i], said(lo[i], p), said(p + RUN, hi[i])), []).append((dids[i], places[i], rids[i]))
             rows = []
             for (run, before, after), where in same.items():
-                where.sort()
+                where = sorted(set(where))  # equal rows are one document
                 rows.append((run, *where[0], before, after, [x for place in where[1:] for x in place]))
             yield _table(rows, {"key": pa.int64(), **PLACE, **AROUND, "more": pa.list_(pa.int64())})
 
