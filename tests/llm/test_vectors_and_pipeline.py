@@ -21,7 +21,6 @@ def nearest(rows, q, k=10):
 
 
 def test_recall_and_scores(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART_ROWS", 120)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)
     rows, bad = vectors()
@@ -69,7 +68,8 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "substring_dedup", "decontamination", "byte_bpe"]
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(out) == set(range(40)) | {103, 104, 105, 106}
+    # 103 and 104 share 56 of 68 shingles, 0.82: near duplicates from 0.8 on, of which the first stays
+    assert set(out) == set(range(40)) | {103, 105, 106}
     assert all(r.decodes for r in out.values())
     stage = dict(corpus_pipeline.STAGES)["substring_dedup"]
     cut = {r.doc_id: r for r in stage(spark, docs, str(tmp_path)).collect()}
