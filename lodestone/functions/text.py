@@ -97,7 +97,8 @@ def display_match(words: list[str]) -> str:
 
 def highlight(text: Column, words: list[str]) -> Column:
     """Markup with matching words in <mark>. Words are fenced by control characters first, so that matching sees whole words."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), f"({DISPLAY_WORD})", "\x01$1\x02")
+    text = F.translate(F.coalesce(text, F.lit("")), "\x01\x02\x03\x04", "")  # the fences are ours alone
+    text = F.regexp_replace(text, f"({DISPLAY_WORD})", "\x01$1\x02")
     text = F.regexp_replace(text, f"(?i)\x01({display_match(words)})\x02", "\x03$1\x04")
     text = escape_html(F.translate(text, "\x01\x02", ""))
     return F.replace(F.replace(text, F.lit("\x03"), F.lit("<mark>")), F.lit("\x04"), F.lit("</mark>"))
@@ -213,6 +214,11 @@ def cited_papers(doi: Column, citations: Column) -> Column:
     return F.when((F.size(ids) >= 2) & (F.size(ids) == F.size(texts)), pairs)
 
 
+def citation_dump(summary: Column, papers: Column) -> Column:
+    """Whether a summary is but the cited papers run together: it holds the identifier of one of them."""
+    return F.coalesce(F.exists(papers, lambda p: F.coalesce(summary, F.lit("")).contains(p["doi"])), F.lit(False))
+
+
 def unwrap(url: Column, host: str) -> Column:
     """The decoded `url` parameter of a mail gateway's link; other links unchanged."""
     inner = F.try_url_decode(F.regexp_extract(url, r"[?&]url=([^&#]+)", 1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Shapes of dates, addresses, identifiers, sources, secrets; markers of broken text and of wrapped links.
@@ -35,6 +35,36 @@ def schema_violations(items: DataFrame, fields: dict[str, Column], most: int = 2
     return as_report(shown, F.col("id"), F.col("field")).unionAll(as_report(rest, F.lit(None), F.concat(F.lit("and more: "), F.col("n").cast("string"))))
 
 
+# States of an item's address, and of its links.
+URL_STATES, LINK_STATES = ["live", "alternate", "archived", "unavailable"], ["live", "alternate", "archived"]
+
+
+def schema_fields(columns: list[str], id_shape: str, content_types: list[str], topics: list[str]) -> dict[str, Column]:
+    """What the schema asks of each field that the items have, for schema_violations(): required ones are there, ids, titles and
+    closed vocabularies fit, lists hold no nulls, numbers aren't negative. Types are the columns' own."""
+    given = lambda c: F.col(c).isNotNull()
+    none_or = lambda c, test: F.col(c).isNull() | test
+    whole = lambda c: F.forall(c, lambda x: x.isNotNull())
+    rules = {
+        "id": given("id") & F.col("id").cast("string").rlike(id_shape), "title": given("title") & (F.length("title") >= 1), "summary": given("summary"),
+        "urlStatus": none_or("urlStatus", F.col("urlStatus").isin(URL_STATES)), "contentType": none_or("contentType", F.col("contentType").isin(content_types)),
+        "topics": given("topics") & F.forall("topics", lambda t: F.coalesce(t.isin(topics), F.lit(False))),
+        "locations": given("locations") & whole("locations"), "croppingSystems": given("croppingSystems") & whole("croppingSystems"),
+        "people": none_or("people", whole("people")), "pageKeywords": none_or("pageKeywords", whole("pageKeywords")),
+        "links": none_or("links", F.forall("links", lambda x: x["url"].isNotNull() & x["anchorText"].isNotNull() & F.coalesce(x["urlStatus"].isin(LINK_STATES), F.lit(False)))),
+        "citations": none_or("citations", F.coalesce(F.col("citations").cast("string").try_cast("double") >= 0, F.lit(False))),
+        "url": none_or("url", F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:\S+$")), "publishDate": none_or("publishDate", F.col("publishDate").rlike(r"^\d{4}-\d{2}-\d{2}$")),
+    }
+    return {c: rule for c, rule in rules.items() if c in columns}
+
+
+def item_strings(items: DataFrame) -> DataFrame:
+    """(id, value) of all strings in an item, at whatever depth, keys left out."""
+    quoted = F.regexp_extract_all(F.to_json(F.struct(*items.columns)), F.lit(r'("(?:[^"\\]|\\.)*"(?:\s*:)?)'))
+    strings = F.transform(F.filter(quoted, lambda q: ~q.endswith(":")), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+    return items.select("id", F.explode(F.array_distinct(strings)).alias("value"))
+
+
 def declared_count(items: DataFrame, declared: int) -> DataFrame:
     """V2."""
     n = items.agg(F.count(F.lit(1)).alias("n"))
@@ -81,8 +111,8 @@ def near_duplicate_values(values: DataFrame) -> DataFrame:
 
 
 def secrets(items: DataFrame, *columns: str, shapes: list[str] = SECRET_SHAPES) -> DataFrame:
-    """V9: items whose text has a secret's shape; the first shape that fits."""
-    text = F.concat_ws("\n", *columns)
+    """V9: items whose text, that of the whole item if no columns are named, has a secret's shape; the first shape that fits."""
+    text = F.concat_ws("\n", *columns) if columns else F.to_json(F.struct(*items.columns))
     first = F.coalesce(*[F.when(text.rlike(s), F.lit(i)) for i, s in enumerate(shapes)])
     return found(items, "V9", "error", first.isNotNull(), F.concat(F.lit("secret shape "), first.cast("string")))
 
@@ -163,6 +193,6 @@ def shared_identifiers(items: DataFrame) -> DataFrame:
 
 
 def duplicate_index(items: DataFrame) -> DataFrame:
-    """A7: (id, ord, first) of repeated ids."""
-    w = Window.partitionBy("id")
-    return items.withColumn("first", F.min("ord").over(w)).where("ord > first").select("id", "ord", "first")
+    """A7: (id, ord, first) of repeated ids. The first places are a partial aggregate, joined to the rows of repeated ids."""
+    first = items.groupBy(F.col("id").alias("_id")).agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return items.join(first, F.col("id").eqNullSafe(F.col("_id"))).where("ord > first").select("id", "ord", "first")

@@ -94,11 +94,33 @@ def keyword_scores(index: DataFrame, terms: list[str]) -> DataFrame:
     return scored.withColumn("score", sum((F.col("_tiers")[distinct.index(t)] for t in terms[1:]), F.col("_tiers")[distinct.index(terms[0])])).drop("_tiers")
 
 
-def ranked(df: DataFrame, order: list, limit: int | None = None, name: str = "rank") -> DataFrame:
-    """Rank from 1. With a limit the best are found in each partition first, and only they are ranked together."""
-    if limit is not None:
-        df = df.orderBy(*order).limit(limit)
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+#: Stored places that are ranked together.
+BLOCK = 1 << 16
+
+
+def place_block(column: str = "ord") -> Column:
+    """Stretches of the stored order: as many rows as a task ranks at a time, however many there are."""
+    return F.coalesce(F.floor(F.col(column) / BLOCK), F.lit(-1 << 62))
+
+
+def ranked(df: DataFrame, order: list, limit: int | None = None, name: str = "rank", blocks: list[tuple[Column, bool]] | None = None) -> DataFrame:
+    """Rank from 1. With a limit the best are found in each partition first, and only they are ranked together.
+
+    Without one, `blocks` are columns (and whether they ascend) that order rows as `order` does, but more coarsely: each block
+    is ranked for itself, and what the blocks before it hold is added, a running sum over one row a block. No task gets all rows.
+    """
+    if limit is not None or not blocks:
+        if limit is not None:
+            df = df.orderBy(*order).limit(limit)
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    columns = df.columns
+    keys = [f"_b{i}" for i in range(len(blocks))]
+    inner = df.withColumns({k: c for k, (c, _) in zip(keys, blocks)}).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    # the sizes read the exchange that the rows were ranked in: all its columns are asked for
+    sizes = inner.groupBy(*keys).agg(F.max("_n").cast("long").alias("_size"), F.max(F.xxhash64(*columns)).alias("_all")).where("_all is not null")
+    by = Window.orderBy(*[F.col(k) if up else F.desc(k) for k, (_, up) in zip(keys, blocks)])
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*keys, "_before")
+    return inner.join(before, keys).select(*columns, (F.col("_before") + F.col("_n")).alias(name))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -112,6 +134,11 @@ def semantic_scores(items: DataFrame, vectors: DataFrame, query: list[float]) ->
     return items.join(vectors, "id").withColumn("similarity", cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in query])))
 
 
+def similarity_blocks() -> list[tuple[Column, bool]]:
+    """Narrow bands of similarity, best first, for ranked()."""
+    return [(F.floor(F.col("similarity") * 4096), False)]
+
+
 def cut_off(scored: DataFrame) -> DataFrame:
     """At most MOST best, each at least RELATIVE of the best and FLOOR. Cut after all filters, as the best depends on them."""
     best = ranked(scored, [F.desc("similarity"), "ord"], MOST, "semantic_rank")
@@ -124,7 +151,8 @@ def fuse(keyword: DataFrame, semantic: DataFrame, limit: int | None = None) -> D
     both = keyword.select("id", "keyword_rank", "score").join(semantic.select("id", "semantic_rank", "similarity"), "id", "full_outer")
     share = lambda c: F.coalesce(F.lit(1.0) / (F.lit(RRF_K) + F.col(c)), F.lit(0.0))
     both = both.withColumn("rrf", share("keyword_rank") + share("semantic_rank")).withColumn("semantic_only", F.col("keyword_rank").isNull())
-    return ranked(both, [F.desc("rrf"), F.asc_nulls_last("keyword_rank"), F.asc_nulls_last("semantic_rank")], limit)
+    # 1 / rrf grows with the rank
+    return ranked(both, [F.desc("rrf"), F.asc_nulls_last("keyword_rank"), F.asc_nulls_last("semantic_rank")], limit, blocks=[(F.floor(1 / F.col("rrf") / BLOCK), True)])
 
 
 def search(index: DataFrame, request: SearchRequest, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
@@ -137,10 +165,10 @@ def search(index: DataFrame, request: SearchRequest, vectors: DataFrame | None =
         base = base.where(in_dates(request.date_from, request.date_to))
     terms = query_terms(request.q)
     if not terms:
-        return ranked(base.select("id", "ord"), ["ord"], request.limit).select("id", "rank")
+        return ranked(base.select("id", "ord"), ["ord"], request.limit, blocks=[(place_block(), True)]).select("id", "rank")
     mode = request.mode if vectors is not None and query_vector else "keyword"
     if mode != "semantic":
-        keyword = ranked(keyword_scores(base, terms).select("id", "ord", "score"), [F.desc("score"), "ord"], request.limit, "keyword_rank")
+        keyword = ranked(keyword_scores(base, terms).select("id", "ord", "score"), [F.desc("score"), "ord"], request.limit, "keyword_rank", [(F.col("score"), False), (place_block(), True)])
         if mode == "keyword":
             return keyword.select("id", F.col("keyword_rank").alias("rank"), "score")
     semantic = cut_off(semantic_scores(base.select("id", "ord"), vectors, query_vector).select("id", "ord", "similarity"))
@@ -161,8 +189,8 @@ def facet_counts(items: DataFrame, facets: dict[str, bool]) -> DataFrame:
 
 
 def facet_options(counts: DataFrame) -> DataFrame:
-    """Display order: frequent first, then by name in locale order."""
-    return counts.orderBy("facet", F.desc("n"), F.collate("value", "UNICODE"))
+    """place: display order within a facet, frequent first, then by name in locale order. A facet's values are few beside the rows."""
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), F.collate("value", "UNICODE"))))
 
 
 def facet_search(counts: DataFrame, part: str) -> DataFrame:

@@ -135,7 +135,7 @@ def s_cosine(spark, sf_dir):
 def s_rank(spark, sf_dir):
     items = V.documents(spark, sf_dir).where(S.visible(False)).select("id", "ord")
     scored = S.semantic_scores(items, V.vectors(spark, sf_dir), query_vector(spark, sf_dir))
-    return S.ranked(scored, [F.desc("similarity"), "ord"]).select("id", "rank", F.round("similarity", 9).alias("similarity"))
+    return S.ranked(scored, [F.desc("similarity"), "ord"], blocks=S.similarity_blocks()).select("id", "rank", F.round("similarity", 9).alias("similarity"))
 
 
 SEMANTIC = f"""(SELECT id, semantic_rank, similarity FROM (SELECT s.id, similarity, max(similarity) OVER () AS top, row_number() OVER (ORDER BY similarity DESC, s.id) AS semantic_rank
@@ -199,7 +199,7 @@ def g_counters(spark, sf_dir):
 
 
 # -- terms -----------------------------------------------------------------------------------------------------------
-_DROP = "[" + ", ".join(f"'{w}'" for w in sorted(mining.STOP_WORDS | mining.NOISE)) + "]"
+_DROP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(mining.STOP_WORDS | mining.NOISE)) + "]"
 MINED = f"(SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all(text, '{X.WORD.replace(chr(39), chr(39) * 2)}'), lambda w: lower(w)), lambda w: length(w) >= 4 AND NOT list_contains({_DROP}, w) AND w <> lower(source)) AS w FROM documents)"
 
 
@@ -660,7 +660,8 @@ def s_item_text(spark, sf_dir):
 @query("SELECT d.doc_id AS id, row_number() OVER (ORDER BY coalesce(l.quality, 0), d.doc_id) AS rank FROM documents d LEFT JOIN labels l USING (doc_id)")
 def o_stored_order(spark, sf_dir):
     numbered = V.table(spark, sf_dir, "documents").select("doc_id").join(V.table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), "quality")
-    return S.ranked(numbered, snapshots.stored_order(F.col("quality"), F.col("id"))).select("id", F.col("rank").cast("long").alias("rank"))
+    blocks = [(F.coalesce("quality", F.lit(0)), True), (S.place_block("id"), True)]
+    return S.ranked(numbered, snapshots.stored_order(F.col("quality"), F.col("id")), blocks=blocks).select("id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT 2::BIGINT AS changed, 1::BIGINT AS multi_link, 1::BIGINT AS primary_fixed")
@@ -669,3 +670,71 @@ def l_counters(spark, sf_dir):
     found = literal_rows(spark, "id int, pos int, href string, unwrapped string, anchorText string", [(1, 0, "a", "a", "A"), (1, 1, "b", "b", "B"), (2, 0, "w", "y", "Y")])
     resolved = links.resolved_links(found, literal_rows(spark, "url string, final string, status string", [("y", "x", "alternate")]))
     return links.rebuild_counters(items, links.rebuilt(items, resolved, literal_rows(spark, "id int, url string", [(9, "none")])), resolved)
+
+
+@query("SELECT doc_id AS id, lower(concat_ws(' ', split_part(text, '.', 1), coalesce(text, ''), source, lang)) AS blob FROM documents")
+def t_known(spark, sf_dir):
+    return mining.with_known(V.documents(spark, sf_dir)).select("id", "blob")
+
+
+@query("SELECT page_id AS id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages")
+def x_strip_tags(spark, sf_dir):
+    return V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), X.strip_tags(F.col("html")).alias("text"))
+
+
+@query("""SELECT facet, value, n, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS place FROM (SELECT 'contentType' AS facet, p_type AS value, count(*) AS n FROM part GROUP BY 2
+  UNION ALL SELECT 'topics', p_brand, count(*) FROM part GROUP BY 2)""")
+def a_facet_options(spark, sf_dir):
+    counts = S.facet_counts(V.parts(spark, sf_dir), {"contentType": False, "topics": True})
+    return S.facet_options(counts).select("facet", "value", "n", F.col("place").cast("long").alias("place"))
+
+
+@query(f"SELECT id, semantic_rank AS rank, round(1.0::DOUBLE / (60 + semantic_rank), 12) AS rrf FROM {SEMANTIC}")
+def r_no_keyword_hits(spark, sf_dir):
+    request = S.SearchRequest(q="wordthatstandsnowhere")
+    out = S.search(index(spark, sf_dir), request, V.vectors(spark, sf_dir), query_vector(spark, sf_dir))
+    return out.select("id", "rank", F.round("rrf", 12).alias("rrf"))
+
+
+@query("""SELECT doc_id::VARCHAR AS id, split_part(text, '.', 1) AS title, nullif(text, '') AS summary, CASE WHEN doc_id % 3 = 0 THEN 'https://a.org/' || doc_id END AS url, CASE WHEN doc_id % 3 = 0 THEN 'live' ELSE 'unavailable' END AS urlStatus,
+  lang AS contentType, source AS topics, n_chars::INT AS newsletterNo, '2026-01-02T03:04:05Z' AS updatedAt FROM documents WHERE doc_id % 7 <> 0""")
+def m_export(spark, sf_dir):
+    """Pages made of documents: two pieces of title, a choice, a list, a number, an address; every seventh has no id."""
+    from lodestone.sources.export import NAMES, public_items
+
+    piece = lambda c: F.struct(c.alias("plain_text"))
+    title = F.substring_index("text", ".", 1)
+    prop = lambda kind, value: F.to_json(F.struct(F.lit(kind).alias("type"), value.alias(kind)))
+    props = {
+        "id": prop("rich_text", F.array(piece(F.when(F.col("doc_id") % 7 != 0, F.col("doc_id").cast("string"))))), "title": prop("title", F.array(piece(F.substring(title, 1, 2)), piece(F.substring(title, 3, 1 << 30)))),
+        "summary": prop("rich_text", F.array(piece(F.col("text")))), "itemUrl": prop("url", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://a.org/"), F.col("doc_id").cast("string")))),
+        "contentType": prop("select", F.struct(F.col("lang").alias("name"))), "topics": prop("multi_select", F.array(F.struct(F.col("source").alias("name")))), "newsletterNo": prop("number", F.col("n_chars").cast("double")),
+    }
+    joined = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{NAMES[k]}":'), v) for k, v in props.items()]), F.lit("}"))
+    stamp = F.make_timestamp(F.lit(2026), F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.lit(5), F.lit("UTC"))
+    items = public_items(V.table(spark, sf_dir, "documents").select(joined.alias("properties"), F.lit("internal").alias("notes")), "2026-04-01", stamp)
+    return items.select("id", F.coalesce("title", F.lit("")).alias("title"), "summary", "url", "urlStatus", "contentType", F.col("topics")[0].alias("topics"), "newsletterNo", "updatedAt")
+
+
+@_report("v_fields", """SELECT doc_id AS id, f AS message FROM (SELECT doc_id, unnest(list_filter([CASE WHEN NOT regexp_matches(doc_id::VARCHAR, '^[0-9]{1,3}$') THEN 'id' END, CASE WHEN length(split_part(text, '.', 1)) < 1 THEN 'title' END,
+  CASE WHEN lang NOT IN ('en', 'de') THEN 'contentType' END], lambda x: x IS NOT NULL)) AS f FROM documents) ORDER BY id, f LIMIT 1000000""")
+def _v_fields(spark, sf_dir):
+    items = V.documents(spark, sf_dir)
+    rules = quality.schema_fields(items.drop("topics").columns, "^[0-9]{1,3}$", ["en", "de"], [])
+    return quality.schema_violations(items, rules, 1_000_000).select("id", "message")
+
+
+@_report("v_secrets_anywhere", f"SELECT id, 'secret shape ' || CASE WHEN regexp_matches(summary, 'sk-[A-Za-z0-9]{{20,}}') THEN 0 WHEN regexp_matches(summary, 'secret_[A-Za-z0-9]{{20,}}') THEN 1 ELSE 2 END AS message FROM {_DIRTY} WHERE regexp_matches(summary, 'sk-[A-Za-z0-9]{{20,}}|secret_[A-Za-z0-9]{{20,}}|AKIA[0-9A-Z]{{16}}')")
+def _v_secrets_anywhere(spark, sf_dir):
+    return quality.secrets(_dirty(spark)).select("id", "message")
+
+
+@_report("p_mojibake_anywhere", "SELECT 4 AS id, 'marker 0' AS message")
+def _p_mojibake_anywhere(spark, sf_dir):
+    return quality.mojibake(quality.item_strings(_dirty(spark))).select("id", "message")
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) AS t(id, dump)")
+def x_citation_dump(spark, sf_dir):
+    rows = literal_rows(spark, "id int, doi string, citations string, summary string", [(1, "10.1/a;10.1/b", "x;y", "x 10.1/b y"), (2, "10.1/a;10.1/b", "x;y", "words"), (3, "10.1/a", "x", "10.1/a")])
+    return rows.select("id", X.citation_dump(F.col("summary"), X.cited_papers(F.col("doi"), F.col("citations"))).alias("dump"))

@@ -17,7 +17,6 @@ topics array<string>, locations array<string>, croppingSystems array<string>, pe
 createdAt string, updatedAt string, doi string, publication string, citations string, pageKeywords array<string>, pageKeywordsUpdatedAt string,
 pageKeywordsSource string, expired boolean"""
 ENVELOPE = f"schemaVersion string, generatedAt string, version string, count int, items array<struct<{ITEM}>>"
-PUBLIC = [f.split()[0] for f in ITEM.replace(LINK, "x").replace("\n", " ").split(", ")]
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -155,10 +154,17 @@ class Snapshots:
         if not good or dry_run:
             self._fs.delete(self._path(staged), True)
             return good
-        target = self._path(f"{self.root}/version={version}")
-        if self._fs.exists(target):
-            self._fs.delete(target, True)
-        self._fs.rename(self._path(staged), target)
+        target, old = self._path(f"{self.root}/version={version}"), self._path(f"{self.root}/_old-{uuid.uuid4().hex}")
+        # the version that is replaced stays until the new one is in place, whatever ends the run in between
+        replaces = self._fs.exists(target)
+        if replaces and not self._fs.rename(target, old):
+            raise OSError(f"{target} can't be set aside")
+        if not self._fs.rename(self._path(staged), target):
+            if replaces:
+                self._fs.rename(old, target)
+            raise OSError(f"{staged} can't be put in place")
+        if replaces:
+            self._fs.delete(old, True)
         return True
 
     def log(self, counters: DataFrame, run_at: datetime, note: str = "") -> None:
