@@ -252,15 +252,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = PHRASE) -> Da
     prepare(docs.sparkSession)
     base = with_copies(docs)
     originals = base.where(~F.col("copy"))
-    held = originals.join(confirmed(originals, window, k), KEY, "left").select(*KEY, "text", "phrases")
+    # all branches read all columns of base, so that one exchange of texts serves them all
+    held = originals.join(confirmed(originals, window, k), KEY, "left")
     runs = cut(held.mapInArrow(_classes(window, k), "phrase long, around long, did long, rid int, start int, n int"), "runs")
     by_doc = lambda df: df.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("r")).select(*KEY, F.col("r.start").alias("starts"), F.col("r.n").alias("sizes"))
     members = runs.groupBy("phrase", "around").agg(F.min(F.struct("did", "start", "rid", "n")).alias("m")).select("m.*")
-    listed = originals.join(by_doc(members), KEY).select(*KEY, "text", "starts", "sizes")
+    listed = originals.join(by_doc(members), KEY)
     places = listed.mapInArrow(_windows(window), "w1 long, w2 int, did long, rid int, start int")
     firsts = places.groupBy("w1", "w2").agg(F.min(F.struct("did", "start", "rid")).alias("m")).select("m.*")
     spared = firsts.groupBy(*KEY).agg(F.collect_list("start").alias("firsts"))
-    joined = base.join(by_doc(runs), KEY, "left").join(spared, KEY, "left").select("text", "other", "copy", "starts", "sizes", "firsts")
+    joined = base.join(by_doc(runs), KEY, "left").join(spared, KEY, "left")
     out = joined.mapInArrow(_remove(window), T.StructType([joined.schema["text"], joined.schema["other"], *CUT]))
     return restored(out, docs.columns)
 

@@ -207,14 +207,14 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     rows = originals.mapInArrow(_run_rows, "key long, did long, rid int")
     recurring = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     runs = spread_join(rows, recurring, ["key"], [], F.col("did")).groupBy(*KEY).agg(F.collect_set("key").alias("runs"))
-    suffixes = originals.join(runs, KEY).select(*KEY, "text", "runs").mapInArrow(_suffixes, "key long, did long, at int, rid int, before binary, after binary, more array<long>")
+    suffixes = originals.join(runs, KEY).mapInArrow(_suffixes, "key long, did long, at int, rid int, before binary, after binary, more array<long>")
     heads = suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("more") + 1).alias("total"), F.min(F.struct("did", "at", "rid", "before", "after")).alias("h")).where("total > 1")
     heads = heads.select("key", "n", F.col("n").alias("places"), *[F.col(f"h.{c}").alias(f"head_{c}") for c in ("did", "at", "rid", "before", "after")])
     headed = spread_join(suffixes, heads, ["key"], ["places", "head_did", "head_at", "head_rid", "head_before", "head_after"], F.col("did"))
     compared = cut(headed.mapInArrow(_compare_heads, HELD), "heads")
     marks = compared.where("start is not null").select(*MARK).unionAll(neighbour_marks(compared.where("start is null")))
     by_doc = marks.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("m")).select(*KEY, F.col("m.start").alias("starts"), F.col("m.end").alias("ends"))
-    joined = base.join(by_doc, KEY, "left").select("text", "other", "copy", "starts", "ends")
+    joined = base.join(by_doc, KEY, "left")
     return restored(joined.mapInArrow(_cut_out, T.StructType([joined.schema["text"], joined.schema["other"], *CUT])), docs.columns)
 
 
