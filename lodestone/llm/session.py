@@ -81,6 +81,9 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], values: list
     top = right.orderBy(F.desc("n"), *keys).limit(FREQUENT).select(*keys, F.lit(True).alias("_top"), *[F.col(v).alias(f"_t_{v}") for v in values])
     other = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.lit(True).alias("_found"), *[F.col(v).alias(f"_r_{v}") for v in values])
     marked = left.join(F.broadcast(top), keys, "left").withColumn("_deal", F.when(F.col("_top"), F.xxhash64(keys[0], spread)).otherwise(F.col(keys[0])))
+    # what is dealt out by is the key itself for most rows, so that only frequent keys cross twice
+    marked = marked.withColumn("_own", F.when(F.col("_top"), F.col(keys[0]))).drop(keys[0])
     on = [F.col("_deal") == F.col(f"_k_{keys[0]}"), *[F.col(k) == F.col(f"_k_{k}") for k in keys[1:]]]
     both = marked.join(other, on, "left").where("_top or _found")
-    return both.select(*left.columns, *[F.when(F.col("_top"), F.col(f"_t_{v}")).otherwise(F.col(f"_r_{v}")).alias(v) for v in values])
+    first = F.when(F.col("_top"), F.col("_own")).otherwise(F.col("_deal")).alias(keys[0])
+    return both.select(*[first if c == keys[0] else c for c in left.columns], *[F.when(F.col("_top"), F.col(f"_t_{v}")).otherwise(F.col(f"_r_{v}")).alias(v) for v in values])
