@@ -7,8 +7,8 @@
    documents have; every document of the shard streams through it, and all places of phrases come from the automaton. An
    automaton's size is bounded by its shard's, however many phrases the corpus has.
 3. A window whose selected phrase stands at a located place is a candidate. Equal surroundings of a phrase are one class, of
-   which the first member counts; the classes' windows are grouped, and the least (document, start) of each is its first
-   place. Candidate windows at other places are removed.
+   which the first member counts; where a phrase has several classes, their windows are grouped, and the least (document,
+   start) of each is its first place. Candidate windows at other places are removed.
 
 Whole copies are known by their hash and skip steps 1 to 3: of a copy of WINDOW words or more, every word is removed.
 Skew: counting and grouping are by partial aggregates, so a passage that a third of all documents share is one row per task;
@@ -256,11 +256,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = PHRASE) -> Da
     held = originals.join(confirmed(originals, window, k), KEY, "left")
     runs = cut(held.mapInArrow(_classes(window, k), "phrase long, around long, did long, rid int, start int, n int"), "runs")
     by_doc = lambda df: df.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("r")).select(*KEY, F.col("r.start").alias("starts"), F.col("r.n").alias("sizes"))
-    members = runs.groupBy("phrase", "around").agg(F.min(F.struct("did", "start", "rid", "n")).alias("m")).select("m.*")
+    first = F.min(F.struct("did", "start", "rid", F.col("n").alias("n"))).alias("m")
+    # a window selects its phrase by its words alone: where a phrase has one class, the first member is first in all its windows
+    by_phrase = runs.groupBy("phrase").agg(F.min("around").alias("lo"), F.max("around").alias("hi"), F.count(F.lit(1)).alias("n"), first)
+    sole = by_phrase.where("lo = hi").select("m.did", "m.rid", F.sequence("m.start", F.expr("m.start + m.n - 1")).alias("f"))
+    several = spread_join(runs, by_phrase.where("lo < hi").select("phrase", "n"), ["phrase"], [], F.col("did"))
+    members = several.groupBy("phrase", "around").agg(first).select("m.*")
     listed = originals.join(by_doc(members), KEY)
     places = listed.mapInArrow(_windows(window), "w1 long, w2 int, did long, rid int, start int")
     firsts = places.groupBy("w1", "w2").agg(F.min(F.struct("did", "start", "rid")).alias("m")).select("m.*")
-    spared = firsts.groupBy(*KEY).agg(F.collect_list("start").alias("firsts"))
+    spared = firsts.select(*KEY, F.array("start").alias("f")).unionAll(sole).groupBy(*KEY).agg(F.flatten(F.collect_list("f")).alias("firsts"))
     joined = base.join(by_doc(runs), KEY, "left").join(spared, KEY, "left")
     out = joined.mapInArrow(_remove(window), T.StructType([joined.schema["text"], joined.schema["other"], *CUT]))
     return restored(out, docs.columns)
