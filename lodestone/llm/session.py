@@ -20,6 +20,9 @@ FREQUENT = 1024
 #: Keys of rows without an id begin here; real ids are smaller.
 UNNAMED = 1 << 62
 
+#: Spark's setting by which an execution that ends removes its shuffle files.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Stands for a null id: after all others.
 LAST_ID = 2**63 - 1
 
@@ -53,9 +56,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: short lineage that survives lost executors."""
+    """Write df as a table in the shared folder and read it back: short lineage that survives lost executors.
+
+    What was shuffled for it goes from the executors' disks once the table is complete (FREED): nothing reads it again.
+    """
     path = f"{shared_dir(df.sparkSession)}/lodestone-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(FREED, None)
+    conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(FREED) if before is None else conf.set(FREED, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,9 @@ RUN words in common: these are the key by which suffixes are dealt out and sorte
 with its neighbour, and with the earliest suffix of its run; matches are extended to the left and to the right, as far as
 PASSAGE words need, and a match of PASSAGE words or more marks the later place. Longer passages are marked piece by piece.
 
-Only suffixes whose run recurs are shipped with the words around them; whole copies are known by their hash. A run is never
+Suffixes whose run recurs and that agree in all words around them, as far as PASSAGE words need, are a class, known by hashes of
+128 bits: all but its first are marked that far, and nothing more could be found by comparing them. Where a run has several
+classes, their firsts are shipped with the words around them. Whole copies are known by their hash. A run is never
 gathered: its earliest suffix comes by a partial aggregate and a join that broadcasts the most frequent runs (spread_join).
 What has other words around it than the earliest is then sorted by ranges, so that a hot run goes on in the next partition;
 the last suffix of a partition and the first of the next are compared as well.
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.phrases import CUT, KEY, _lists, cut_words, restored, with_copies
 from lodestone.llm.session import cut, prepare, spread_join
-from lodestone.llm.textkit import WHITESPACE, Sketch, Words, chunks, signed
+from lodestone.llm.textkit import WHITESPACE, Sketch, U, Words, chunks, mix, signed
 
 PASSAGE, SELECT, PHRASE = 50, 30, 10
 RUN = PASSAGE - (SELECT - PHRASE)
@@ -53,36 +55,52 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(part.column(c).to_numpy()[doc]) for c in KEY]], ["key", *KEY])
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Retained suffixes whose run recurs: the run's key, and the words before the place and after the run.
+def _reach(words: Words, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where the words around each place are compared: as far as PASSAGE words need, within its text."""
+    return np.maximum(words.first[doc], at - (PASSAGE - RUN)), np.minimum(words.first[doc + 1], at + PASSAGE)
 
-    Of places of a chunk that agree in all of these the earliest stands for all; `more` holds the others, as did, rid and
-    place in turn, so that a line that stands everywhere is a row per chunk.
-    """
+
+def _recurring(words: Words, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the retained places those whose run recurs: a run that recurs in any text of the chunk recurs in the corpus."""
+    runs = part.column("runs").flatten().to_numpy(zero_copy_only=False)
+    if not len(runs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, doc, key = _retained(words)
+    keep = np.isin(key, runs)
+    return at[keep], doc[keep], key[keep]
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Retained suffixes whose run recurs, each with a hash of all words around it and of where it stands in them."""
     for batch in batches:
         for part in chunks(batch):
             words = Words(part.column("text"), WHITESPACE)
-            at, doc, key = _retained(words)
-            # a run that recurs in any text of the chunk recurs in the corpus
-            keep = np.isin(key, part.column("runs").flatten().to_numpy(zero_copy_only=False))
-            at, doc, key = at[keep], doc[keep], key[keep].tolist()
+            at, doc, key = _recurring(words, part)
             if not len(at):
                 continue
-            lo = np.maximum(words.first[doc], at - (PASSAGE - RUN)).tolist()
-            hi = np.minimum(words.first[doc + 1], at + PASSAGE).tolist()
-            raw = words.data.tobytes()
-            dids, rids = (part.column(c).to_numpy()[doc].tolist() for c in KEY)
-            places = (at - words.first[doc]).tolist()
-            starts, ends = words.starts, words.ends
+            lo, hi = _reach(words, at, doc)
+            around = mix(words.spans(lo, hi - lo) ^ ((at - lo).astype(U) << U(32)))
+            places = pa.array((at - words.first[doc]).astype(np.int32))
+            columns = [pa.array(key), pa.array(signed(around)), *[pa.array(part.column(c).to_numpy()[doc]) for c in KEY], places]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "around", *KEY, "at"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The named suffixes with the words before the place and after the run."""
+    for batch in batches:
+        for part in chunks(batch):
+            words = Words(part.column("text"), WHITESPACE)
+            raw, starts, ends = words.data.tobytes(), words.starts, words.ends
             said = lambda a, b: b" ".join(raw[starts[a] : ends[b - 1]].split()) if b > a else b""
-            same: dict[tuple[int, bytes, bytes], list[tuple[int, int, int]]] = {}
-            for i, p in enumerate(at.tolist()):
-                same.setdefault((key[i], said(lo[i], p), said(p + RUN, hi[i])), []).append((dids[i], places[i], rids[i]))
             rows = []
-            for (run, before, after), where in same.items():
-                where = sorted(set(where))  # equal rows are one document
-                rows.append((run, *where[0], before, after, [x for place in where[1:] for x in place]))
-            yield _table(rows, {"key": pa.int64(), **PLACE, **AROUND, "more": pa.list_(pa.int64())})
+            for d, named in enumerate(part.column("named").to_pylist()):
+                did, rid = (part.column(c)[d].as_py() for c in KEY)
+                begin = int(words.first[d])
+                at = np.array([begin + one["at"] for one in named], np.int64)
+                lo, hi = _reach(words, at, np.full(len(at), d))
+                for one, p, a, b in zip(named, at.tolist(), lo.tolist(), hi.tolist()):
+                    rows.append((one["key"], did, one["at"], rid, said(a, p), said(p + RUN, b), one["n"], one["head"]))
+            yield _table(rows, {"key": pa.int64(), **PLACE, **AROUND, "n": pa.int64(), "head": pa.bool_()})
 
 
 def common(a: list, b: list) -> int:
@@ -121,15 +139,11 @@ def _compare_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     Left out are those that match the earliest in all words around them: they are marked as far as any comparison could, and
     whatever matches them matches the earliest as far. So are those alone with it, and those with too few words around them.
     """
-    names = ("key", *PLACE, *AROUND, "more", "places", "head_did", "head_at", "head_rid", "head_before", "head_after")
+    names = ("key", *PLACE, *AROUND, "places", "head_did", "head_at", "head_rid", "head_before", "head_after")
     for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
         marks: set[tuple] = set()
         others: list[tuple] = []
-        for key, did, at, rid, before, after, more, n_rows, head_did, head_at, head_rid, head_before, head_after in zip(*(batch.column(c).to_pylist() for c in names)):
-            if more:
-                left, right = match((before, after), (before, after))
-                if left + right >= PASSAGE:
-                    marks.update((d, r, p - left, p + right) for d, p, r in zip(more[::3], more[1::3], more[2::3]))
+        for key, did, at, rid, before, after, n_rows, head_did, head_at, head_rid, head_before, head_after in zip(*(batch.column(c).to_pylist() for c in names)):
             if (did, at, rid) != (head_did, head_at, head_rid):
                 left, right = match((before, after), (head_before, head_after))
                 if left + right >= PASSAGE:
@@ -168,6 +182,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 MARKED = "did long, rid int, start int, end int"
+CONTEXT = "key long, did long, at int, rid int, before binary, after binary, n long, head boolean"
 HELD = f"{MARKED}, key long, at int, before binary, after binary"
 
 
@@ -187,6 +202,13 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batch):
             words = Words(part.column("text"), WHITESPACE)
             covered = np.zeros(len(words) + 1, np.int64)
+            at, doc, _ = _recurring(words, part)
+            firsts = [words.first[d] + f for d, f in enumerate(_lists(part.column("firsts"))) if f is not None]
+            later = ~np.isin(at, np.concatenate(firsts)) if firsts else np.ones(len(at), bool)
+            lo, hi = _reach(words, at[later], doc[later])
+            enough = hi - lo >= PASSAGE
+            np.add.at(covered, lo[enough], 1)
+            np.add.at(covered, hi[enough], -1)
             for d, (starts, ends) in enumerate(zip(_lists(part.column("starts")), _lists(part.column("ends")))):
                 if starts is not None:
                     np.add.at(covered, words.first[d] + np.minimum(starts, words.counts[d]), 1)
@@ -207,14 +229,27 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     rows = originals.mapInArrow(_run_rows, "key long, did long, rid int")
     recurring = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     runs = spread_join(rows, recurring, ["key"], [], F.col("did")).groupBy(*KEY).agg(F.collect_set("key").alias("runs"))
-    suffixes = originals.join(runs, KEY).mapInArrow(_suffixes, "key long, did long, at int, rid int, before binary, after binary, more array<long>")
-    heads = suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("more") + 1).alias("total"), F.min(F.struct("did", "at", "rid", "before", "after")).alias("h")).where("total > 1")
-    heads = heads.select("key", "n", F.col("n").alias("places"), *[F.col(f"h.{c}").alias(f"head_{c}") for c in ("did", "at", "rid", "before", "after")])
-    headed = spread_join(suffixes, heads, ["key"], ["places", "head_did", "head_at", "head_rid", "head_before", "head_after"], F.col("did"))
+    places = originals.join(runs, KEY).mapInArrow(_places, "key long, around long, did long, rid int, at int")
+    # suffixes that agree in all words around them are a class; its first stands for all
+    first = F.min(F.struct("did", "at", "rid")).alias("m")
+    classes = places.groupBy("key", "around").agg(first)
+    several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")).where("n > 1").select("key", "n", F.col("n").alias("places"), F.col("m").alias("least"))
+    named = spread_join(classes.select("key", "m"), several, ["key"], ["places", "least"], F.col("m"))
+    named = named.select("m.did", "m.rid", F.struct("key", "m.at", F.col("places").alias("n"), (F.col("m") == F.col("least")).alias("head")).alias("s"))
+    named = named.groupBy(*KEY).agg(F.collect_list("s").alias("named"))
+    contexts = originals.join(named, KEY).mapInArrow(_contexts, CONTEXT)
+    # what later steps need is written by one job, so that texts, runs and places are shuffled and found once for all of it
+    found = contexts.unionByName(classes.select("m.*"), True).unionByName(runs, True)
+    found = cut(found, "suffixes")
+    contexts, runs = found.where("key is not null"), found.where("runs is not null").select(*KEY, "runs")
+    firsts = found.where("key is null and runs is null").groupBy(*KEY).agg(F.collect_list("at").alias("firsts"))
+    heads = contexts.where("head").dropDuplicates(["key"])
+    heads = heads.select("key", "n", F.col("n").alias("places"), *[F.col(c).alias(f"head_{c}") for c in ("did", "at", "rid", "before", "after")])
+    headed = spread_join(contexts.drop("n", "head", "runs"), heads, ["key"], ["places", "head_did", "head_at", "head_rid", "head_before", "head_after"], F.col("did"))
     compared = cut(headed.mapInArrow(_compare_heads, HELD), "heads")
     marks = compared.where("start is not null").select(*MARK).unionAll(neighbour_marks(compared.where("start is null")))
     by_doc = marks.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("m")).select(*KEY, F.col("m.start").alias("starts"), F.col("m.end").alias("ends"))
-    joined = base.join(by_doc, KEY, "left")
+    joined = base.join(runs, KEY, "left").join(firsts, KEY, "left").join(by_doc, KEY, "left")
     return restored(joined.mapInArrow(_cut_out, T.StructType([joined.schema["text"], joined.schema["other"], *CUT])), docs.columns)
 
 
