@@ -55,19 +55,21 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: short lineage that survives lost executors.
 
-    What was shuffled for it goes from the executors' disks once the table is complete (FREED): nothing reads it again.
+    With `free`, what was shuffled for it goes from the executors' disks once the table is complete (FREED).
     """
     path = f"{shared_dir(df.sparkSession)}/lodestone-{label}-{uuid.uuid4().hex}"
     conf = df.sparkSession.conf
     before = conf.get(FREED, None)
-    conf.set(FREED, "true")
+    if free:
+        conf.set(FREED, "true")
     try:
         df.write.parquet(path)
     finally:
-        conf.unset(FREED) if before is None else conf.set(FREED, before)
+        if free:
+            conf.unset(FREED) if before is None else conf.set(FREED, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -240,7 +240,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     contexts = originals.join(named, KEY).mapInArrow(_contexts, CONTEXT)
     # what later steps need is written by one job, so that texts, runs and places are shuffled and found once for all of it
     found = contexts.unionByName(classes.select("m.*"), True).unionByName(runs, True)
-    found = cut(found, "suffixes")
+    found = cut(found, "suffixes", free=True)
     contexts, runs = found.where("key is not null"), found.where("runs is not null").select(*KEY, "runs")
     firsts = found.where("key is null and runs is null").groupBy(*KEY).agg(F.collect_list("at").alias("firsts"))
     heads = contexts.where("head").dropDuplicates(["key"])
