@@ -189,7 +189,7 @@ HELD = f"{MARKED}, key long, at int, before binary, after binary"
 def neighbour_marks(suffixes: DataFrame) -> DataFrame:
     """(did, rid, start, end) from each suffix and its neighbour in the order of all."""
     ranges = suffixes.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select(*ORDER)
-    out = cut(ranges.mapInArrow(_compare_neighbours, f"{HELD}, part int, side int"), "neighbours")
+    out = cut(ranges.mapInArrow(_compare_neighbours, f"{HELD}, part int, side int"), "neighbours", free=True)
     # two rows a partition
     ends = [tuple(r) for r in out.where("start is null").orderBy("part", "side").select(*ORDER).collect()]
     marks = [m for one, two in zip(ends[1::2], ends[2::2]) if (m := later_of(one, two))]
@@ -229,6 +229,8 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     rows = originals.mapInArrow(_run_rows, "key long, did long, rid int")
     recurring = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     runs = spread_join(rows, recurring, ["key"], [], F.col("did")).groupBy(*KEY).agg(F.collect_set("key").alias("runs"))
+    # read by several later steps, for each of which Spark would find the runs anew
+    runs = cut(runs, "recurring", free=True)
     places = originals.join(runs, KEY).mapInArrow(_places, "key long, around long, did long, rid int, at int")
     # suffixes that agree in all words around them are a class; its first stands for all
     first = F.min(F.struct("did", "at", "rid")).alias("m")
@@ -238,15 +240,14 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     named = named.select("m.did", "m.rid", F.struct("key", "m.at", F.col("places").alias("n"), (F.col("m") == F.col("least")).alias("head")).alias("s"))
     named = named.groupBy(*KEY).agg(F.collect_list("s").alias("named"))
     contexts = originals.join(named, KEY).mapInArrow(_contexts, CONTEXT)
-    # what later steps need is written by one job, so that texts, runs and places are shuffled and found once for all of it
-    found = contexts.unionByName(classes.select("m.*"), True).unionByName(runs, True)
-    found = cut(found, "suffixes", free=True)
-    contexts, runs = found.where("key is not null"), found.where("runs is not null").select(*KEY, "runs")
-    firsts = found.where("key is null and runs is null").groupBy(*KEY).agg(F.collect_list("at").alias("firsts"))
+    # what later steps need is written by one job, so that texts and places are shuffled once for all of it
+    found = cut(contexts.unionByName(classes.select("m.*"), True), "suffixes", free=True)
+    contexts = found.where("key is not null")
+    firsts = found.where("key is null").groupBy(*KEY).agg(F.collect_list("at").alias("firsts"))
     heads = contexts.where("head").dropDuplicates(["key"])
     heads = heads.select("key", "n", F.col("n").alias("places"), *[F.col(c).alias(f"head_{c}") for c in ("did", "at", "rid", "before", "after")])
-    headed = spread_join(contexts.drop("n", "head", "runs"), heads, ["key"], ["places", "head_did", "head_at", "head_rid", "head_before", "head_after"], F.col("did"))
-    compared = cut(headed.mapInArrow(_compare_heads, HELD), "heads")
+    headed = spread_join(contexts.drop("n", "head"), heads, ["key"], ["places", "head_did", "head_at", "head_rid", "head_before", "head_after"], F.col("did"))
+    compared = cut(headed.mapInArrow(_compare_heads, HELD), "heads", free=True)
     marks = compared.where("start is not null").select(*MARK).unionAll(neighbour_marks(compared.where("start is null")))
     by_doc = marks.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("m")).select(*KEY, F.col("m.start").alias("starts"), F.col("m.end").alias("ends"))
     joined = base.join(runs, KEY, "left").join(firsts, KEY, "left").join(by_doc, KEY, "left")
