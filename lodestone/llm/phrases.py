@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = PHRASE) -> Da
     originals = base.where(~F.col("copy"))
     # all branches read all columns of base, so that one exchange of texts serves them all
     held = originals.join(confirmed(originals, window, k), KEY, "left")
-    runs = cut(held.mapInArrow(_classes(window, k), "phrase long, around long, did long, rid int, start int, n int"), "runs")
+    runs = cut(held.mapInArrow(_classes(window, k), "phrase long, around long, did long, rid int, start int, n int"), "runs", free=True)
     by_doc = lambda df: df.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("r")).select(*KEY, F.col("r.start").alias("starts"), F.col("r.n").alias("sizes"))
     first = F.min(F.struct("did", "start", "rid", F.col("n").alias("n"))).alias("m")
     # a window selects its phrase by its words alone: where a phrase has one class, the first member is first in all its windows
