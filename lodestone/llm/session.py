@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import time
 import uuid
+from contextlib import suppress
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +32,10 @@ FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Stands for a null id: after all others.
 LAST_ID = 2**63 - 1
 
+#: release() waits so many seconds at least, and so many times what it took, before it works again.
+RELEASE_EVERY, RELEASE_SHARE = 5.0, 20
+_release_from = 0.0
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Python workers started from now on can import this package, and Arrow batches stay small.
@@ -55,8 +65,36 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
+def release(spark: SparkSession) -> None:
+    """Memory that the driver's Python and JVM have freed goes back to the system.
+
+    Operators of many steps leave plans, hash tables and compilers' work behind, which the JVM's heap and the allocators keep
+    for themselves. It takes at most one RELEASE_SHARE-th of the time, however large the heap is. A JVM without the command that
+    trims (it needs glibc and JDK 17.0.9 or later) collects its garbage only.
+    """
+    global _release_from
+    began = time.monotonic()
+    if began < _release_from:
+        return
+    gc.collect()  # plans that Python no longer refers to can go from the JVM as well
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    jvm = spark.sparkContext._jvm
+    jvm.java.lang.System.gc()
+    with suppress(Py4JError):
+        # by the public interface: py4j can't reach the server's own class
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        command = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        command[0], command[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), command)
+    ended = time.monotonic()
+    _release_from = ended + max(RELEASE_EVERY, RELEASE_SHARE * (ended - began))
+
+
 def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: short lineage that survives lost executors.
+    """Write df as a table in the shared folder and read it back: short lineage that survives lost executors. What the driver
+    freed is released.
 
     With `free`, what was shuffled for it goes from the executors' disks once the table is complete (FREED).
     """
@@ -70,6 +108,7 @@ def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     finally:
         if free:
             conf.unset(FREED) if before is None else conf.set(FREED, before)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.session import prepare
+from lodestone.llm.session import prepare, release
 from lodestone.llm.textkit import WHITESPACE, Words, chunks
 
 #: Bounds of the labelled sample.
@@ -307,7 +307,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Gram
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train)
     n, t = usable.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     sample = labelled_sample(docs, labels, "toxic", {1: MAX_TOXIC, 0: MAX_CLEAN}, train)
-    return learn([x for x, _ in sample], [y for _, y in sample], (t or 0) / n if n else 0.0)
+    grammar = learn([x for x, _ in sample], [y for _, y in sample], (t or 0) / n if n else 0.0)
+    del sample
+    release(docs.sparkSession)
+    return grammar
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:

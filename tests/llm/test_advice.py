@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, minmax, suffixes, toxicity
+from lodestone.llm import ann, minmax, session, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -89,3 +89,29 @@ def test_repeated_ids_take_no_places(spark, times):
     got = ann.search(table, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r.rank, r.vec_id) for r in got] == [(n + 1, i) for n, (_, i) in enumerate(want)]
     assert all(abs(r.score - d) < 1e-9 for r, (d, _) in zip(got, want))
+
+
+def test_written_tables_release_what_the_driver_freed(spark, monkeypatch):
+    session.cut(spark.range(3), "first")  # what a first job loads isn't measured
+    jvm = spark.sparkContext._jvm
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe, pid, block = field.get(None), jvm.java.lang.ProcessHandle.current().pid(), 1 << 16
+    held = lambda: next(int(x.split()[1]) for x in open(f"/proc/{pid}/status") if x.startswith("RssAnon")) / 1024
+    blocks = [unsafe.allocateMemory(block) for _ in range(2400)]
+    for at in blocks:
+        unsafe.setMemory(at, block, 1)
+    some = blocks[::100] + blocks[-1:]  # so few blocks in use keep all of the freed ones with the allocator
+    for at in blocks:
+        if at not in some:
+            unsafe.freeMemory(at)
+    monkeypatch.setattr(session, "_release_from", 0.0)
+    before = held()
+    assert session.cut(spark.range(3), "released").count() == 3
+    after = held()
+    for at in some:
+        unsafe.freeMemory(at)
+    assert before - after > 100
+    again = session._release_from
+    session.release(spark)  # too soon after the last time
+    assert session._release_from == again
