@@ -7,6 +7,7 @@ from lodestone.llm.bpe import op5_bpe
 from lodestone.llm.licenses import op1_license_scans, op1_sql
 from lodestone.llm.minmax import op10_minmax_near_dedup, op10_sql
 from lodestone.llm.phrases import op3_sql, op3_substring_dedup
+from lodestone.llm.pieces import op11_pieces
 from lodestone.llm.quality import op8_quality
 from lodestone.llm.sharding import op9_sharding
 from lodestone.llm.suffixes import op6_suffix_dedup
@@ -26,6 +27,7 @@ QUERIES = {
         op8_quality,
         op9_sharding,
         op10_minmax_near_dedup,
+        op11_pieces,
     )
 }
 SQL = {"op1_license_scans": op1_sql(), "op3_substring_dedup": op3_sql(), "op10_minmax_near_dedup": op10_sql()}
