@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm.alignment import op13_alignment
 from lodestone.llm.ann import op2_nearest_neighbours
 from lodestone.llm.bpe import op5_bpe
 from lodestone.llm.licenses import op1_license_scans, op1_sql
@@ -28,6 +29,7 @@ QUERIES = {
         op9_sharding,
         op10_minmax_near_dedup,
         op11_pieces,
+        op13_alignment,
     )
 }
 SQL = {"op1_license_scans": op1_sql(), "op3_substring_dedup": op3_sql(), "op10_minmax_near_dedup": op10_sql()}
