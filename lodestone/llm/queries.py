@@ -10,6 +10,7 @@ from lodestone.llm.minmax import op10_minmax_near_dedup, op10_sql
 from lodestone.llm.phrases import op3_sql, op3_substring_dedup
 from lodestone.llm.pieces import op11_pieces
 from lodestone.llm.quality import op8_quality
+from lodestone.llm.repair import op12_conversation_repair
 from lodestone.llm.sharding import op9_sharding
 from lodestone.llm.suffixes import op6_suffix_dedup
 from lodestone.llm.tiling import op4_decontamination
@@ -29,6 +30,7 @@ QUERIES = {
         op9_sharding,
         op10_minmax_near_dedup,
         op11_pieces,
+        op12_conversation_repair,
         op13_alignment,
     )
 }
