@@ -1,10 +1,11 @@
 """License scan by a positional rare-token index, in DataFrame functions only.
 
 The index holds postings (word -> phrase, relative position) of the templates' mandatory key phrases. Document frequencies
-of all licence words are counted over the whole corpus; each phrase is looked up by its ANCHORS words of highest IDF. A
-file's occurrences of these words give starts (word place minus relative position); a start that all of a phrase's anchors
-agree on is a candidate, and the phrase's words are then verified one after the other. Every place of a phrase holds its
-anchors at their relative positions, so none is lost.
+of all licence words are counted over the whole corpus. In each file the licence words that it holds are taken in order of
+their IDF, highest first, down to the last one that is needed: a phrase all of whose words the file holds needs ANCHORS of them.
+Places of these words vote for starts (word place minus relative position); a start that all of a phrase's looked-up words agree
+on is a candidate, and the phrase's words are then verified one after the other. Every place of a phrase holds these words at
+their relative positions, so none is lost. A file that holds no phrase's words is not looked into any further.
 
 The index is a constant of the query, bounded by TEMPLATES, never by the corpus; all work on a text happens in its own row.
 """
@@ -40,6 +41,8 @@ TEMPLATES = {
     "all-rights-reserved": ["all rights reserved"],
 }
 ANCHORS = 2
+#: No phrase has so many words; keeps starts in front of a text from being negative.
+LONGEST = 1 << 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -65,17 +68,9 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str,
     return {w: row[f"w{i}"] for i, w in enumerate(vocabulary)}, row["n"]
 
 
-def rare_postings(frequencies: dict[str, int], n_docs: int) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
-    """Postings of the anchors (word -> phrase, relative position), and each phrase's number of anchors."""
-    idf = {w: math.log((n_docs + 1) / (n + 1)) for w, n in frequencies.items()}
-    postings: dict[str, list[tuple[int, int]]] = {}
-    sizes = []
-    for p, (_, words, _) in enumerate(phrases()):
-        places = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:ANCHORS]
-        sizes.append(len(places))
-        for i in places:
-            postings.setdefault(words[i], []).append((p, i))
-    return postings, sizes
+def by_rarity(frequencies: dict[str, int], n_docs: int) -> list[str]:
+    """Licence words by IDF, highest first."""
+    return sorted(frequencies, key=lambda w: (-math.log((n_docs + 1) / (frequencies[w] + 1)), w))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -83,33 +78,45 @@ def scan(docs: DataFrame) -> DataFrame:
     _labels and _score.
 
     Null or empty texts have no words and no places; ties and repeated rows are judged each for itself; an empty table
-    gives an empty result. _score is the largest share of a label's key phrases that were verified, 1 for base labels.
+    gives an empty result. Columns of docs named like the new ones give way. _score is the largest share of a label's key phrases
+    that were verified, 1 for base labels. A text takes time in proportion to its length, but for sorting its votes.
     """
     found = phrases()
-    vocabulary = sorted({w for _, words, _ in found for w in words})
-    postings, sizes = rare_postings(*word_frequencies(docs, vocabulary))
-    rare = sorted(postings)
+    words = by_rarity(*word_frequencies(docs, sorted({w for _, words, _ in found for w in words})))
+    rank = {w: n for n, w in enumerate(words)}
+    ranks = [sorted(rank[w] for w in wording) for _, wording, _ in found]
+    needed = [r[min(ANCHORS, len(r)) - 1] for r in ranks]
+    rare = words[: max(needed) + 1]
+    postings = {w: [(p, i) for p, (_, wording, _) in enumerate(found) for i, x in enumerate(wording) if x == w] for w in rare}
+    added = ["_n_words", "_places", "_base_labels", "_labels", "_score"]
+    kept = [c for c in docs.columns if c not in added]
 
     split = words_of(F.col("text"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), split.alias("w0"))
+    rows = docs.select(F.struct(*kept).alias("row"), split.alias("w0"))
     rows = rows.select("row", F.when(F.element_at("w0", 1) == "", F.slice("w0", F.lit(2), F.size("w0"))).otherwise(F.col("w0")).alias("w1"))
-    rows = rows.select("row", "w1", (F.size("w1") - F.when(F.try_element_at("w1", F.lit(-1)) == "", 1).otherwise(0)).cast("long").alias("n"))
-    # look up: places of the file's rare licence words
-    is_rare = F.arrays_overlap("w1", F.array(*map(F.lit, rare)))
-    places = F.when(is_rare, F.array_compact(F.transform("w1", lambda w, i: F.when(w.isin(rare), F.struct(i.alias("at"), w.alias("word"))))))
-    rows = rows.select("row", "w1", "n", places.alias("hits"))
-    # intersect: phrase starts that each anchor of the phrase votes for
-    table = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*[F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")) for p, i in postings[w]]))])
-    votes = F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(table, h["word"]), lambda q: F.struct(q["p"].alias("p"), (h["at"] - q["i"]).alias("start")))))
-    rows = rows.select("row", "w1", "n", votes.alias("votes"))
-    need = F.array(*map(F.lit, sizes))
-    # equal votes stand together once sorted: a start has all its anchors if the vote need-1 places further is the same
-    rows = rows.withColumn("votes", F.array_sort("votes"))
-    backed = F.filter("votes", lambda v, i: F.try_element_at("votes", i + F.element_at(need, v["p"] + 1)).eqNullSafe(v))
+    held = F.array_intersect(F.array(*map(F.lit, words)), F.col("w1"))  # by rarity
+    rows = rows.select("row", "w1", (F.size("w1") - F.when(F.try_element_at("w1", F.lit(-1)) == "", 1).otherwise(0)).cast("long").alias("n"), held.alias("held"))
+    # look up: the file's rarest licence words, down to the last that a phrase with all words in the file needs
+    whole = [F.forall(F.array(*map(F.lit, wording)), lambda x: F.array_contains("held", x)) for _, wording, _ in found]
+    last = F.when(F.size("held") > 0, F.greatest(*[F.when(w, F.lit(r)) for w, r in zip(whole, needed)]))
+    rows = rows.select("row", "w1", "n", last.alias("last"))
+    place = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*[F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")) for p, i in postings[w]]))])
+    known = F.create_map(*[x for w in rare for x in (F.lit(w), F.lit(rank[w]))])
+    hits = F.filter(F.transform("w1", lambda w, i: F.when(w.isin(rare), F.struct(i.alias("at"), w.alias("word")))), lambda h: h.isNotNull() & (F.element_at(known, h["word"]) <= F.col("last")))
+    # how many of each phrase's words are looked up in this file
+    need = F.array(*[sum((F.when(F.col("last") >= r, 1).otherwise(0) for r in own[1:]), F.when(F.col("last") >= own[0], 1).otherwise(0)) for own in ranks])
+    rows = rows.select("row", "w1", "n", F.when(F.col("last").isNotNull(), hits).alias("hits"), F.when(F.col("last").isNotNull(), need).alias("need"))
+    # intersect: a phrase and a start as one number, so that equal votes stand together once sorted
+    votes = F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(place, h["word"]), lambda q: F.shiftleft(q["p"].cast("long"), 32) + h["at"] - q["i"] + LONGEST)))
+    rows = rows.select("row", "w1", "n", "need", F.sort_array(votes).alias("votes"))
+    struct = lambda v: F.struct(F.shiftright(v, 32).cast("int").alias("p"), (v.bitwiseAND(F.lit(0xFFFFFFFF)) - LONGEST).cast("int").alias("start"))
+    # each looked-up word of a phrase votes once for a start: need equal votes in a row are one start
+    backed = F.filter("votes", lambda v, i: F.try_element_at("votes", i + F.element_at("need", F.shiftright(v, 32).cast("int") + 1)).eqNullSafe(v))
     # verify: the phrase's words stand there, one after the other
-    wording = F.array(*[F.array(*map(F.lit, words)) for _, words, _ in found])
-    verified = F.filter(backed, lambda v: (v["start"] >= 0) & (F.slice("w1", F.greatest(v["start"], F.lit(0)) + 1, F.size(F.element_at(wording, v["p"] + 1))) == F.element_at(wording, v["p"] + 1)))
-    rows = rows.select("row", "n", F.coalesce(F.array_distinct(verified), F.array().cast("array<struct<p:int,start:int>>")).alias("good"))
+    wording = F.array(*[F.array(*map(F.lit, own)) for _, own, _ in found])
+    stands = lambda v: (v["start"] >= 0) & (F.slice("w1", F.greatest(v["start"], F.lit(0)) + 1, F.size(F.element_at(wording, v["p"] + 1))) == F.element_at(wording, v["p"] + 1))
+    rows = rows.select("row", "n", "w1", F.transform(backed, struct).alias("backed"))
+    rows = rows.select("row", "n", F.coalesce(F.filter("backed", stands), F.array().cast("array<struct<p:int,start:int>>")).alias("good"))
 
     n_base = len(BASE)
     ids = F.array_distinct(F.transform("good", lambda v: v["p"]))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,28 @@ def test_license_places(spark):
     assert out[6]._score == 0.0 and out[7]._base_labels == ""
 
 
+def test_license_scan_of_long_repetitive_texts_and_clashing_names(spark):
+    """192,000 words, every third of which begins a place; columns named like the new ones."""
+    docs = spark.createDataFrame([(1, "cc by nc " * 64_000, "old", 2.0), (2, "under the mit the under mit license under the mit license", "old", 2.0)], "doc_id long, text string, _labels string, _score double")
+    frame = licenses.scan(docs)
+    assert frame.columns == ["doc_id", "text", "_n_words", "_places", "_base_labels", "_labels", "_score"]
+    began = time.time()
+    out = {r.doc_id: r for r in frame.selectExpr("doc_id", "_n_words", "size(_places) as n", "_places[0].start as start", "_labels").collect()}
+    assert time.time() - began < 30
+    assert (out[1]._n_words, out[1].n, out[1]._labels) == (192_000, 64_000, "cc-by-nc")
+    assert (out[2].n, out[2].start, out[2]._labels) == (1, 7, "mit")
+
+
+def test_license_words_by_each_file_s_rarest(spark):
+    """The words looked up depend on which phrases a file can hold: every phrase is found beside all others."""
+    found = [" ".join(words) for _, words, _ in licenses.phrases()]
+    rows = [(i, f"so {a} and {b} or") for i, (a, b) in enumerate(itertools.product(found, found))]
+    out = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).select("doc_id", "_places").collect()}
+    for i, text in rows:
+        want = sorted(m.start() for f in set(found) for m in re.finditer(f"(?<![^ ]){f}(?![^ ])", text))
+        assert len(out[i]._places) == len(want), text
+
+
 def test_license_scan_runs_no_python(spark, rows):
     plan = licenses.scan(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
