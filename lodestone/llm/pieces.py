@@ -1,11 +1,13 @@
 """SentencePiece encoding and decoding for merge-type vocabularies, by a score-ordered agenda.
 
 The agenda holds the adjacent symbol pairs whose joined piece is in the vocabulary. The pair of best score is merged, the left
-one on ties; its neighbours enter the agenda anew. Up to FLAT symbols the agenda is a list that is searched for its best entry,
-beyond that a heap with stale entries left in it. Symbols that are no piece become their bytes' pieces.
+one on ties; its neighbours enter the agenda anew. The agendas of parts of up to SHORT symbols stand one after the other in an
+array, and each is searched for its best entry at the same time; beyond that an agenda is a heap with stale entries left in it.
+Symbols that are no piece become their bytes' pieces.
 
 Text is cut first where no piece can reach across: before runs of spaces and at line feeds, as far as the vocabulary's pieces
-really don't. Each distinct part of a task is merged once; what a task keeps between chunks is bounded.
+really don't. Parts that occurred lately are remembered, in two generations of bounded size: a full one becomes the old one, and
+parts of that which occur again move on.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +30,44 @@ from lodestone.llm.textkit import chunks
 
 #: How the vocabulary writes a space.
 SPACE = "▁"
-FLAT = 48
+SHORT = 48
 #: Bytes of text that a worker encodes at a time.
 CHUNK = 1 << 19
-#: Parts, and ids in them, that a task remembers; beyond that it starts anew.
-REMEMBERED, REMEMBERED_IDS = 1 << 19, 1 << 22
-NONE = float("inf")
+#: Parts, and ids in them, that a generation of a worker's memory holds.
+REMEMBERED, REMEMBERED_IDS = 1 << 18, 1 << 21
+NONE = np.int32(2**30)
 #: What stands for a byte that is no UTF-8.
 REPLACEMENT = "�".encode()
 
 
+class Memory:
+    """Known parts: where in `flat` their ids begin, how many they are, and whether the library has the same."""
+
+    def __init__(self) -> None:
+        self.places: dict[str, int] = {}
+        self.flat, self.begins, self.sizes, self.agreed = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def full(self) -> bool:
+        return len(self.places) > REMEMBERED or len(self.flat) > REMEMBERED_IDS
+
+    def add(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray, agreed: np.ndarray) -> None:
+        self.places.update(zip(parts, range(len(self.sizes), len(self.sizes) + len(parts))))
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+        self.agreed = np.concatenate([self.agreed, agreed])
+
+    def find(self, parts: list[str]) -> np.ndarray:
+        """Each part's number, -1 where it is not known."""
+        return np.fromiter(map(self.places.get, parts, repeat(-1)), np.int64, len(parts))
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts one after the other, and where each part's begin (and the last end)."""
+        sizes = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        return self.flat[np.repeat(self.begins[at] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
 class Pieces:
     """A merge-type vocabulary with byte pieces that adds a space in front and normalises nothing else."""
 
@@ -50,13 +80,19 @@ class Pieces:
         plain = [i for i in range(n) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
         if len(self.byte_ids) != 256 or any(lib.is_unused(i) for i in range(n)) or lib.encode(" ") != lib.encode(SPACE) or lib.decode(lib.encode("ﬁ  x ")) != "ﬁ  x ":
             raise ValueError("the vocabulary must have all byte pieces, no unused ones, and leave text as it is")
-        self.ids = {names[i]: i for i in plain}
-        #: what a merge to this piece costs; the agenda takes the least
-        self.costs = {names[i]: -lib.get_score(i) for i in plain if len(names[i]) > 1}
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.costs)
+        # here a space is a space
+        self.ids = {names[i].replace(SPACE, " "): i for i in plain}
+        scores = {p: lib.get_score(i) for p, i in self.ids.items() if len(p) > 1}
+        if not all(c in self.ids for p in scores for c in p):
+            raise ValueError("pieces must consist of characters that are pieces")
+        best = {score: n for n, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        #: the place by score of a merge to this piece, best first, equal scores at one place
+        self.order = {p: best[score] for p, score in scores.items()}
+        self._pairs()
+        inner = any(" " in p.lstrip(" ") for p in scores)
         self.lines = any("\n" in p for p in self.ids)
         stop = "" if self.lines else "\\n"
-        self.parts = re.compile(".+" if inner else f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+" + ("" if self.lines else "|\\n"), re.S)
+        self.parts = re.compile(".+" if inner else f" +[^ {stop}]*|[^ {stop}]+" + ("" if self.lines else "|\\n"), re.S)
         # what an id says: bytes, and whether they are a single byte's
         says = [b""] * n
         for i in plain:
@@ -72,34 +108,71 @@ class Pieces:
         self.silent = np.array([lib.is_control(i) for i in range(n)])
         self.forget()
 
+    def _pairs(self) -> None:
+        """As arrays: ids of characters; pairs of pieces that join to one, with the place by score and the id of what they join to."""
+        self.of_char = -1 - np.arange(0x110000, dtype=np.int64)  # none: told from the character
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        cuts = ((p, p[:k], p[k:]) for p in self.order for k in range(1, len(p)))
+        found = sorted((self.ids[a] << 32 | self.ids[b], self.order[p], self.ids[p]) for p, a, b in cuts if a in self.ids and b in self.ids)
+        table = np.array([*found, (np.iinfo(np.int64).max, NONE, -1)], np.int64)
+        self.pair_keys, self.pair_order, self.pair_joined = table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].copy()
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place by score, joined id) of pairs; NONE if they don't join."""
+        keys = a << 32 | b
+        keys[(a < 0) | (b < 0)] = -1
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_order[at], NONE), self.pair_joined[at]
+
     def forget(self) -> None:
-        self.memory: dict[str, int] = {}
-        self.flat, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.agreed = np.zeros(0, bool)
-
-    def symbols(self, part: str) -> list[str]:
-        """The part's symbols after all merges."""
-        if part in self.ids and len(part) == 1:
-            return [part]
-        return self._flat(part) if len(part) <= FLAT else self._heap(part)
-
-    def _flat(self, part: str) -> list[str]:
-        symbols, cost = list(part), self.costs.get
-        agenda = [cost(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
-        while agenda and (best := min(agenda)) != NONE:
-            i = agenda.index(best)  # the left one on ties
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = cost(symbols[i] + symbols[i + 1], NONE)
-            if i:
-                agenda[i - 1] = cost(symbols[i - 1] + symbols[i], NONE)
-        return symbols
+        self.memory, self.old = Memory(), Memory()
+
+    def _side_by_side(self, parts: list[str]) -> list[list[int]]:
+        """The symbols of short parts (ids, or -1 - a character) after all merges, the best of each part at a time."""
+        out: list[list[int]] = [[]] * len(parts)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        symbols = self.of_char[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        who = np.arange(len(parts))
+        last = np.cumsum(sizes) - 1
+        order, joined = np.full(len(symbols), NONE, np.int32), np.full(len(symbols), -1, np.int64)
+        order[:-1], joined[:-1] = self._pair(symbols[:-1], symbols[1:])
+        order[last] = NONE
+        while len(who):
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            best = np.minimum.reduceat(order, first)
+            live = best != NONE
+            if not live.all():
+                keep = np.repeat(live, sizes)
+                done, begin = symbols[~keep].tolist(), 0
+                for n, size in zip(who[~live].tolist(), sizes[~live].tolist()):
+                    out[n] = done[begin : begin + size]
+                    begin += size
+                symbols, order, joined = symbols[keep], order[keep], joined[keep]
+                who, sizes, best = who[live], sizes[live], best[live]
+                if not len(who):
+                    break
+            owner = np.repeat(np.arange(len(who)), sizes)
+            at = np.flatnonzero(order == best[owner])
+            of = owner[at]
+            at = at[np.concatenate([[True], of[1:] != of[:-1]])]  # the left one on ties: one in each part
+            symbols[at] = joined[at]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            symbols, order, joined = symbols[keep], order[keep], joined[keep]
+            at -= np.arange(len(at))
+            sizes = sizes - 1
+            ends = np.cumsum(sizes)
+            for left, valid in ((at, at + 1 < ends), (at - 1, at > ends - sizes)):
+                order[left[valid]], joined[left[valid]] = self._pair(symbols[left[valid]], symbols[left[valid] + 1])
+            order[at[at + 1 == ends]] = NONE
+        return out
 
     def _heap(self, part: str) -> list[str]:
-        symbols, cost, n = list(part), self.costs.get, len(part)
+        symbols, order, n = list(part), self.order.get, len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(c, i, 2) for i in range(n - 1) if (c := cost(part[i : i + 2], NONE)) != NONE]
+        agenda = [(c, i, 2) for i in range(n - 1) if (c := order(part[i : i + 2])) is not None]
         heapq.heapify(agenda)
         while agenda:
             _, i, length = heapq.heappop(agenda)
@@ -112,16 +185,24 @@ class Pieces:
             if k < n:
                 before[k] = i
             for left, right in ((before[i], i), (i, k)):
-                if left >= 0 and right < n and (c := cost(symbols[left] + symbols[right], NONE)) != NONE:
+                if left >= 0 and right < n and (c := order(symbols[left] + symbols[right])) is not None:
                     heapq.heappush(agenda, (c, left, len(symbols[left]) + len(symbols[right])))
         return [s for s in symbols if s]
 
-    def merge(self, part: str) -> list[int]:
-        symbols = self.symbols(part)
-        ids = list(map(self.ids.get, symbols))
-        if None not in ids:
-            return ids
-        return [i for s, known in zip(symbols, ids) for i in ([known] if known is not None else [self.byte_ids[b] for b in s.encode()])]
+    def merge(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part."""
+        out: list[list[int]] = [[]] * len(parts)
+        short = [n for n, p in enumerate(parts) if len(p) <= SHORT]
+        for lo in range(0, len(short), 4096):
+            some = short[lo : lo + 4096]
+            for n, symbols in zip(some, self._side_by_side([parts[n] for n in some])):
+                out[n] = symbols
+                if min(symbols) < 0:
+                    out[n] = [i for s in symbols for i in ([s] if s >= 0 else [self.byte_ids[b] for b in chr(-1 - s).encode()])]
+        for n, p in enumerate(parts):
+            if len(p) > SHORT:
+                out[n] = [i for s in self._heap(p) for i in ([self.ids[s]] if s in self.ids else [self.byte_ids[b] for b in s.encode()])]
+        return out
 
     def theirs(self, parts: list[str]) -> list[list[int]]:
         """The library's ids of each part. Behind a line feed that no piece holds, a part stands as it does within a text."""
@@ -132,30 +213,34 @@ class Pieces:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All texts' ids in one array, where each text's ids begin (and the last end), and whether the library has the same
         ids for all parts of a text."""
-        found = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        found = [self.parts.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         parts = list(chain.from_iterable(found))
-        if len(self.memory) > REMEMBERED or len(self.flat) > REMEMBERED_IDS:
-            self.forget()
-        places = list(map(self.memory.get, parts))
-        if None in places:
-            fresh = list({p for p, place in zip(parts, places) if place is None})
-            merged = [self.merge(p) for p in fresh]
-            sizes = np.fromiter(map(len, merged), np.int64, len(merged))
-            same = np.fromiter(map(list.__eq__, merged, self.theirs(fresh)), bool, len(merged))
-            self.agreed = np.concatenate([self.agreed, same])
-            self.memory.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh))))
-            self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(merged), np.int32, int(sizes.sum()))])
-            places = list(map(self.memory.__getitem__, parts))
-        at = np.array(places, dtype=np.int64)
-        sizes = self.sizes[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        ids = self.flat[np.repeat(self.begins[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        if self.memory.full():
+            self.memory, self.old = Memory(), self.memory
+        at = self.memory.find(parts)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            lacking = [parts[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(lacking)))
+            at[missing] = self.memory.find(lacking)
+        ids, ends = self.memory.ids(at)
         firsts = np.cumsum([0, *map(len, found)])
-        doubts = np.concatenate([[0], np.cumsum(~self.agreed[at])])
+        doubts = np.concatenate([[0], np.cumsum(~self.memory.agreed[at])])
         return ids, ends[firsts], doubts[firsts[1:]] == doubts[firsts[:-1]]
 
+    def _learn(self, parts: list[str]) -> None:
+        """Parts move on from the old generation, or are merged and compared with the library's."""
+        at = self.old.find(parts)
+        again = at[at >= 0]
+        if len(again):
+            self.memory.add([p for p, n in zip(parts, at.tolist()) if n >= 0], self.old.ids(again)[0], self.old.sizes[again], self.old.agreed[again])
+        fresh = [p for p, n in zip(parts, at.tolist()) if n < 0]
+        if fresh:
+            merged = self.merge(fresh)
+            sizes = np.fromiter(map(len, merged), np.int64, len(merged))
+            same = np.fromiter(map(list.__eq__, merged, self.theirs(fresh)), bool, len(merged))
+            self.memory.add(fresh, np.fromiter(chain.from_iterable(merged), np.int32, int(sizes.sum())), sizes, same)
+
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The texts of the ids between the bounds. Bytes that are no UTF-8 become U+FFFD, one each; other ids are refused."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.single)):
@@ -257,8 +342,6 @@ def _encoded(docs: DataFrame, path: str, column: str, back: bool) -> DataFrame:
                 if back:
                     columns += [pa.array([d.decode() for d in vocab.decode(ids, bounds)], pa.string()), pa.array(agree)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
-        vocab.forget()  # the worker lives on, for other operators
-
     return _named(packed.mapInArrow(run, schema), kept, added)
 
 

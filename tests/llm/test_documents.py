@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import itertools
 import random
 import re
 import time

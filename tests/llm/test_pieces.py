@@ -29,7 +29,9 @@ def test_ids_are_the_library_s(library):
     ids, bounds, agreed = vocab.encode(some)
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == library.encode(some)
     assert agreed.all()
-    assert vocab._heap("internationalisation") == vocab._flat("internationalisation")
+    for part in (" internationalisation", " ", "  x", "été\x00日本"):
+        known = [vocab.ids.get(s, -1 - ord(s[0])) for s in vocab._heap(part)]
+        assert vocab._side_by_side([part, part])[1] == known
 
 
 def test_decoding_is_the_library_s(library):
@@ -42,11 +44,19 @@ def test_decoding_is_the_library_s(library):
 
 def test_a_wrong_agenda_is_told(library):
     vocab = pieces.Pieces(PATH)
-    vocab.costs = dict.fromkeys(vocab.costs, 0.0)  # always the leftmost pair
+    vocab.pair_order[:-1] = 0  # always the leftmost pair
     _, _, agreed = vocab.encode(["the internationalisation of trade", "q"])
     assert not agreed[0]
 
 
+def test_generations(monkeypatch, library):
+    monkeypatch.setattr(pieces, "REMEMBERED", 40)
+    vocab, some = pieces.Pieces(PATH), texts(4, 800)
+    for lo in range(0, len(some), 20):
+        ids, bounds, agreed = vocab.encode(some[lo : lo + 20])
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == library.encode(some[lo : lo + 20]) and agreed.all()
+
+
 def test_operator(spark, library):
     rows = [(1, "the cat\nsat ", "x"), (2, None, "y"), (3, "", None), (1, "the cat\nsat ", "x"), (None, "é😀" * 50_000, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _ids string").withColumnRenamed("_ids", "some")
