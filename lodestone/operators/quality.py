@@ -25,13 +25,15 @@ def found(items: DataFrame, rule: str, severity: str, condition: Column, message
     return items.where(F.coalesce(condition, F.lit(False))).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col("id").cast("string").alias("id"), text.alias("message"))
 
 
-def schema_violations(items: DataFrame, fields: dict[str, Column], most: int = 25) -> DataFrame:
-    """V1. fields: name -> what must hold. At most `most` rows and one that counts the rest."""
+def schema_violations(items: DataFrame, fields: dict[str, Column], most: int | None = 25) -> DataFrame:
+    """V1. fields: name -> what must hold. At most `most` rows and one that counts the rest; all rows if None."""
     wrong = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in fields.items()]), lambda n: n.isNotNull())
     rows = items.select("id", "ord", F.explode(wrong).alias("field"))
+    as_report = lambda df, i, m: df.select(F.lit("V1").alias("rule"), F.lit("error").alias("severity"), i.cast("string").alias("id"), m.alias("message"))
+    if most is None:
+        return as_report(rows, F.col("id"), F.col("field"))
     shown = rows.orderBy("ord", "field").limit(most)
     rest = rows.agg((F.count(F.lit(1)) - most).alias("n")).where("n > 0")
-    as_report = lambda df, i, m: df.select(F.lit("V1").alias("rule"), F.lit("error").alias("severity"), i.cast("string").alias("id"), m.alias("message"))
     return as_report(shown, F.col("id"), F.col("field")).unionAll(as_report(rest, F.lit(None), F.concat(F.lit("and more: "), F.col("n").cast("string"))))
 
 

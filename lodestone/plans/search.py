@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import fold, has_term, query_terms
+from lodestone.session import shared_dir
 
 # Fusion constant and the semantic cut-off.
 RRF_K = 60
@@ -94,33 +97,45 @@ def keyword_scores(index: DataFrame, terms: list[str]) -> DataFrame:
     return scored.withColumn("score", sum((F.col("_tiers")[distinct.index(t)] for t in terms[1:]), F.col("_tiers")[distinct.index(terms[0])])).drop("_tiers")
 
 
-#: Stored places that are ranked together.
-BLOCK = 1 << 16
+#: Ranges of the order that are ranked apart, a bound on what the driver sees of the rows; each is a task's work at a time.
+RANGES = 1 << 12
 
 
-def place_block(column: str = "ord") -> Column:
-    """Stretches of the stored order: as many rows as a task ranks at a time, however many there are."""
-    return F.coalesce(F.floor(F.col(column) / BLOCK), F.lit(-1 << 62))
+def ranked(df: DataFrame, order: list, limit: int | None = None, name: str = "rank") -> DataFrame:
+    """Rank from 1, for any keys. With a limit the best are found in each partition first, and only they are ranked together.
 
-
-def ranked(df: DataFrame, order: list, limit: int | None = None, name: str = "rank", blocks: list[tuple[Column, bool]] | None = None) -> DataFrame:
-    """Rank from 1. With a limit the best are found in each partition first, and only they are ranked together.
-
-    Without one, `blocks` are columns (and whether they ascend) that order rows as `order` does, but more coarsely: each block
-    is ranked for itself, and what the blocks before it hold is added, a running sum over one row a block. No task gets all rows.
+    Without one, rows are dealt out by sampled ranges of the order, counted by range, and numbered within their range from the sum
+    of the ranges before. Rows that are equal in the order's keys stand by a hash of all their columns, so that a common key is split
+    as well; only rows equal in every column share a range. The ranges are RANGES at most, and their counts, a number each, are
+    all that is summed in one place. As ranges are of one sample, the dealt rows are written to the shared folder here, so that
+    counts and numbers are of the same ranges, whatever executors are lost.
     """
-    if limit is not None or not blocks:
-        if limit is not None:
-            df = df.orderBy(*order).limit(limit)
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    if limit is not None:
+        return df.orderBy(*order).limit(limit).withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     columns = df.columns
-    keys = [f"_b{i}" for i in range(len(blocks))]
-    inner = df.withColumns({k: c for k, (c, _) in zip(keys, blocks)}).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    # the sizes read the exchange that the rows were ranked in: all its columns are asked for
-    sizes = inner.groupBy(*keys).agg(F.max("_n").cast("long").alias("_size"), F.max(F.xxhash64(*columns)).alias("_all")).where("_all is not null")
-    by = Window.orderBy(*[F.col(k) if up else F.desc(k) for k, (_, up) in zip(keys, blocks)])
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*keys, "_before")
-    return inner.join(before, keys).select(*columns, (F.col("_before") + F.col("_n")).alias(name))
+    spread = F.xxhash64(*[F.col(c) for c in columns if _hashable(df.schema[c].dataType)])
+    keyed = df.withColumn("_spread", spread)
+    dealt = keyed.repartitionByRange(_ranges(df), *order, "_spread").sortWithinPartitions(*order, "_spread")
+    # the place of a row: its range in the upper bits, its number there in the lower ones
+    placed = _kept(dealt.withColumn("_at", F.monotonically_increasing_id()).select(*columns, F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_n")))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.join(F.broadcast(before.select("_range", "_before")), "_range").select(*columns, (F.col("_before") + F.col("_n") + 1).alias(name))
+
+
+def _hashable(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _ranges(df: DataFrame) -> int:
+    return min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: ranges are of one sample, and stay if executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/ranked-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -134,11 +149,6 @@ def semantic_scores(items: DataFrame, vectors: DataFrame, query: list[float]) ->
     return items.join(vectors, "id").withColumn("similarity", cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in query])))
 
 
-def similarity_blocks() -> list[tuple[Column, bool]]:
-    """Narrow bands of similarity, best first, for ranked()."""
-    return [(F.floor(F.col("similarity") * 4096), False)]
-
-
 def cut_off(scored: DataFrame) -> DataFrame:
     """At most MOST best, each at least RELATIVE of the best and FLOOR. Cut after all filters, as the best depends on them."""
     best = ranked(scored, [F.desc("similarity"), "ord"], MOST, "semantic_rank")
@@ -151,24 +161,30 @@ def fuse(keyword: DataFrame, semantic: DataFrame, limit: int | None = None) -> D
     both = keyword.select("id", "keyword_rank", "score").join(semantic.select("id", "semantic_rank", "similarity"), "id", "full_outer")
     share = lambda c: F.coalesce(F.lit(1.0) / (F.lit(RRF_K) + F.col(c)), F.lit(0.0))
     both = both.withColumn("rrf", share("keyword_rank") + share("semantic_rank")).withColumn("semantic_only", F.col("keyword_rank").isNull())
-    # 1 / rrf grows with the rank
-    return ranked(both, [F.desc("rrf"), F.asc_nulls_last("keyword_rank"), F.asc_nulls_last("semantic_rank")], limit, blocks=[(F.floor(1 / F.col("rrf") / BLOCK), True)])
+    return ranked(both, [F.desc("rrf"), F.asc_nulls_last("keyword_rank"), F.asc_nulls_last("semantic_rank")], limit)
 
 
-def search(index: DataFrame, request: SearchRequest, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
+def search(index: DataFrame, request: SearchRequest, vectors: DataFrame | None = None, query_vector: list[float] | None = None, postings: DataFrame | None = None) -> DataFrame:
     """id and rank of the hits, best first, with what explains them. Without a query: the filtered items in stored order.
 
-    Without vectors or a query vector hybrid search is keyword search.
+    Without vectors or a query vector hybrid search is keyword search. With the postings of the index, words are looked up there
+    and its texts aren't read.
     """
+    from lodestone.plans.postings import posting_scores  # which builds on this module
+
     base = index.where(visible(request.show_expired) & in_facets(request.facets))
     if request.date_from or request.date_to:
         base = base.where(in_dates(request.date_from, request.date_to))
     terms = query_terms(request.q)
     if not terms:
-        return ranked(base.select("id", "ord"), ["ord"], request.limit, blocks=[(place_block(), True)]).select("id", "rank")
+        return ranked(base.select("id", "ord"), ["ord"], request.limit).select("id", "rank")
     mode = request.mode if vectors is not None and query_vector else "keyword"
     if mode != "semantic":
-        keyword = ranked(keyword_scores(base, terms).select("id", "ord", "score"), [F.desc("score"), "ord"], request.limit, "keyword_rank", [(F.col("score"), False), (place_block(), True)])
+        if postings is None:
+            scored = keyword_scores(base, terms).select("id", "ord", "score")
+        else:
+            scored = posting_scores(postings, terms, index).join(base.select("id", "ord"), "id").select("id", "ord", "score")
+        keyword = ranked(scored, [F.desc("score"), "ord"], request.limit, "keyword_rank")
         if mode == "keyword":
             return keyword.select("id", F.col("keyword_rank").alias("rank"), "score")
     semantic = cut_off(semantic_scores(base.select("id", "ord"), vectors, query_vector).select("id", "ord", "similarity"))

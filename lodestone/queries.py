@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import encoding, links, mining, quality, snapshots
+from lodestone.plans import postings as P
 from lodestone.plans import search as S
 from lodestone.session import ship
 from lodestone.sources import views as V
@@ -74,6 +75,11 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.keyword_index(V.documents(spark, sf_dir))
 
 
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index of the documents, written and read back."""
+    return P.built(spark, V.documents(spark, sf_dir))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = S.SearchRequest(q=WORDS)
     out = S.search(index(spark, sf_dir), request, V.vectors(spark, sf_dir), query_vector(spark, sf_dir))
@@ -102,7 +108,7 @@ def f_facet_value_search(spark, sf_dir):
 
 @query(f"SELECT id FROM {FOLDED} WHERE {MATCH}")
 def k_match(spark, sf_dir):
-    return S.keyword_scores(index(spark, sf_dir), X.query_terms(WORDS)).select("id")
+    return P.posting_scores(postings(spark, sf_dir), X.query_terms(WORDS)).select("id")
 
 
 @query("SELECT doc_id AS id, strip_accents(lower(text)) AS folded FROM documents")
@@ -112,12 +118,12 @@ def k_fold(spark, sf_dir):
 
 @query(f"SELECT id, ({SCORE})::BIGINT AS score FROM {FOLDED} WHERE {MATCH}")
 def k_score(spark, sf_dir):
-    return S.keyword_scores(index(spark, sf_dir), X.query_terms(WORDS)).select("id", F.col("score").cast("long").alias("score"))
+    return P.posting_scores(postings(spark, sf_dir), X.query_terms(WORDS))
 
 
 @query(f"SELECT id, row_number() OVER (ORDER BY ({SCORE}) DESC, ord) AS rank FROM {FOLDED} WHERE NOT expired AND {MATCH}")
 def k_rank(spark, sf_dir):
-    return S.search(index(spark, sf_dir), S.SearchRequest(q=WORDS, mode="keyword")).select("id", "rank")
+    return S.search(index(spark, sf_dir), S.SearchRequest(q=WORDS, mode="keyword"), postings=postings(spark, sf_dir)).select("id", "rank")
 
 
 @query(f"SELECT id, row_number() OVER (ORDER BY ord) AS rank FROM {D} WHERE NOT expired")
@@ -135,7 +141,7 @@ def s_cosine(spark, sf_dir):
 def s_rank(spark, sf_dir):
     items = V.documents(spark, sf_dir).where(S.visible(False)).select("id", "ord")
     scored = S.semantic_scores(items, V.vectors(spark, sf_dir), query_vector(spark, sf_dir))
-    return S.ranked(scored, [F.desc("similarity"), "ord"], blocks=S.similarity_blocks()).select("id", "rank", F.round("similarity", 9).alias("similarity"))
+    return S.ranked(scored, [F.desc("similarity"), "ord"]).select("id", "rank", F.round("similarity", 9).alias("similarity"))
 
 
 SEMANTIC = f"""(SELECT id, semantic_rank, similarity FROM (SELECT s.id, similarity, max(similarity) OVER () AS top, row_number() OVER (ORDER BY similarity DESC, s.id) AS semantic_rank
@@ -647,9 +653,12 @@ def f_blocked_or_thin(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), mining.blocked(F.col("text")).alias("blocked"), mining.thin(F.col("text"), F.col("source")).alias("thin"))
 
 
-@query("SELECT r.range::INT AS token_id FROM range(3000) r WHERE r.range NOT IN (SELECT vec_id FROM embeddings)")
+@query("""SELECT doc_id::INT AS token_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION SELECT r.i::INT FROM
+  (SELECT unnest(range(0, (SELECT max(vec_id) + 1 FROM embeddings))) AS i) r WHERE r.i NOT IN (SELECT vec_id FROM embeddings)""")
 def s_missing_ids(spark, sf_dir):
-    return encoding.missing_ids(V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("token_id")), 3000)
+    """The size that the vocabulary declares is that of documents, or of the vectors if they are more."""
+    sizes = [V.table(spark, sf_dir, t).agg(F.max(c)).first()[0] for t, c in (("documents", "doc_id"), ("embeddings", "vec_id"))]
+    return encoding.missing_ids(V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("token_id")), 1 + max((x for x in sizes if x is not None), default=-1))
 
 
 @query("SELECT doc_id AS id, trim(trim(split_part(text, '.', 1)) || '. ' || trim(text), '. ') AS text FROM documents")
@@ -660,8 +669,7 @@ def s_item_text(spark, sf_dir):
 @query("SELECT d.doc_id AS id, row_number() OVER (ORDER BY coalesce(l.quality, 0), d.doc_id) AS rank FROM documents d LEFT JOIN labels l USING (doc_id)")
 def o_stored_order(spark, sf_dir):
     numbered = V.table(spark, sf_dir, "documents").select("doc_id").join(V.table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), "quality")
-    blocks = [(F.coalesce("quality", F.lit(0)), True), (S.place_block("id"), True)]
-    return S.ranked(numbered, snapshots.stored_order(F.col("quality"), F.col("id")), blocks=blocks).select("id", F.col("rank").cast("long").alias("rank"))
+    return S.ranked(numbered, snapshots.stored_order(F.col("quality"), F.col("id"))).select("id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT 2::BIGINT AS changed, 1::BIGINT AS multi_link, 1::BIGINT AS primary_fixed")
@@ -717,11 +725,11 @@ def m_export(spark, sf_dir):
 
 
 @_report("v_fields", """SELECT doc_id AS id, f AS message FROM (SELECT doc_id, unnest(list_filter([CASE WHEN NOT regexp_matches(doc_id::VARCHAR, '^[0-9]{1,3}$') THEN 'id' END, CASE WHEN length(split_part(text, '.', 1)) < 1 THEN 'title' END,
-  CASE WHEN lang NOT IN ('en', 'de') THEN 'contentType' END], lambda x: x IS NOT NULL)) AS f FROM documents) ORDER BY id, f LIMIT 1000000""")
+  CASE WHEN lang NOT IN ('en', 'de') THEN 'contentType' END], lambda x: x IS NOT NULL)) AS f FROM documents)""")
 def _v_fields(spark, sf_dir):
     items = V.documents(spark, sf_dir)
     rules = quality.schema_fields(items.drop("topics").columns, "^[0-9]{1,3}$", ["en", "de"], [])
-    return quality.schema_violations(items, rules, 1_000_000).select("id", "message")
+    return quality.schema_violations(items, rules, None).select("id", "message")
 
 
 @_report("v_secrets_anywhere", f"SELECT id, 'secret shape ' || CASE WHEN regexp_matches(summary, 'sk-[A-Za-z0-9]{{20,}}') THEN 0 WHEN regexp_matches(summary, 'secret_[A-Za-z0-9]{{20,}}') THEN 1 ELSE 2 END AS message FROM {_DIRTY} WHERE regexp_matches(summary, 'sk-[A-Za-z0-9]{{20,}}|secret_[A-Za-z0-9]{{20,}}|AKIA[0-9A-Z]{{16}}')")

@@ -1,4 +1,4 @@
-"""Workers that can import this package."""
+"""Workers that can import this package, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -16,3 +16,14 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for tables that a job writes for itself: spark.checkpoint.dir, else the context's. Where neither is set, as in
+    tests on one machine, it lies in the warehouse; a cluster must name one, as its machines share no other folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/catalogue"
