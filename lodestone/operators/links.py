@@ -112,3 +112,29 @@ def anchor_spans(text: pd.Series, anchors: pd.Series, urls: pd.Series) -> pd.Ser
         return sorted(taken, key=lambda s: s["start"])
 
     return pd.Series([spans(*x) for x in zip(text, anchors, urls)])
+
+
+#: An anchor with its attributes and what stands in it; an address between quotes of either kind, or bare.
+ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
+ADDRESS = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def resolved_address(base: Column, href: Column) -> Column:
+    """An anchor's address as seen from its page's: absolute ones stay, others take the page's scheme, host, folder or path."""
+    page = F.regexp_replace(base, r"#.*$", "")
+    origin = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)", 1)
+    path = F.regexp_replace(page, r"\?.*$", "")
+    folder = F.when(F.length(path) > F.length(origin), F.regexp_replace(path, r"[^/]*$", "")).otherwise(F.concat(origin, F.lit("/")))
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(href == "", page).when(href.startswith("//"), F.concat(F.regexp_extract(origin, "^([^:]*:)", 1), href))
+        .when(href.startswith("/"), F.concat(origin, href)).when(href.startswith("#"), F.concat(page, href)).when(href.startswith("?"), F.concat(path, href)).otherwise(F.concat(folder, href))
+    )
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(id, pos, href, anchorText) of all anchors in pages (id, url, html) that have an address: the address in full, and the text in
+    the anchor without markup. Within the row; a null page has none."""
+    each = pages.select("id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(f"({ANCHOR})"))).alias("pos", "anchor"))
+    href = F.trim(F.concat(*[F.regexp_extract("anchor", ADDRESS, i) for i in (1, 2, 3)]))
+    text = F.trim(F.regexp_replace(F.regexp_replace("anchor", "<[^>]*>", ""), r"\s+", " "))
+    return each.where(F.col("anchor").rlike(ADDRESS)).select("id", "pos", resolved_address(F.col("url"), href).alias("href"), text.alias("anchorText"))

@@ -36,19 +36,6 @@ def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFra
     return spark.createDataFrame(rows, schema)
 
 
-def values_sql(names: list[str], rows: list[tuple]) -> str:
-    def lit(x):
-        if x is None:
-            return "NULL"
-        if isinstance(x, bool):
-            return str(x).upper()
-        if isinstance(x, list):
-            return "[" + ", ".join(map(lit, x)) + "]"
-        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS t({', '.join(names)})"
-
-
 # -- items -----------------------------------------------------------------------------------------------------------
 D = """(SELECT d.doc_id AS id, d.doc_id AS ord, split_part(d.text, '.', 1) AS title, d.text AS summary, d.lang AS contentType, [d.source] AS topics,
   coalesce(l.toxic = 1, false) AS expired FROM documents d LEFT JOIN labels l USING (doc_id))"""
@@ -179,15 +166,6 @@ def a_list_facet(spark, sf_dir):
     return S.facet_counts(V.conversations(spark, sf_dir), {"topics": True}).select("value", "n")
 
 
-VARIANTS = ["U.S.", "US", "us", "USA", "Québec", "Quebec", "New York", "new-york", None]
-
-
-@query(f"SELECT key, array_to_string(list_sort(list(value)), '|') AS variants FROM (SELECT DISTINCT value, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS key FROM {values_sql(['value'], [(v,) for v in VARIANTS])} WHERE value IS NOT NULL) GROUP BY key HAVING count(*) > 1")
-def a_near_dup(spark, sf_dir):
-    out = quality.near_duplicate_values(literal_rows(spark, "value string", [(v,) for v in VARIANTS]))
-    return out.select("key", F.array_join("variants", "|").alias("variants"))
-
-
 @query("SELECT text AS id, doc_id AS ord, first FROM (SELECT text, doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id > first")
 def a_dup_ids(spark, sf_dir):
     return quality.duplicate_index(V.table(spark, sf_dir, "documents").select(F.col("text").alias("id"), F.col("doc_id").alias("ord")))
@@ -323,71 +301,7 @@ def x_matching_values(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(hits, "|").alias("hits"))
 
 
-TOPIC_ROWS = [(1, ["Soil", "Trials", "Data", "Trial design", "Policy"]), (2, []), (3, ["trial"]), (4, ["a", "b", "c", "d", "e"])]
-
-
-@query("SELECT * FROM (VALUES (1, 'Trials|Trial design|Soil|Data'), (2, ''), (3, 'trial'), (4, 'a|b|c|d')) AS t(id, topics)")
-def x_topics_order(spark, sf_dir):
-    rows = literal_rows(spark, "id int, topics array<string>", TOPIC_ROWS)
-    return rows.select("id", F.array_join(X.topics_in_order(F.col("topics"), ["trial"]), "|").alias("topics"))
-
-
 # -- links -----------------------------------------------------------------------------------------------------------
-PEOPLE = [(1, "Ann; Bob ;ann; ;Cy"), (2, ""), (3, None)]
-
-
-@query("SELECT * FROM (VALUES (1, 'Ann|Bob|Cy'), (2, ''), (3, '')) AS t(id, people)")
-def l_people(spark, sf_dir):
-    rows = literal_rows(spark, "id int, people string", PEOPLE)
-    return rows.select("id", F.array_join(X.distinct_ignoring_case(X.split_list(F.col("people"))), "|").alias("people"))
-
-
-DOI_ROWS = [(1, "10.1/a; 10.1/b", "x;y", None), (2, "10.1/a;10.1/b", "x", None), (3, None, None, "https://DOI.org/10.9/z"), (4, "10.1/a", "x", "u"), (5, None, None, None)]
-
-
-@query("SELECT * FROM (VALUES (1, '10.1/a|10.1/b', 2), (2, '10.1/a|10.1/b', NULL), (3, '10.9/z', NULL), (4, '10.1/a', NULL), (5, '', NULL)) AS t(id, dois, papers)")
-def l_doi(spark, sf_dir):
-    rows = literal_rows(spark, "id int, doi string, citations string, url string", DOI_ROWS)
-    papers = X.cited_papers(F.col("doi"), F.col("citations"))
-    return rows.select("id", F.array_join(X.dois(F.col("doi"), F.col("url")), "|").alias("dois"), F.when(papers.isNotNull(), F.size(papers)).alias("papers"))
-
-
-GATE = "safelinks.example.org"
-
-
-@query("SELECT * FROM (VALUES (1, 'https://a.org/x?y=1'), (2, 'https://b.org/?url=c'), (3, 'https://g.safelinks.example.org/?d=1')) AS t(id, url)")
-def l_unwrap(spark, sf_dir):
-    rows = [(1, f"https://g.{GATE}/?url=https%3A%2F%2Fa.org%2Fx%3Fy%3D1&data=2"), (2, "https://b.org/?url=c"), (3, f"https://g.{GATE}/?d=1")]
-    return literal_rows(spark, "id int, url string", rows).select("id", X.unwrap(F.col("url"), GATE).alias("url"))
-
-
-SHEET = [(1, "u1", "Live", None, None), (2, "u2", "dead", None, None), (3, "u3", "DEAD ", "", "https://web.archive.org/u3"), (4, "u4", "live", "Safe to drop", None), (5, "u5", "Closed", None, None), (6, "u6", "gated (login)", None, None), (7, "u7", "Unreachable", None, "https://n.org"), (8, "u8", "odd", None, None), (9, "u9", "dead (domain hijacked)", None, None), (10, "u1", "dead", None, None), (11, "", "live", None, None)]
-_S = "lower(trim(coalesce(status, '')))"
-
-
-@query(f"""SELECT url, CASE WHEN coalesce(replacement, '') <> '' THEN replacement WHEN gone THEN NULL WHEN alive THEN url WHEN {_S} LIKE 'dead%' THEN NULL ELSE url END AS final,
-  CASE WHEN coalesce(replacement, '') <> '' THEN CASE WHEN contains(replacement, 'web.archive.org') THEN 'archived' ELSE 'alternate' END WHEN gone THEN 'unavailable' WHEN alive THEN 'live'
-  WHEN {_S} LIKE 'dead%' THEN 'unavailable' ELSE 'live' END AS status FROM (SELECT *, lower(trim(coalesce(recovery, ''))) = 'safe to drop' OR {_S} IN ('unresolvable wrapper', 'unreachable', 'email contact, not a link')
-  OR {_S} LIKE 'dead (domain hijacked)%' AS gone, {_S} LIKE 'live%' OR {_S} = 'closed' OR {_S} LIKE 'gated%' AS alive, row_number() OVER (PARTITION BY url ORDER BY ord DESC) AS r
-  FROM {values_sql(['ord', 'url', 'status', 'recovery', 'replacement'], SHEET)} WHERE url <> '') WHERE r = 1""")
-def l_resolve(spark, sf_dir):
-    return links.resolutions(literal_rows(spark, "ord long, url string, status string, recovery string, replacement string", SHEET))
-
-
-@query("SELECT * FROM (VALUES (1, 'b', 'live', 2), (2, 'old', 'live', NULL), (3, 'x', 'alternate', 1), (4, 'keep', 'live', NULL)) AS t(id, url, urlStatus, n)")
-def l_primary(spark, sf_dir):
-    items = literal_rows(spark, "id int, url string, urlStatus string, links array<struct<url:string,anchorText:string,urlStatus:string>>", [(1, "a", "live", None), (2, "old", "live", None), (3, "q", "live", None), (4, "keep", "live", None)])
-    found = literal_rows(spark, "id int, pos int, href string, unwrapped string, anchorText string", [(1, 0, "a", "a", "A"), (1, 1, "b", "b", "B"), (2, 0, "gone", "gone", "G"), (3, 0, "w", "y", "Y")])
-    known = literal_rows(spark, "url string, final string, status string", [("gone", None, "unavailable"), ("y", "x", "alternate")])
-    wanted = literal_rows(spark, "id int, url string", [(1, "b"), (3, "none")])
-    out = links.rebuilt(items, links.resolved_links(found, known), wanted)
-    return out.select("id", "url", "urlStatus", F.when(F.col("links").isNotNull(), F.size("links")).alias("n"))
-
-
-@query("SELECT * FROM (VALUES (1, 'r', 'alternate'), (2, 'u', 'live'), (3, NULL, 'unavailable'), (4, 'https://web.archive.org/u', 'archived')) AS t(id, url, status)")
-def l_choice(spark, sf_dir):
-    rows = literal_rows(spark, "id int, url string, replacement string", [(1, "u", "r"), (2, "u", ""), (3, None, None), (4, "u", "https://web.archive.org/u")])
-    return rows.select("id", links.chosen_url(F.col("url"), F.col("replacement")).alias("c")).select("id", "c.url", "c.status")
 
 
 @query(f"SELECT o_orderkey AS id, o_orderpriority = '1-URGENT' AND date_diff('day', o_orderdate::DATE, DATE '{TODAY}') > 90 AS expired FROM orders")
@@ -448,46 +362,6 @@ def _v_ids(spark, sf_dir):
     return quality.ids(V.table(spark, sf_dir, "documents").select(F.col("text").alias("id"), F.col("doc_id").alias("ord"))).select("id", "message")
 
 
-DIRTY = [
-    (1, "2026-01-05", None, "https://a.org", "live", "Ann", '{"id":1,"title":" ","summary":"","contentType":null,"topics":[]}'),
-    (2, "2026-99-99", "05/01/2026", None, "live", "sk-" + "a" * 24, '{"id":2,"title":"t","summary":"","contentType":"x","topics":[],"locations":[],"croppingSystems":[],"Curator Notes ":1}'),
-    (3, "Jan 2026", None, "ftp://a.org", "live", "AKIA" + "A" * 16, '{"id":3,"title":"t","summary":"","contentType":"x","topics":[],"locations":[],"croppingSystems":[],"deep":{"internalNotes":"x"}}'),
-    (4, None, None, None, "unavailable", "cafÃ© â€œ", '{"id":4,"title":"t","summary":"","contentType":"x","topics":[],"locations":[],"croppingSystems":[]}'),
-    (5, "", None, "HTTP://b.org/?utm_source=x&utm_campaign=y", None, "secret_" + "b" * 22, '{"id":5}'),
-]
-DIRTY_NAMES = ["id", "publishDate", "createdAt", "url", "urlStatus", "summary", "raw"]
-_DIRTY = values_sql(DIRTY_NAMES, DIRTY)
-
-
-def _dirty(spark):
-    return literal_rows(spark, "id int, publishDate string, createdAt string, url string, urlStatus string, summary string, raw string", DIRTY).withColumn("ord", F.col("id").cast("long"))
-
-
-@_report("v_dates", f"SELECT id, 'bad publishDate' AS message FROM {_DIRTY} WHERE NOT regexp_matches(publishDate, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') UNION ALL SELECT id, 'bad createdAt' FROM {_DIRTY} WHERE NOT regexp_matches(createdAt, '^\\d{{4}}-\\d{{2}}-\\d{{2}}')")
-def _v_dates(spark, sf_dir):
-    return quality.dates(_dirty(spark), "publishDate", "createdAt").select("id", "message")
-
-
-@_report("v_urls", f"SELECT id, 'no url, yet not unavailable' AS message FROM {_DIRTY} WHERE url IS NULL AND coalesce(urlStatus, '') <> 'unavailable' UNION ALL SELECT id, 'not a web address' FROM {_DIRTY} WHERE NOT regexp_matches(url, '(?i)^https?://')")
-def _v_urls(spark, sf_dir):
-    return quality.urls(_dirty(spark)).select("id", "message")
-
-
-@_report("v_required", "SELECT * FROM (VALUES (1, 'missing locations'), (1, 'missing croppingSystems'), (1, 'blank title'), (5, 'missing title'), (5, 'missing summary'), (5, 'missing contentType'), (5, 'missing topics'), (5, 'missing locations'), (5, 'missing croppingSystems')) AS t(id, message)")
-def _v_required(spark, sf_dir):
-    return quality.required(_dirty(spark)).select("id", "message")
-
-
-@_report("v_secrets", f"SELECT id, 'secret shape ' || CASE WHEN regexp_matches(summary, 'sk-[A-Za-z0-9]{{20,}}') THEN 0 WHEN regexp_matches(summary, 'secret_[A-Za-z0-9]{{20,}}') THEN 1 WHEN regexp_matches(summary, 'AKIA[0-9A-Z]{{16}}') THEN 2 END AS message FROM {_DIRTY} WHERE regexp_matches(summary, 'sk-[A-Za-z0-9]{{20,}}|secret_[A-Za-z0-9]{{20,}}|AKIA[0-9A-Z]{{16}}')")
-def _v_secrets(spark, sf_dir):
-    return quality.secrets(_dirty(spark), "summary").select("id", "message")
-
-
-@_report("v_internal_keys", "SELECT * FROM (VALUES (2, 'internal key'), (3, 'internal key')) AS t(id, message)")
-def _v_internal(spark, sf_dir):
-    return quality.internal_keys(_dirty(spark)).select("id", "message")
-
-
 @_report("v_vocabulary", "SELECT doc_id AS id, 'contentType: ' || lang AS message FROM documents WHERE lang NOT IN ('en', 'de')")
 def _v_vocabulary(spark, sf_dir):
     return quality.vocabulary(V.documents(spark, sf_dir), "contentType", ["en", "de"], False).select("id", "message")
@@ -514,104 +388,22 @@ def _v_count(spark, sf_dir):
     return quality.declared_count(V.documents(spark, sf_dir), -1).select("id", "message")
 
 
-KEYWORDS = [(1, ["a", "A"], "2026-01-01", "manual", "10.1000/x;bad"), (2, ["new"], None, "odd", "10.1000/x"), (3, None, "2026-01-01", None, None), (4, [" "], "2026-01-01", None, "10.1000/y"), (5, [f"k{i}" for i in range(21)], "2026-01-01", "doi:10.1", None), (6, ["Said"], "2026-01-01", "scraped-page", None)]
-
-
-def _keyed(spark):
-    return literal_rows(spark, "id int, pageKeywords array<string>, pageKeywordsUpdatedAt string, pageKeywordsSource string, doi string", KEYWORDS)
-
-
-@_report("p_pairing", "SELECT * FROM (VALUES (2, 'keywords and time don''t pair'), (3, 'keywords and time don''t pair'), (4, 'no source'), (2, 'unknown source')) AS t(id, message)")
-def _p_pairing(spark, sf_dir):
-    return quality.keyword_pairing(_keyed(spark)).select("id", "message")
-
-
-@_report("p_lists", "SELECT * FROM (VALUES (5, 'too many'), (4, 'blank'), (1, 'repeated'), (1, 'already said'), (6, 'already said')) AS t(id, message)")
-def _p_lists(spark, sf_dir):
-    return quality.keyword_lists(_keyed(spark), F.lit("what was said before")).select("id", "message")
-
-
-@_report("p_identifiers", "SELECT 1 AS id, 'bad: bad' AS message")
-def _p_identifiers(spark, sf_dir):
-    return quality.identifiers(_keyed(spark)).select("id", "message")
-
-
-@_report("p_wrapped", f"SELECT id, m AS message FROM {_DIRTY}, (SELECT unnest(['mimecastprotect.com', 'list-manage.com', 'safelinks.protection.outlook.com', '__cf_chl_tk', 'utm_source', 'utm_campaign']) AS m) WHERE contains(url, m)")
-def _p_wrapped(spark, sf_dir):
-    return quality.wrapped_urls(_dirty(spark)).select("id", "message")
-
-
-@_report("p_mojibake", "SELECT 4 AS id, 'marker 0' AS message")
-def _p_mojibake(spark, sf_dir):
-    return quality.mojibake(_dirty(spark).select("id", F.col("summary").alias("value"))).select("id", "message")
-
-
-@query("SELECT '10.1000/x' AS doi, '1|2' AS ids")
-def p_shared(spark, sf_dir):
-    return quality.shared_identifiers(_keyed(spark)).select("doi", F.array_join(F.col("ids").cast("array<string>"), "|").alias("ids"))
-
-
 @query("SELECT count(*) AS errors, 0::BIGINT AS warnings, CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT text, doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id > first")
 def g_gate(spark, sf_dir):
     return quality.verdict(quality.ids(V.table(spark, sf_dir, "documents").select(F.col("text").alias("id"), F.col("doc_id").alias("ord"))))
 
 
-ROUTES = [(1, ["d"], ["v"], "x" * 400, "", ["p"], False), (2, [], ["v"], "x" * 400, "", ["p"], False), (3, [], [], "Just a moment", "", ["p"], False), (4, [], [], "short", "m", ["p"], False), (5, None, None, "x" * 400, "", ["p"], False), (6, None, None, None, None, None, True)]
-
-
-@query("SELECT * FROM (VALUES (1, 'ok', 'doi', 'd'), (2, 'ok', 'video', 'v'), (3, 'blocked', NULL, NULL), (4, 'low_yield', NULL, NULL), (5, 'ok', 'page', 'p'), (6, 'failed', NULL, NULL)) AS t(id, status, via, keywords)")
-def m_routes(spark, sf_dir):
-    rows = literal_rows(spark, "id int, doi_terms array<string>, video_terms array<string>, page_text string, page_meta string, page_terms array<string>, failed boolean", ROUTES)
-    return mining.routed(rows).withColumn("keywords", F.array_join("keywords", "|"))
-
-
 # -- rules that the queries above don't show --------------------------------------------------------------------------
 @query(_top_sql(WORDS_SQL, 15))
 def t_abstract(spark, sf_dir):
     return mining.abstract_words(_mined(spark, sf_dir)).select("id", "term", "n", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT * FROM (VALUES (1, 'deep soil carbon'), (2, ''), (3, 'a late c')) AS t(id, text)")
-def t_inverted_index(spark, sf_dir):
-    rows = literal_rows(spark, "id int, index map<string,array<int>>", [(1, {"soil": [1], "deep": [0], "carbon": [2]}), (2, {}), (3, {"c": [2], "a": [0], "b": [1], "late": [1]})])
-    return rows.select("id", X.inverted_index_text(F.col("index")).alias("text"))
-
-
-@query("SELECT * FROM (VALUES (1, 'Soil carbon|Maize'), (2, '')) AS t(id, names)")
-def t_concepts(spark, sf_dir):
-    works = [(1, [("Soil carbon (agronomy)", 0.9, 3), ("Science", 0.9, 0), ("Rye", 0.4, 2), ("Maize", 0.5, 1)]), (2, [])]
-    rows = literal_rows(spark, "id int, concepts array<struct<display_name:string,score:double,level:int>>", works)
-    return rows.select("id", F.array_join(mining.concepts(F.col("concepts")), "|").alias("names"))
-
-
-@query("SELECT * FROM (VALUES (1, 'New|other'), (2, '')) AS t(id, terms)")
-def t_merged(spark, sf_dir):
-    rows = literal_rows(spark, "id int, terms array<string>, blob string", [(1, ["New", " ", "said", "NEW ", "other"], "what was said"), (2, [], "")])
-    return rows.select("id", F.array_join(mining.merged(F.col("terms"), F.col("blob")), "|").alias("terms"))
-
-
-@query("SELECT * FROM (VALUES (1, 'cover crop|rye'), (2, 'crop')) AS t(id, terms)")
-def t_covered_words(spark, sf_dir):
-    rows = literal_rows(spark, "id int, terms array<string>", [(1, ["Crop", "cover crop", "rye"]), (2, ["crop"])])
-    return rows.select("id", F.array_join(mining.without_covered_words(F.col("terms")), "|").alias("terms"))
-
-
 @query("SELECT o_orderkey AS id, strftime(o_orderdate, '%b %Y') AS month FROM orders")
 def x_month(spark, sf_dir):
     return V.orders(spark, sf_dir).select("id", X.month(F.col("publishDate")).alias("month"))
 
 
-@query("SELECT * FROM (VALUES (1, 'https://doi.org/10.1/a'), (2, 'https://doi.org/10.1/b'), (3, NULL)) AS t(id, url)")
-def x_doi_url(spark, sf_dir):
-    return literal_rows(spark, "id int, doi string", [(1, "10.1/a"), (2, "HTTP://dx.doi.org/10.1/b"), (3, None)]).select("id", X.doi_url(F.col("doi")).alias("url"))
-
-
-@query("SELECT * FROM (VALUES (1, 'view'), (2, 'view archived'), (3, 'no link'), (4, NULL), (5, NULL)) AS t(id, action)")
-def x_call_to_action(spark, sf_dir):
-    rows = literal_rows(spark, "id int, url string, dump boolean, n int, status string", [(1, "u", False, 1, "live"), (2, "u", False, 0, "archived"), (3, "", False, 0, "unavailable"), (4, "u", True, 1, "live"), (5, "u", False, 2, "live")])
-    return rows.select("id", links.call_to_action(F.col("url"), F.col("dump"), F.col("n"), F.col("status")).alias("action"))
-
-
 _SHOWS = f"len(list_filter(regexp_extract_all({{}}, '{X.DISPLAY_WORD.replace(chr(39), chr(39) * 2)}'), lambda w: regexp_matches(w, '(?i)^{X.display_match(WORDS.split()).replace(chr(39), chr(39) * 2)}$'))) > 0"
 
 
@@ -630,13 +422,6 @@ def x_hidden_matches(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(hints, "|").alias("hints"))
 
 
-@query("SELECT * FROM (VALUES (1, '9-13 u', 'where or here'), (2, '0-4 u,5-9 w', 'rye, rye.'), (3, '', '')) AS t(id, spans, text)")
-def x_anchors(spark, sf_dir):
-    rows = literal_rows(spark, "id int, text string, anchors array<string>, urls array<string>", [(1, "where or here", ["here"], ["u"]), (2, "rye, rye.", ["rye,", "rye."], ["u", "w"]), (3, "", ["a"], ["u"])])
-    spans = F.transform("s", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit(" "), s["url"]))
-    return rows.withColumn("s", links.anchor_spans("text", "anchors", "urls")).select("id", F.array_join(spans, ",").alias("spans"), "text")
-
-
 @query("SELECT role AS status, count(*) AS n FROM conversations GROUP BY role")
 def a_status_counts(spark, sf_dir):
     return mining.status_counts(V.table(spark, sf_dir, "conversations").select(F.col("role").alias("status")))
@@ -672,14 +457,6 @@ def o_stored_order(spark, sf_dir):
     return S.ranked(numbered, snapshots.stored_order(F.col("quality"), F.col("id"))).select("id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT 2::BIGINT AS changed, 1::BIGINT AS multi_link, 1::BIGINT AS primary_fixed")
-def l_counters(spark, sf_dir):
-    items = literal_rows(spark, "id int, url string, urlStatus string, links array<struct<url:string,anchorText:string,urlStatus:string>>", [(1, "a", "live", None), (2, "q", "live", None), (3, "keep", "live", None)])
-    found = literal_rows(spark, "id int, pos int, href string, unwrapped string, anchorText string", [(1, 0, "a", "a", "A"), (1, 1, "b", "b", "B"), (2, 0, "w", "y", "Y")])
-    resolved = links.resolved_links(found, literal_rows(spark, "url string, final string, status string", [("y", "x", "alternate")]))
-    return links.rebuild_counters(items, links.rebuilt(items, resolved, literal_rows(spark, "id int, url string", [(9, "none")])), resolved)
-
-
 @query("SELECT doc_id AS id, lower(concat_ws(' ', split_part(text, '.', 1), coalesce(text, ''), source, lang)) AS blob FROM documents")
 def t_known(spark, sf_dir):
     return mining.with_known(V.documents(spark, sf_dir)).select("id", "blob")
@@ -732,17 +509,4 @@ def _v_fields(spark, sf_dir):
     return quality.schema_violations(items, rules, None).select("id", "message")
 
 
-@_report("v_secrets_anywhere", f"SELECT id, 'secret shape ' || CASE WHEN regexp_matches(summary, 'sk-[A-Za-z0-9]{{20,}}') THEN 0 WHEN regexp_matches(summary, 'secret_[A-Za-z0-9]{{20,}}') THEN 1 ELSE 2 END AS message FROM {_DIRTY} WHERE regexp_matches(summary, 'sk-[A-Za-z0-9]{{20,}}|secret_[A-Za-z0-9]{{20,}}|AKIA[0-9A-Z]{{16}}')")
-def _v_secrets_anywhere(spark, sf_dir):
-    return quality.secrets(_dirty(spark)).select("id", "message")
-
-
-@_report("p_mojibake_anywhere", "SELECT 4 AS id, 'marker 0' AS message")
-def _p_mojibake_anywhere(spark, sf_dir):
-    return quality.mojibake(quality.item_strings(_dirty(spark))).select("id", "message")
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) AS t(id, dump)")
-def x_citation_dump(spark, sf_dir):
-    rows = literal_rows(spark, "id int, doi string, citations string, summary string", [(1, "10.1/a;10.1/b", "x;y", "x 10.1/b y"), (2, "10.1/a;10.1/b", "x;y", "words"), (3, "10.1/a", "x", "10.1/a")])
-    return rows.select("id", X.citation_dump(F.col("summary"), X.cited_papers(F.col("doi"), F.col("citations"))).alias("dump"))
+from lodestone import derived  # noqa: E402, F401  registers its queries here

@@ -185,3 +185,19 @@ def test_stream(spark, tmp_path):
     q = index_stream(spark.readStream.schema(items(spark).schema).parquet(source), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+@pytest.mark.parametrize("base,href,want", [
+    ("http://a.org/x/y?q=1#f", "z", "http://a.org/x/z"), ("http://a.org", "z", "http://a.org/z"), ("http://a.org/x/", "/z", "http://a.org/z"), ("https://a.org/x", "//b.org/z", "https://b.org/z"),
+    ("http://a.org/x?q=1#f", "#top", "http://a.org/x?q=1#top"), ("http://a.org/x?q=1", "?p=2", "http://a.org/x?p=2"), ("http://a.org/x", "mailto:a@b.org", "mailto:a@b.org"), ("http://a.org/x#f", "", "http://a.org/x"),
+])
+def test_addresses_of_anchors(spark, base, href, want):
+    assert one(spark, links.resolved_address(F.col("b"), F.col("h")), b=base, h=href) == want
+
+
+def test_anchors_of_pages(spark):
+    html = """<A class='x' HREF='b c'>one <b>two</b>
+      </A><a name="n">no</a><a data-href="q" href=bare>x</a><abbr href="no">y</abbr><a href="/z" title="t"></a>"""
+    pages = spark.createDataFrame([(1, "http://a.org/x", html), (2, "http://a.org/x", None), (3, None, "<a href='k'>z</a>")], "id long, url string, html string")
+    got = [tuple(r) for r in links.page_links(pages).orderBy("id", "pos").collect()]
+    assert got == [(1, 0, "http://a.org/b c", "one two"), (1, 2, "http://a.org/bare", "x"), (1, 3, "http://a.org/z", ""), (3, 0, None, "z")]
