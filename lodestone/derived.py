@@ -6,11 +6,15 @@ operators here, in SQL for DuckDB there.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import links, mining, quality
+from lodestone.operators import embedding_build, encoding, links, mining, quality
 from lodestone.queries import _report, _SHOWS, WORDS, query
+from lodestone.session import shared_dir
+from lodestone.sources import catalogue
 from lodestone.sources import views as V
 
 
@@ -369,3 +373,35 @@ _PAGE = " OR ".join(f"contains(lower(page_text), {_q(m)})" for m in mining.BLOCK
   WHEN length(page_text) < {mining.THIN_BODY} AND length(page_meta) < {mining.THIN_META} OR page_terms IS NULL THEN 'low_yield' ELSE 'ok' END AS status FROM {_from('documents', ROUTES)})""")
 def m_routes(spark, sf_dir):
     return mining.routed(V.table(spark, sf_dir, "documents").selectExpr(*ROUTES)).withColumn("keywords", F.array_join("keywords", "|"))
+
+
+# -- embedding build -------------------------------------------------------------------------------------------------
+#: A model of the documents' own most frequent words: so many whole words, so many numbers each.
+VOCABULARY, DIM = 200, 8
+_TOKENS = f"regexp_extract_all(lower(strip_accents(trim(trim(split_part(text, '.', 1)) || '. ' || trim(text), '. '))), {_q(f'[{encoding.PUNCTUATION}]|[^ {chr(92)}n{encoding.PUNCTUATION}]+')})"
+_WORDS_OF = f"(SELECT doc_id AS id, unnest({_TOKENS}) AS token FROM documents)"
+_VOCABULARY = f"(SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS token_id FROM {_WORDS_OF} GROUP BY token QUALIFY token_id <= {VOCABULARY})"
+_SUMS = ", ".join(f"sum((coalesce(token_id, 0) * {k} % 11 - 5) * 0.5::DOUBLE) / count(*) AS m{k}" for k in range(1, DIM + 1))
+_NORM = f"sqrt({' + '.join(f'm{k} * m{k}' for k in range(1, DIM + 1))})"
+
+
+@query(f"""SELECT id, array_to_string([{', '.join(f'round(m{k} / ({_NORM} + 1e-32), 6)::DECIMAL(9, 6)' for k in range(1, DIM + 1))}], ',') AS vector, id % 3 = 0 OR id % 100 = 1 AS encoded
+  FROM (SELECT id, {_SUMS} FROM {_WORDS_OF} LEFT JOIN {_VOCABULARY} USING (token) GROUP BY id) UNION ALL
+  SELECT doc_id, '{','.join(['0.000000'] * DIM)}', doc_id % 3 = 0 OR doc_id % 100 = 1 FROM documents WHERE doc_id NOT IN (SELECT id FROM {_WORDS_OF})""")
+def s_build(spark, sf_dir):
+    """Two builds of the documents' vectors: at first a third of the items isn't there yet and a hundredth has another text; the second
+    encodes these alone. The vocabulary is of fixed size and goes along with the encoder."""
+    items = V.documents(spark, sf_dir).select("id", "title", "summary")
+    tokens = lambda text: encoding.basic_tokens(text)
+    counted = items.select(F.explode(tokens(encoding.item_text(F.col("title"), F.col("summary")))).alias("token")).groupBy("token").count()
+    vocabulary = {r.token: n + 1 for n, r in enumerate(counted.orderBy(F.desc("count"), "token").limit(VOCABULARY).collect())}
+    rows = spark.createDataFrame([(i, [(i * k) % 11 - 5 for k in range(1, DIM + 1)], 0.5) for i in range(len(vocabulary) + 1)], "token_id int, q array<tinyint>, scale float")
+    pieces = encoding.word_pieces(encoding.Model(DIM, 0), vocabulary)
+    encoder = lambda texts: encoding.encode(texts.select("id", pieces(tokens(F.col("text"))).alias("tokens")), rows)
+    store = catalogue.Snapshots(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    before = items.where("id % 3 <> 0").withColumn("summary", F.when(F.col("id") % 100 == 1, "another text").otherwise(F.col("summary")))
+    for version, some in (("2026-01", before), ("2026-02", items)):
+        if not embedding_build.build(store, some, encoder, "words", DIM, version):
+            raise ValueError("items and vectors have different ids")
+    vector = F.array_join(F.transform("vector", lambda x: F.round(x, 6).cast("decimal(9,6)").cast("string")), ",")
+    return store.read("2026-02").select("id", vector.alias("vector"), (F.col("encoded_in") == "2026-02").alias("encoded"))
