@@ -87,6 +87,21 @@ def _v_internal_keys(spark, sf_dir):
     return quality.internal_keys(_items(spark, sf_dir)).select("id", "message")
 
 
+def _places(spark, sf_dir):
+    """The items' JSON, each in an array in an object in an array."""
+    return quality.walk(_items(spark, sf_dir).selectExpr("id", "concat('[{\"in\":[', raw, ']}]') AS raw"))
+
+
+_TREE = f"""(SELECT i.id AS id, j.fullkey AS path, CASE WHEN NOT regexp_matches(j.key, '^[0-9]+$') THEN j.key END AS key, CASE WHEN j.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN j.value ->> '$' END AS value
+  FROM (SELECT id, '[{{"in":[' || raw || ']}}]' AS raw FROM {_ITEMS}) i, json_tree(i.raw) j)"""
+
+
+@query(f"SELECT id, key, value, count(*) AS n FROM {_TREE} GROUP BY ALL")
+def v_walk(spark, sf_dir):
+    """All places in the items' JSON by key and value."""
+    return _places(spark, sf_dir).groupBy("id", "key", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 _MARKERS = [*quality.WRAPPERS, *quality.TRACKERS]
 
 

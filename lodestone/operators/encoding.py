@@ -14,6 +14,10 @@ from lodestone.functions.text import SPACE, fold
 PUNCTUATION = r"!-/:-@\[-`{-~\p{P}"
 
 
+#: Rows of a token table that are broadcast at most.
+MOST_TOKENS = 1 << 18
+
+
 @dataclass(frozen=True)
 class Model:
     dim: int
@@ -62,7 +66,9 @@ def encode(items: DataFrame, token_table: DataFrame) -> DataFrame:
     of executors.
     """
     counted = items.select("id", F.explode("tokens").alias("token_id")).groupBy("id", "token_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.join(F.broadcast(token_table), "token_id")
+    # a table that grew beyond what a model's file holds is joined as any other
+    small = token_table.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS
+    rows = counted.join(F.broadcast(token_table) if small else token_table, "token_id")
     scaled = rows.select("id", "token_id", "n", F.transform("q", lambda x: x.cast("double") * F.col("scale").cast("double") * F.col("n")).alias("v"))
     listed = scaled.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token_id", "v"))).alias("l"), F.sum("n").alias("n"))
     total = F.aggregate(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0))), F.element_at("l", 1)["v"], lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b))

@@ -60,6 +60,57 @@ def schema_fields(columns: list[str], id_shape: str, content_types: list[str], t
     return {c: rule for c, rule in rules.items() if c in columns}
 
 
+#: What walk() gives of a place in an item.
+PLACE = "array<struct<path:string,key:string,v:variant>>"
+
+
+def depth(raw: Column) -> Column:
+    """How deep objects and arrays stand in each other in JSON: the most brackets that are open at a place, strings left out."""
+    bare = F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*"', "")
+    brackets = F.regexp_extract_all(bare, F.lit(r"([\[\]{}])"))
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(s: Column, c: Column) -> Column:
+        now = s["open"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("open"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(brackets, start, step, lambda s: s["most"])
+
+
+def walk(items: DataFrame, raw: str = "raw", deepest: int | None = None) -> DataFrame:
+    """(id, path, key, value) of every place in an item's JSON, at whatever depth: its path, the key that leads to it (null for an
+    array's elements), and its value as text if it is neither object nor array; JSON nulls are nulls. Text that is no JSON, and a
+    null, has no places.
+
+    Within the row: each level is made from the objects and arrays of the one above, as deep as the deepest item (counted
+    before, in a pass of its own, unless it is given).
+    """
+    if deepest is None:
+        deepest = items.agg(F.max(depth(F.col(raw)))).first()[0] or 0
+    below = f"""flatten(transform(l, e -> CASE
+      WHEN startswith(schema_of_variant(e.v), 'OBJECT') THEN transform(map_entries(CAST(e.v AS map<string,variant>)), x -> struct(concat(e.path, '.', x.key) AS path, x.key AS key, x.value AS v))
+      WHEN startswith(schema_of_variant(e.v), 'ARRAY') THEN transform(CAST(e.v AS array<variant>), (x, i) -> struct(concat(e.path, '[', i, ']') AS path, CAST(NULL AS string) AS key, x AS v))
+      ELSE CAST(array() AS {PLACE}) END))"""
+    rows = items.select("id", F.expr(f"CAST(array(struct('$' AS path, CAST(NULL AS string) AS key, try_parse_json({raw}) AS v)) AS {PLACE})").alias("l0")).where("l0[0].v IS NOT NULL")
+    for n in range(deepest):
+        rows = rows.withColumn(f"l{n + 1}", F.expr(below.replace("(l,", f"(l{n},")))
+    places = rows.select("id", F.explode(F.concat(*[f"l{n}" for n in range(deepest + 1)])).alias("e"))
+    kind = F.schema_of_variant("e.v")
+    whole = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    return places.select("id", "e.path", "e.key", F.when(~whole, F.expr("CAST(e.v AS string)")).alias("value"), whole.alias("holds"))
+
+
+def walked_secrets(places: DataFrame, shapes: list[str] = SECRET_SHAPES) -> DataFrame:
+    """V9 at each place of walk(): the first shape that fits a value, and where."""
+    first = F.coalesce(*[F.when(F.col("value").rlike(s), F.lit(i)) for i, s in enumerate(shapes)])
+    return found(places, "V9", "error", first.isNotNull(), F.concat(F.lit("secret shape "), first.cast("string"), F.lit(" at "), F.col("path")))
+
+
+def walked_internal_keys(places: DataFrame, keys: list[str] = INTERNAL_KEYS) -> DataFrame:
+    """V10 at each place of walk()."""
+    return found(places, "V10", "error", F.lower(F.trim("key")).isin(keys), F.concat(F.lit("internal key at "), F.col("path")))
+
+
 def item_strings(items: DataFrame) -> DataFrame:
     """(id, value) of all strings in an item, at whatever depth, keys left out."""
     quoted = F.regexp_extract_all(F.to_json(F.struct(*items.columns)), F.lit(r'("(?:[^"\\]|\\.)*"(?:\s*:)?)'))
@@ -82,10 +133,13 @@ def ids(items: DataFrame) -> DataFrame:
 
 
 def required(items: DataFrame, raw: str = "raw") -> DataFrame:
-    """V4 on items with raw, the item's JSON: a missing key is not a null one; titles must not be blank."""
+    """V4 on items with raw, the item's JSON: a missing key is not a null one; titles must not be blank. One scan: an item's messages
+    are an array."""
     keys = F.json_object_keys(F.col(raw))
-    parts = [found(items, "V4", "error", ~F.array_contains(keys, k), f"missing {k}") for k in REQUIRED]
-    return reduce(DataFrame.unionAll, [*parts, found(items, "V4", "error", F.trim(F.get_json_object(raw, "$.title")) == "", "blank title")])
+    said = [F.when(~F.array_contains(keys, k), F.lit(f"missing {k}")) for k in REQUIRED]
+    blank = F.when(F.trim(F.get_json_object(raw, "$.title")) == "", F.lit("blank title"))
+    rows = items.select("id", F.explode(F.array_compact(F.array(*said, blank))).alias("message"))
+    return found(rows, "V4", "error", F.lit(True), F.col("message"))
 
 
 def dates(items: DataFrame, *columns: str) -> DataFrame:
@@ -132,6 +186,26 @@ def vectors(items: DataFrame, table: DataFrame) -> DataFrame:
     return side(items, table, "no vector").unionAll(side(table, items, "stale vector")).unionAll(found(sizes, "V11", "error", F.col("n") > 1, "mixed lengths"))
 
 
+def vector_file(items: DataFrame, path: str) -> DataFrame:
+    """V11 on the published file of vectors, a JSON envelope with items (id, vector): a missing file is a warning, as search works
+    without; one that is no JSON is an error; else vectors() on what it holds. The file is read as a whole, as one envelope."""
+    spark = items.sparkSession
+    told = lambda severity, message: spark.createDataFrame([("V11", severity, None, message)], "rule string, severity string, id string, message string")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return told("warning", "no vector file")
+    text = spark.read.text(path, wholetext=True)
+    parsed = text.select(F.try_parse_json("value").alias("v"))
+    if parsed.where("v is null").limit(1).count():
+        return told("error", "the vector file is no JSON")
+    each = text.select(F.explode(F.from_json("value", "items array<struct<id:string,vector:array<double>>>")["items"]).alias("e")).select("e.*")
+    rows = each.where("coalesce(id, '') <> ''")
+    sizes = each.where("vector is not null")
+    report = vectors(items, rows).where("message <> 'mixed lengths'")
+    mixed = found(sizes.agg(F.count_distinct(F.size("vector")).alias("n")).withColumn("id", F.lit(None)), "V11", "error", F.col("n") > 1, "mixed lengths")
+    return report.unionAll(mixed)
+
+
 def history(items: DataFrame, previous: DataFrame) -> DataFrame:
     """V12."""
     side = lambda a, b, m: found(a.join(b.select("id"), "id", "left_anti"), "V12", "warning", F.lit(True), m)

@@ -427,9 +427,11 @@ def a_status_counts(spark, sf_dir):
     return mining.status_counts(V.table(spark, sf_dir, "conversations").select(F.col("role").alias("status")))
 
 
-@query("SELECT page_id AS id FROM pages WHERE url <> '' AND NOT contains(html, '<title>')")
+@query("SELECT page_id AS id FROM pages WHERE url <> '' AND page_id % 3 <> 0")
 def f_targets(spark, sf_dir):
-    pages = V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("ord"), "url", F.when(F.col("html").contains("<title>"), F.array("url")).alias("pageKeywords"))
+    """Every third page has keywords, others none or an empty list."""
+    kept = F.when(F.col("page_id") % 3 == 0, F.array("url")).when(F.col("page_id") % 3 == 1, F.array().cast("array<string>"))
+    pages = V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("ord"), "url", kept.alias("pageKeywords"))
     return mining.targets(pages).select("id")
 
 

@@ -139,6 +139,23 @@ class Snapshots:
             return []
         return sorted(n.split("=", 1)[1] for n in (s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))) if n.startswith("version="))
 
+    def recover(self) -> list[str]:
+        """What a publish that ended halfway left: a version that was set aside and not replaced is put back (its name is returned), one
+        that was replaced goes, and so do staged items. For when no other writer is at work; publish() does it first."""
+        back = []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))] if self._fs.exists(self._path(self.root)) else []
+        for name in names:
+            left = self._path(f"{self.root}/{name}")
+            if name.startswith("_old-"):
+                version = name.removeprefix("_old-").rsplit("-", 1)[0]
+                target = self._path(f"{self.root}/version={version}")
+                if not self._fs.exists(target) and self._fs.rename(left, target):
+                    back.append(version)
+                    continue
+            if name.startswith(("_old-", "_staging-")):
+                self._fs.delete(left, True)
+        return back
+
     def previous(self, excluding: str | None = None) -> DataFrame | None:
         left = [v for v in self.versions() if v != excluding]
         return self.read(left[-1]) if left else None
@@ -147,14 +164,16 @@ class Snapshots:
         return self.spark.read.parquet(f"{self.root}/version={version}")
 
     def publish(self, items: DataFrame, version: str, report: Callable[[DataFrame], DataFrame], dry_run: bool = False) -> bool:
-        """Stage items, judge what was staged, and put it in place if there is no error; a version of that name is replaced."""
+        """Stage items, judge what was staged, and put it in place if there is no error; a version of that name is replaced. There is one
+        writer at a time: what an earlier one left halfway is recovered first."""
+        self.recover()
         staged = f"{self.root}/_staging-{uuid.uuid4().hex}"
         items.write.parquet(staged)
         good = report(self.spark.read.parquet(staged)).where("severity = 'error'").isEmpty()
         if not good or dry_run:
             self._fs.delete(self._path(staged), True)
             return good
-        target, old = self._path(f"{self.root}/version={version}"), self._path(f"{self.root}/_old-{uuid.uuid4().hex}")
+        target, old = self._path(f"{self.root}/version={version}"), self._path(f"{self.root}/_old-{version}-{uuid.uuid4().hex}")
         # the version that is replaced stays until the new one is in place, whatever ends the run in between
         replaces = self._fs.exists(target)
         if replaces and not self._fs.rename(target, old):

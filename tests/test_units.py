@@ -201,3 +201,21 @@ def test_anchors_of_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x", html), (2, "http://a.org/x", None), (3, None, "<a href='k'>z</a>")], "id long, url string, html string")
     got = [tuple(r) for r in links.page_links(pages).orderBy("id", "pos").collect()]
     assert got == [(1, 0, "http://a.org/b c", "one two"), (1, 2, "http://a.org/bare", "x"), (1, 3, "http://a.org/z", ""), (3, 0, None, "z")]
+
+
+def test_walk(spark):
+    from lodestone.operators import quality
+
+    key = "sk-" + "a" * 20
+    rows = [(1, json.dumps({"a": {"b": [{"c": {" Internal Notes": key}}, 2, None]}, "d]": '"}{['})), (2, "no json"), (3, None), (4, "[]"), (5, '"x"')]
+    items = spark.createDataFrame(rows, "id int, raw string")
+    assert [r.d for r in items.orderBy("id").select(quality.depth(F.col("raw")).alias("d")).collect()] == [5, 0, None, 1, 0]
+    places = quality.walk(items)
+    got = {(r.id, r.path): (r.key, r.value) for r in places.collect()}
+    assert got == {
+        (1, "$"): (None, None), (1, "$.a"): ("a", None), (1, "$.a.b"): ("b", None), (1, "$.a.b[0]"): (None, None), (1, "$.a.b[0].c"): ("c", None), (1, "$.a.b[0].c. Internal Notes"): (" Internal Notes", key),
+        (1, "$.a.b[1]"): (None, "2"), (1, "$.a.b[2]"): (None, None), (1, "$.d]"): ("d]", '"}{['), (4, "$"): (None, None), (5, "$"): (None, "x"),
+    }
+    assert [(r.id, r.message) for r in quality.walked_secrets(places).collect()] == [("1", "secret shape 0 at $.a.b[0].c. Internal Notes")]
+    assert [(r.id, r.message) for r in quality.walked_internal_keys(places).collect()] == [("1", "internal key at $.a.b[0].c. Internal Notes")]
+    assert quality.walk(items.limit(0)).count() == 0
