@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import embedding_build, encoding, links, mining, quality
-from lodestone.queries import _report, _SHOWS, WORDS, query
+from lodestone.functions.markup import page_text
+from lodestone.operators import conformance, embedding_build, encoding, links, mining, quality
+from lodestone.queries import _report, _SHOWS, _squeeze_sql, _unescape_sql, WORDS, query
 from lodestone.session import shared_dir
 from lodestone.sources import catalogue
 from lodestone.sources import views as V
@@ -420,3 +421,71 @@ def s_build(spark, sf_dir):
             raise ValueError("items and vectors have different ids")
     vector = F.array_join(F.transform("vector", lambda x: F.round(x, 6).cast("decimal(9,6)").cast("string")), ",")
     return store.read("2026-02").select("id", vector.alias("vector"), (F.col("encoded_in") == "2026-02").alias("encoded"))
+
+
+# -- markup ----------------------------------------------------------------------------------------------------------
+# Pages as they are, and with nested hidden elements, entities, and metas in single quotes or in none.
+MARKED = """replace(replace(replace(html, '<meta charset="utf-8">', '<META content=''of ' || CAST(page_id AS STRING) || ' &eacute;&#233;'' name=description><meta property=og:title content=' || CAST(page_id AS STRING) || '>'),
+  '<nav>', '<nav class="a>b"><nav>inner</nav>'), '<article>', '<article>&Auml;<header><form>h</header>')"""
+_SHOWN = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
+for _tag in X.HIDDEN_TAGS:
+    _SHOWN = f"regexp_replace({_SHOWN}, '<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', ' ', 'gis')"
+_MORE = {"&middot;": "·", "&copy;": "©"}
+for _entity, _char in _MORE.items():
+    _SHOWN = f"replace({_SHOWN}, '{_entity}', '{_char}')"
+
+
+def _read_sql(shown: str, meta: str) -> str:
+    title = _squeeze_sql(_unescape_sql("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')"))
+    body = _squeeze_sql(_unescape_sql(f"regexp_replace({shown}, '<[^>]+>', ' ', 'g')"))
+    return f"SELECT id, title, meta, body, meta || ' ' || body AS full FROM (SELECT page_id AS id, {title} AS title, trim({title} || {meta}) AS meta, {body} AS body FROM pages)"
+
+
+@query(_read_sql(_SHOWN, "''"))
+def m_page_text(spark, sf_dir):
+    return V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), page_text(F.col("html")).alias("p")).select("id", "p.*")
+
+
+@query(_read_sql(_SHOWN.replace("html", "replace(html, '<article>', '<article>Ä')", 1), "' of ' || page_id || ' éé ' || page_id"))
+def m_page_meta(spark, sf_dir):
+    pages = V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.expr(MARKED).alias("html"))
+    return pages.select("id", page_text(F.col("html")).alias("p")).select("id", "p.*")
+
+
+# -- conformance -----------------------------------------------------------------------------------------------------
+SCHEMA = {
+    "definitions": {"item": {
+        "type": "object", "required": quality.REQUIRED, "additionalProperties": False,
+        "properties": {
+            "id": {"type": "integer", "minimum": 10}, "title": {"type": "string", "pattern": r"\S"}, "summary": {"type": "string", "minLength": 1},
+            "contentType": {"type": ["string", "null"], "enum": ["Event", "Video"]}, "topics": {"type": "array", "items": {"type": "string"}, "minItems": 1},
+            "locations": {"type": "array"}, "croppingSystems": {"type": "array", "items": {"type": "string"}},
+            "deep": {"properties": {"a": {"items": {"type": "object", "additionalProperties": False, "properties": {"notes": {}}}}}},
+            "props": {"$ref": "#/definitions/props"},
+        },
+    }, "props": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 49, "not": {"enum": [7, 11]}}}}},
+}
+_K = "(raw ->> '$.props.k')::BIGINT"
+_WRONG = " UNION ALL ".join([
+    *(f"SELECT id, '' AS path, 'required' AS rule, '{k}' AS said FROM {_ITEMS} WHERE json_type(raw, '$.{k}') IS NULL" for k in quality.REQUIRED),
+    f"SELECT id, '', 'additionalProperties', 'Curator Notes ' FROM {_ITEMS} WHERE json_type(raw, '$.\"Curator Notes \"') IS NOT NULL",
+    f"SELECT id, '/id', 'minimum', '10' FROM {_ITEMS} WHERE (raw ->> '$.id')::BIGINT < 10",
+    f"SELECT id, '/title', 'pattern', '\\S' FROM {_ITEMS} WHERE NOT regexp_matches(raw ->> '$.title', '\\S')",
+    f"SELECT id, '/summary', 'minLength', '1' FROM {_ITEMS} WHERE length(raw ->> '$.summary') < 1",
+    f"SELECT id, '/contentType', 'enum', 'not one of the values' FROM {_ITEMS} WHERE json_type(raw, '$.contentType') = 'NULL'",
+    f"SELECT id, '/topics', 'minItems', '1' FROM {_ITEMS} WHERE json_array_length(raw, '$.topics') < 1",
+    f"SELECT id, '/deep/a/0', 'additionalProperties', 'internalNotes' FROM {_ITEMS} WHERE json_type(raw, '$.deep.a[0].internalNotes') IS NOT NULL",
+    f"SELECT id, '/props/k', 'maximum', '49' FROM {_ITEMS} WHERE {_K} > 49", f"SELECT id, '/props/k', 'not', 'fits what it must not' FROM {_ITEMS} WHERE {_K} IN (7, 11)",
+])
+
+
+@query(_WRONG)
+def v_conformance(spark, sf_dir):
+    """All that is wrong with the events' items by a schema document."""
+    return conformance.violations(_items(spark, sf_dir), SCHEMA, part="#/definitions/item")
+
+
+@_report("v_conformance_report", f"""SELECT id, message FROM (SELECT id, path || ': ' || rule || ' ' || said AS message FROM ({_WRONG}) ORDER BY id, message LIMIT 25)
+  UNION ALL SELECT NULL, (n - 25) || ' more errors not shown' FROM (SELECT count(*) AS n FROM ({_WRONG})) WHERE n > 25""")
+def _v_conformance_report(spark, sf_dir):
+    return conformance.conformance(_items(spark, sf_dir), SCHEMA, part="#/definitions/item").select("id", "message")

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import domain, dois, html_body, html_meta, inverted_index_text, strip_tags
+from lodestone.functions.markup import page_text
+from lodestone.functions.text import domain, dois, inverted_index_text, strip_tags
 from lodestone.operators import mining
 from lodestone.sources.catalogue import fetched
 
@@ -93,8 +94,7 @@ def enrich(items: DataFrame, work: Callable, record: Callable, video: Callable,
 
     left = rest.join(told, "id", "left_anti")
     pages = stage(fetched(left, page, partitions), "pages").join(about, "id")
-    body, meta = html_body(F.coalesce("payload", F.lit(""))), html_meta(F.coalesce("payload", F.lit("")))
-    read = pages.select("id", "error", "blob", "known", body.alias("body"), meta.alias("meta")).withColumn("text", F.concat_ws(" ", "meta", "body"))
+    read = pages.select("id", "error", "blob", "known", page_text(F.col("payload")).alias("p")).select("id", "error", "blob", "known", "p.body", "p.meta", F.col("p.full").alias("text"))
     terms = F.transform(mining.best_terms(F.col("text"), F.col("known"), F.col("blob")), lambda t: t["term"])
     read = read.withColumn("keywords", terms)
     status = (
