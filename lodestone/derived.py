@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.functions.markup import page_text
 from lodestone.operators import conformance, embedding_build, encoding, links, mining, quality
-from lodestone.queries import _report, _SHOWS, _squeeze_sql, _unescape_sql, WORDS, query
+from lodestone.queries import _report, _SHOWS, _squeeze_sql, WORDS, query
 from lodestone.session import shared_dir
 from lodestone.sources import catalogue
 from lodestone.sources import views as V
@@ -430,14 +430,18 @@ MARKED = """replace(replace(replace(html, '<meta charset="utf-8">', '<META conte
 _SHOWN = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
 for _tag in X.HIDDEN_TAGS:
     _SHOWN = f"regexp_replace({_SHOWN}, '<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', ' ', 'gis')"
-_MORE = {"&middot;": "·", "&copy;": "©"}
-for _entity, _char in _MORE.items():
-    _SHOWN = f"replace({_SHOWN}, '{_entity}', '{_char}')"
+
+
+def _entities_sql(x: str) -> str:
+    """Entities that the pages have; HTML lets these do without their semicolon."""
+    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("middot", "·"), ("copy", "©"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{entity};?', '{char}', 'g')"
+    return x
 
 
 def _read_sql(shown: str, meta: str) -> str:
-    title = _squeeze_sql(_unescape_sql("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')"))
-    body = _squeeze_sql(_unescape_sql(f"regexp_replace({shown}, '<[^>]+>', ' ', 'g')"))
+    title = _squeeze_sql(_entities_sql("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')"))
+    body = _squeeze_sql(_entities_sql(f"regexp_replace({shown}, '<[^>]+>', ' ', 'g')"))
     return f"SELECT id, title, meta, body, meta || ' ' || body AS full FROM (SELECT page_id AS id, {title} AS title, trim({title} || {meta}) AS meta, {body} AS body FROM pages)"
 
 

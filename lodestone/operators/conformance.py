@@ -1,4 +1,5 @@
-"""V1 by the schema document: a JSON Schema is read as data and compiled to one column over VARIANT, evaluated within the row.
+"""V1 by the schema document: a JSON Schema is read as data and compiled to one column over VARIANT, evaluated within the row,
+each value and its type once.
 
 Draft 7's rules on types, objects, arrays, strings and numbers, their combinations, and references within the document. Formats
 are remarks, as for a validator without format checker, unless they are asked for. A keyword that isn't known, and a schema that
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,9 @@ FORMATS = {
 }
 FOUND = "array<struct<path:string,rule:string,said:string>>"
 NUMBERS = r"^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"
+#: Keywords whose rule says one thing of a value; those that may say many.
+ONE = frozenset("type enum const anyOf oneOf not minItems maxItems minLength maxLength pattern format minimum maximum exclusiveMinimum exclusiveMaximum".split())
+MANY = frozenset("allOf required properties additionalProperties items".split())
 
 
 def pointed(schema: dict, pointer: str) -> dict:
@@ -33,176 +38,190 @@ def pointed(schema: dict, pointer: str) -> dict:
     return reduce(lambda s, p: s[p], parts, schema)
 
 
+class _Value(NamedTuple):
+    """A value and its type, each evaluated once and bound as a variable of a lambda."""
+
+    v: Column
+    kind: Column
+
+
 class _Compiler:
-    """Columns of one schema document. Each rule looks at values of its own type only, so that a wrong type is told once."""
+    """Columns of one schema document. A rule gives one struct that is null where it holds, or an array of them where it looks into
+    the value. Each rule looks at values of its own type only, so that a wrong type is told once."""
 
     def __init__(self, document: dict, formats: bool):
         self.document, self.formats = document, formats
 
     def found(self, v: Column, path: Column, schema: dict | bool, within: tuple[str, ...] = ()) -> Column:
-        """What is wrong with the variant v, null where it is absent, at path."""
-        if schema is True or schema == {}:
-            return _none()
-        if schema is False:
-            return _one(v.isNotNull(), path, "false", "nothing is allowed here")
-        if "$ref" in schema:
+        """An array of what is wrong with the variant v, null where it is absent, at path."""
+        if isinstance(schema, dict) and "$ref" in schema:
             if schema["$ref"] in within:
                 raise ValueError(f"{schema['$ref']} refers to itself")
             return self.found(v, path, pointed(self.document, schema["$ref"]), (*within, schema["$ref"]))
-        out = []
+        if schema is True or schema == {}:
+            return _none()
+        there = F.filter(F.array(F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind"))), lambda e: e["v"].isNotNull())
+        return F.flatten(F.transform(there, lambda e: self._told(_Value(e["v"], e["kind"]), path, schema, within)))
+
+    def _told(self, x: _Value, path: Column, schema: dict | bool, within: tuple[str, ...]) -> Column:
+        if schema is False:
+            return F.array(_one(F.lit(True), path, "false", "nothing is allowed here"))
+        ones, many = [], []
         for keyword, wanted in schema.items():
             if keyword in REMARKS and not (keyword == "format" and self.formats):
                 continue
-            rule = getattr(self, "_" + keyword, None)
-            if rule is None:
+            if keyword not in ONE | MANY:
                 raise ValueError(f"the keyword {keyword} isn't known")
-            out.append(rule(v, path, wanted, schema, within))
-        return F.when(v.isNotNull(), F.concat(_none(), *out)).otherwise(_none())
+            rule = getattr(self, "_" + keyword)
+            (ones if keyword in ONE else many).append(rule(x, path, wanted, schema, within))
+        plain = [F.array_compact(F.array(*ones))] if ones else []
+        return F.concat(_none(), *plain, *many)
 
-    def _fits(self, v: Column, schema: dict | bool, within: tuple[str, ...]) -> Column:
-        return F.size(self.found(v, F.lit(""), schema, within)) == 0
+    def _fits(self, x: _Value, schema: dict | bool, within: tuple[str, ...]) -> Column:
+        return F.size(self.found(x.v, F.lit(""), schema, within)) == 0
 
     # -- any value --
-    def _type(self, v, path, wanted, schema, within):
+    def _type(self, x, path, wanted, schema, within):
         names = [wanted] if isinstance(wanted, str) else wanted
-        fits = reduce(lambda a, b: a | b, [_is(v, n) for n in names])
-        return _one(~fits, path, "type", " or ".join(names))
+        return _one(~_any([_is(x, n) for n in names]), path, "type", " or ".join(names))
 
-    def _enum(self, v, path, wanted, schema, within):
-        return _one(~reduce(lambda a, b: a | b, [_equals(v, w) for w in wanted]), path, "enum", "not one of the values")
+    def _enum(self, x, path, wanted, schema, within):
+        return _one(~_any([_equals(x, w) for w in wanted]), path, "enum", "not one of the values")
 
-    def _const(self, v, path, wanted, schema, within):
-        return _one(~_equals(v, wanted), path, "const", json.dumps(wanted))
+    def _const(self, x, path, wanted, schema, within):
+        return _one(~_equals(x, wanted), path, "const", json.dumps(wanted))
 
-    def _allOf(self, v, path, wanted, schema, within):  # noqa: N802  named like their keywords
-        return F.concat(*[self.found(v, path, s, within) for s in wanted])
+    def _allOf(self, x, path, wanted, schema, within):  # noqa: N802  named like their keywords
+        return F.concat(*[self.found(x.v, path, s, within) for s in wanted])
 
-    def _anyOf(self, v, path, wanted, schema, within):  # noqa: N802
-        return _one(~reduce(lambda a, b: a | b, [self._fits(v, s, within) for s in wanted]), path, "anyOf", "none fits")
+    def _anyOf(self, x, path, wanted, schema, within):  # noqa: N802
+        return _one(~_any([self._fits(x, s, within) for s in wanted]), path, "anyOf", "none fits")
 
-    def _oneOf(self, v, path, wanted, schema, within):  # noqa: N802
-        fitting = reduce(lambda a, b: a + b, [self._fits(v, s, within).cast("int") for s in wanted])
+    def _oneOf(self, x, path, wanted, schema, within):  # noqa: N802
+        fitting = reduce(lambda a, b: a + b, [self._fits(x, s, within).cast("int") for s in wanted])
         return _one(fitting != 1, path, "oneOf", "not exactly one fits")
 
-    def _not(self, v, path, wanted, schema, within):
-        return _one(self._fits(v, wanted, within), path, "not", "fits what it must not")
+    def _not(self, x, path, wanted, schema, within):
+        return _one(self._fits(x, wanted, within), path, "not", "fits what it must not")
 
     # -- objects --
-    def _required(self, v, path, wanted, schema, within):
-        return F.concat(_none(), *[_one(_is(v, "object") & _member(v, k).isNull(), path, "required", k) for k in wanted])
+    def _required(self, x, path, wanted, schema, within):
+        each = [_one(_is(x, "object") & _member(x, k).isNull(), path, "required", k) for k in wanted]
+        return F.array_compact(F.array(*each).cast(FOUND))
 
-    def _properties(self, v, path, wanted, schema, within):
-        each = [self.found(_member(v, k), F.concat(path, F.lit(f"/{k}")), s, within) for k, s in wanted.items()]
-        return F.when(_is(v, "object"), F.concat(_none(), *each)).otherwise(_none())
+    def _properties(self, x, path, wanted, schema, within):
+        each = [self.found(_member(x, k), F.concat(path, F.lit(f"/{k}")), s, within) for k, s in wanted.items()]
+        return F.when(_is(x, "object"), F.concat(_none(), *each)).otherwise(_none())
 
-    def _additionalProperties(self, v, path, wanted, schema, within):  # noqa: N802
+    def _additionalProperties(self, x, path, wanted, schema, within):  # noqa: N802
         if wanted is True:
             return _none()
         known = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
-        others = F.filter(F.map_entries(_if(v, "object").cast("map<string,variant>")), lambda e: ~F.array_contains(known, e["key"]))
+        members = F.coalesce(F.map_entries(_if(x, "object").cast("map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+        others = F.filter(members, lambda e: ~F.array_contains(known, e["key"]))
         if wanted is False:
-            return _one(F.size(others) > 0, path, "additionalProperties", F.array_join(F.array_sort(F.transform(others, lambda e: e["key"])), ", "))
-        each = F.flatten(F.transform(others, lambda e: self.found(e["value"], F.concat(path, F.lit("/"), e["key"]), wanted, within)))
-        return F.coalesce(each, _none())
+            names = F.array_join(F.array_sort(F.transform(others, lambda e: e["key"])), ", ")
+            return F.array_compact(F.array(_one(names != "", path, "additionalProperties", names)))
+        return F.flatten(F.transform(others, lambda e: self.found(e["value"], F.concat(path, F.lit("/"), e["key"]), wanted, within)))
 
     # -- arrays --
-    def _items(self, v, path, wanted, schema, within):
+    def _items(self, x, path, wanted, schema, within):
         if isinstance(wanted, list):
             raise ValueError("one schema for all of an array's elements")
-        each = F.transform(_elements(v), lambda x, i: self.found(x, F.concat(path, F.lit("/"), i.cast("string")), wanted, within))
+        each = F.transform(_elements(x), lambda e, i: self.found(e, F.concat(path, F.lit("/"), i.cast("string")), wanted, within))
         return F.coalesce(F.flatten(each), _none())
 
-    def _minItems(self, v, path, wanted, schema, within):  # noqa: N802
-        return _one(F.size(_elements(v)) < wanted, path, "minItems", str(wanted))
+    def _minItems(self, x, path, wanted, schema, within):  # noqa: N802
+        return _one(F.size(_elements(x)) < wanted, path, "minItems", str(wanted))
 
-    def _maxItems(self, v, path, wanted, schema, within):  # noqa: N802
-        return _one(F.size(_elements(v)) > wanted, path, "maxItems", str(wanted))
+    def _maxItems(self, x, path, wanted, schema, within):  # noqa: N802
+        return _one(F.size(_elements(x)) > wanted, path, "maxItems", str(wanted))
 
     # -- strings --
-    def _minLength(self, v, path, wanted, schema, within):  # noqa: N802
-        return _one(F.length(_string(v)) < wanted, path, "minLength", str(wanted))
+    def _minLength(self, x, path, wanted, schema, within):  # noqa: N802
+        return _one(F.length(_string(x)) < wanted, path, "minLength", str(wanted))
 
-    def _maxLength(self, v, path, wanted, schema, within):  # noqa: N802
-        return _one(F.length(_string(v)) > wanted, path, "maxLength", str(wanted))
+    def _maxLength(self, x, path, wanted, schema, within):  # noqa: N802
+        return _one(F.length(_string(x)) > wanted, path, "maxLength", str(wanted))
 
-    def _pattern(self, v, path, wanted, schema, within):
-        return _one(~_string(v).rlike(wanted), path, "pattern", wanted)
+    def _pattern(self, x, path, wanted, schema, within):
+        return _one(~_string(x).rlike(wanted), path, "pattern", wanted)
 
-    def _format(self, v, path, wanted, schema, within):
+    def _format(self, x, path, wanted, schema, within):
         if wanted not in FORMATS:
             raise ValueError(f"the format {wanted} isn't known")
-        return _one(~_string(v).rlike(FORMATS[wanted]), path, "format", wanted)
+        return _one(~_string(x).rlike(FORMATS[wanted]), path, "format", wanted)
 
     # -- numbers --
-    def _minimum(self, v, path, wanted, schema, within):
-        return _one(_number(v) < wanted, path, "minimum", str(wanted))
+    def _minimum(self, x, path, wanted, schema, within):
+        return _one(_number(x) < wanted, path, "minimum", str(wanted))
 
-    def _maximum(self, v, path, wanted, schema, within):
-        return _one(_number(v) > wanted, path, "maximum", str(wanted))
+    def _maximum(self, x, path, wanted, schema, within):
+        return _one(_number(x) > wanted, path, "maximum", str(wanted))
 
-    def _exclusiveMinimum(self, v, path, wanted, schema, within):  # noqa: N802
-        return _one(_number(v) <= wanted, path, "exclusiveMinimum", str(wanted))
+    def _exclusiveMinimum(self, x, path, wanted, schema, within):  # noqa: N802
+        return _one(_number(x) <= wanted, path, "exclusiveMinimum", str(wanted))
 
-    def _exclusiveMaximum(self, v, path, wanted, schema, within):  # noqa: N802
-        return _one(_number(v) >= wanted, path, "exclusiveMaximum", str(wanted))
+    def _exclusiveMaximum(self, x, path, wanted, schema, within):  # noqa: N802
+        return _one(_number(x) >= wanted, path, "exclusiveMaximum", str(wanted))
 
 
 def _none() -> Column:
     return F.array().cast(FOUND)
 
 
-def _one(wrong: Column, path: Column, rule: str, said: str | Column) -> Column:
-    told = F.struct(path.alias("path"), F.lit(rule).alias("rule"), (F.lit(said) if isinstance(said, str) else said).alias("said"))
-    return F.when(F.coalesce(wrong, F.lit(False)), F.array(told)).otherwise(_none())
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def _one(wrong: Column, path: Column, rule: str, said: str | Column) -> Column:
+    """Null where it holds, and where the rule doesn't apply."""
+    return F.when(wrong, F.struct(path.alias("path"), F.lit(rule).alias("rule"), (F.lit(said) if isinstance(said, str) else said).alias("said")))
 
 
-def _is(v: Column, name: str) -> Column:
+def _is(x: _Value, name: str) -> Column:
     """Whether a variant has a type; whole numbers are integers however they are written."""
     tests: dict[str, Callable[[], Column]] = {
-        "object": lambda: _kind(v).startswith("OBJECT"), "array": lambda: _kind(v).startswith("ARRAY"), "string": lambda: _kind(v) == "STRING",
-        "boolean": lambda: _kind(v) == "BOOLEAN", "null": lambda: F.is_variant_null(v), "number": lambda: _kind(v).rlike(NUMBERS),
-        "integer": lambda: _kind(v).rlike(NUMBERS) & (_number(v) == F.floor(_number(v))),
+        "object": lambda: x.kind.startswith("OBJECT"), "array": lambda: x.kind.startswith("ARRAY"), "string": lambda: x.kind == "STRING",
+        "boolean": lambda: x.kind == "BOOLEAN", "null": lambda: F.is_variant_null(x.v), "number": lambda: x.kind.rlike(NUMBERS),
+        "integer": lambda: x.kind.rlike(NUMBERS) & (_number(x) == F.floor(_number(x))),
     }
-    return F.coalesce(tests[name](), F.lit(False))
+    return tests[name]()
 
 
-def _if(v: Column, name: str) -> Column:
-    return F.when(_is(v, name), v)
+def _if(x: _Value, name: str) -> Column:
+    return F.when(_is(x, name), x.v)
 
 
-def _string(v: Column) -> Column:
-    return _if(v, "string").cast("string")
+def _string(x: _Value) -> Column:
+    return _if(x, "string").cast("string")
 
 
-def _number(v: Column) -> Column:
-    return F.when(_kind(v).rlike(NUMBERS), v).cast("double")
+def _number(x: _Value) -> Column:
+    return _if(x, "number").cast("double")
 
 
-def _elements(v: Column) -> Column:
-    return _if(v, "array").cast("array<variant>")
+def _elements(x: _Value) -> Column:
+    return _if(x, "array").cast("array<variant>")
 
 
-def _member(v: Column, key: str) -> Column:
+def _member(x: _Value, key: str) -> Column:
     """Null if it is absent, a variant's null if it is null. Paths have no escapes: keys with both quotes are looked up in a map."""
     for quote in "'\"":
         if key and quote not in key:
-            return F.try_variant_get(v, f"$[{quote}{key}{quote}]", "variant")
-    return F.try_element_at(_if(v, "object").cast("map<string,variant>"), F.lit(key))
+            return F.try_variant_get(x.v, f"$[{quote}{key}{quote}]", "variant")
+    return F.try_element_at(_if(x, "object").cast("map<string,variant>"), F.lit(key))
 
 
-def _equals(v: Column, value) -> Column:
+def _equals(x: _Value, value) -> Column:
     if value is None:
-        return _is(v, "null")
+        return _is(x, "null")
     if isinstance(value, bool):
-        return F.coalesce(_if(v, "boolean").cast("boolean") == value, F.lit(False))
+        return F.coalesce(_if(x, "boolean").cast("boolean") == value, F.lit(False))
     if isinstance(value, (int, float)):
-        return F.coalesce(_number(v) == float(value), F.lit(False))
+        return F.coalesce(_number(x) == float(value), F.lit(False))
     if isinstance(value, str):
-        return F.coalesce(_string(v) == value, F.lit(False))
+        return F.coalesce(_string(x) == value, F.lit(False))
     raise ValueError("only plain values are compared")
 
 
