@@ -7,13 +7,14 @@ operators here, in SQL for DuckDB there.
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions.markup import page_text
-from lodestone.operators import conformance, embedding_build, encoding, links, mining, quality
-from lodestone.queries import _report, _SHOWS, _squeeze_sql, WORDS, query
+from lodestone.operators import conformance, embedding_build, encoding, export_job, links, mining, quality
+from lodestone.queries import _report, _SHOWS, _squeeze_sql, WORDS, curated, query
 from lodestone.session import shared_dir
 from lodestone.sources import catalogue
 from lodestone.sources import views as V
@@ -493,3 +494,27 @@ def v_conformance(spark, sf_dir):
   UNION ALL SELECT NULL, (n - 25) || ' more errors not shown' FROM (SELECT count(*) AS n FROM ({_WRONG})) WHERE n > 25""")
 def _v_conformance_report(spark, sf_dir):
     return conformance.conformance(_items(spark, sf_dir), SCHEMA, part="#/definitions/item").select("id", "message")
+
+
+# -- export as a job -------------------------------------------------------------------------------------------------
+_IDS = "doc_id % 7 <> 0"
+
+
+@query(f"""SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 5 = 1 THEN 'removed' ELSE 'updated' END AS change FROM documents
+  WHERE {_IDS} AND (doc_id % 5 IN (0, 1) OR doc_id % 5 = 2 AND lang <> 'xx')""")
+def m_export_job(spark, sf_dir):
+    """Changes that the second of two exports of the documents logged: a fifth came, a fifth went, a fifth has another type. Secrets
+    in the texts would stop both, so that the gate is on ids and the schema."""
+    docs = V.table(spark, sf_dir, "documents")
+    store = catalogue.Snapshots(spark, f"{shared_dir(spark)}/export-{uuid.uuid4().hex}")
+    before = docs.where("doc_id % 5 <> 0").withColumn("lang", F.when(F.col("doc_id") % 5 == 2, "xx").otherwise(F.col("lang")))
+    schema = {"definitions": {"item": {"type": "object", "required": quality.REQUIRED, "properties": {"id": {"type": "string", "pattern": "^[0-9]+$"}, "topics": {"type": "array"}, "url": {"type": ["string", "null"]}}}}}
+
+    def judge(items, previous):
+        rows = items.withColumns({"ord": F.monotonically_increasing_id(), "raw": F.to_json(F.struct(*items.columns), {"ignoreNullFields": "false"})})
+        return quality.ids(rows).unionAll(conformance.conformance(rows, schema, part="#/definitions/item"))
+
+    for version, some in (("2026-01", before), ("2026-02", docs.where("doc_id % 5 <> 1"))):
+        if not export_job.export(store, curated(some), "2026-04-01", datetime(2026, int(version[-2:]), 2, tzinfo=timezone.utc), version, judge):
+            raise ValueError("the export was judged bad")
+    return export_job.changes(store).select("id", "change")

@@ -487,7 +487,16 @@ def r_no_keyword_hits(spark, sf_dir):
   lang AS contentType, source AS topics, n_chars::INT AS newsletterNo, '2026-01-02T03:04:05Z' AS updatedAt FROM documents WHERE doc_id % 7 <> 0""")
 def m_export(spark, sf_dir):
     """Pages made of documents: two pieces of title, a choice, a list, a number, an address; every seventh has no id."""
-    from lodestone.sources.export import NAMES, public_items
+    from lodestone.sources.export import public_items
+
+    stamp = F.make_timestamp(F.lit(2026), F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.lit(5), F.lit("UTC"))
+    items = public_items(curated(V.table(spark, sf_dir, "documents")), "2026-04-01", stamp)
+    return items.select("id", F.coalesce("title", F.lit("")).alias("title"), "summary", "url", "urlStatus", "contentType", F.col("topics")[0].alias("topics"), "newsletterNo", "updatedAt")
+
+
+def curated(documents: DataFrame) -> DataFrame:
+    """Documents as the pages of a curated table."""
+    from lodestone.sources.export import NAMES
 
     piece = lambda c: F.struct(c.alias("plain_text"))
     title = F.substring_index("text", ".", 1)
@@ -498,9 +507,7 @@ def m_export(spark, sf_dir):
         "contentType": prop("select", F.struct(F.col("lang").alias("name"))), "topics": prop("multi_select", F.array(F.struct(F.col("source").alias("name")))), "newsletterNo": prop("number", F.col("n_chars").cast("double")),
     }
     joined = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{NAMES[k]}":'), v) for k, v in props.items()]), F.lit("}"))
-    stamp = F.make_timestamp(F.lit(2026), F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.lit(5), F.lit("UTC"))
-    items = public_items(V.table(spark, sf_dir, "documents").select(joined.alias("properties"), F.lit("internal").alias("notes")), "2026-04-01", stamp)
-    return items.select("id", F.coalesce("title", F.lit("")).alias("title"), "summary", "url", "urlStatus", "contentType", F.col("topics")[0].alias("topics"), "newsletterNo", "updatedAt")
+    return documents.select(joined.alias("properties"), F.lit("internal").alias("notes"))
 
 
 @_report("v_fields", """SELECT doc_id AS id, f AS message FROM (SELECT doc_id, unnest(list_filter([CASE WHEN NOT regexp_matches(doc_id::VARCHAR, '^[0-9]{1,3}$') THEN 'id' END, CASE WHEN length(split_part(text, '.', 1)) < 1 THEN 'title' END,
