@@ -20,6 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, title, summary) of documents(), which need no labels."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", ".", 1).alias("title"), F.col("text").alias("summary"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
