@@ -111,3 +111,20 @@ def test_parts_reports_and_refusals(spark):
     for schema in ({"uniqueItems": True}, {"$ref": "#"}, {"$ref": "other.json"}, {"enum": [[1]]}):
         with pytest.raises(ValueError):
             C.violations(rows, schema)
+
+
+def test_pages_come_in_batches_of_bounded_bytes(spark):
+    """A worker's batch goes by bytes, and by Arrow, not by 10,000 pages of whatever length."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from lodestone.functions.markup import _pages
+    from lodestone.session import ship
+
+    ship(spark)
+    assert _pages(pa.array(["<title>t</title>b", None])).to_pylist() == [{"title": "t", "meta": "t", "body": "t b", "full": "t t b"}, {"title": "", "meta": "", "body": "", "full": " "}]
+    assert len(_pages(pa.array([], pa.string()))) == 0
+    size = F.arrow_udf(lambda x: pa.array([x.nbytes] * len(x), pa.int64()), "bigint")
+    # one partition of 40 MB
+    pages = spark.range(0, 200, 1, 1).select(F.repeat(F.concat(F.lit("<p>"), F.col("id").cast("string")), 60_000).alias("html"))
+    assert pages.select(F.max(size("html"))).first()[0] < 12_000_000
