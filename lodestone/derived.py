@@ -408,13 +408,11 @@ _NORM = f"sqrt({' + '.join(f'm{k} * m{k}' for k in range(1, DIM + 1))})"
 def s_build(spark, sf_dir):
     """Two builds of the documents' vectors: at first a third of the items isn't there yet and a hundredth has another text; the second
     encodes these alone. The vocabulary is of fixed size and goes along with the encoder."""
-    items = V.documents(spark, sf_dir).select("id", "title", "summary")
-    tokens = lambda text: encoding.basic_tokens(text)
-    counted = items.select(F.explode(tokens(encoding.item_text(F.col("title"), F.col("summary")))).alias("token")).groupBy("token").count()
-    vocabulary = {r.token: n + 1 for n, r in enumerate(counted.orderBy(F.desc("count"), "token").limit(VOCABULARY).collect())}
+    items = V.texts(spark, sf_dir)
+    counted = encoding.token_counts(items.select(encoding.item_text(F.col("title"), F.col("summary")).alias("text")))
+    vocabulary = {r.token: n + 1 for n, r in enumerate(counted.orderBy(F.desc("n"), "token").limit(VOCABULARY).collect())}
     rows = spark.createDataFrame([(i, [(i * k) % 11 - 5 for k in range(1, DIM + 1)], 0.5) for i in range(len(vocabulary) + 1)], "token_id int, q array<tinyint>, scale float")
-    pieces = encoding.word_pieces(encoding.Model(DIM, 0), vocabulary)
-    encoder = lambda texts: encoding.encode(texts.select("id", pieces(tokens(F.col("text"))).alias("tokens")), rows)
+    encoder = lambda texts: encoding.encode_texts(texts, encoding.Model(DIM, 0), vocabulary, rows)
     store = catalogue.Snapshots(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
     before = items.where("id % 3 <> 0").withColumn("summary", F.when(F.col("id") % 100 == 1, "another text").otherwise(F.col("summary")))
     for version, some in (("2026-01", before), ("2026-02", items)):

@@ -63,3 +63,12 @@ def test_counting_pieces_takes_little_memory(spark):
     counts.func(batch)
     assert tracemalloc.get_traced_memory()[1] < 40_000_000  # 300,000 words
     tracemalloc.stop()
+
+
+def test_builds_read_documents_alone(spark, tmp_path):
+    """Titles and texts need no labels: documents aren't shuffled to join what isn't used."""
+    from lodestone import derived
+
+    rows = [(i, f"title {i}. the text, the end", "en", "s", 9) for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.id: r.encoded for r in derived.s_build(spark, str(tmp_path)).collect()} == {i: i % 3 == 0 or i == 1 for i in range(9)}
